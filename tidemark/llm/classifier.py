@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow
+from .common import in_arrow, keep_rows
 
 #: A text is compressed in blocks of so many bytes, each on its own, so that the dictionaries count alike along a long text.
 BLOCK = 2048
@@ -134,17 +134,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score `threshold` or more, whatever their ids: null and repeated ids are judged row by row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    schema = ", ".join(f"`c{k}` {t}" for k, (_, t) in enumerate(docs.dtypes))
-    at = names.index(text_col)
-
-    def task(batches):
-        import pyarrow as pa
 
+    def judge(texts):
         m = shared.value
-        for batch in batches:
-            texts = batch.column(at)
-            good = pa.array([m.score(difference((t.as_py() or "").encode(), m.good, m.bad) if m.good else 0.0) >= threshold for t in texts], pa.bool_())
-            yield batch.filter(good)
+        return [m.score(difference(t, m.good, m.bad) if m.good else 0.0) >= threshold for t in texts]
 
-    return docs.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(task, schema).toDF(*names)
+    return keep_rows(docs, text_col, judge)

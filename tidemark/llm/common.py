@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,6 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder and read again: compressed, for large results; gone when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.parquet(path)
+
+
 def in_arrow(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """mapInArrow of a function from columns to columns, batch by batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,6 +71,21 @@ def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
     yield from pieces(batch.slice(half), most)
 
 
+def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows of docs whose text `judge` accepts, whatever their other columns; null texts are judged as empty."""
+    names = docs.columns
+    at = names.index(text_col)
+    schema = ", ".join(f"`c{k}` {t}" for k, (_, t) in enumerate(docs.dtypes))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                texts = piece.column(at).cast(pa.binary()).to_pylist()
+                yield piece.filter(pa.array(judge([t or b"" for t in texts]), pa.bool_()))
+
+    return docs.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(task, schema).toDF(*names)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
