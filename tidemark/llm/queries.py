@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, classifier, decontaminate, licenses, mixing, pii, quality, simhash, warc
+from . import chunks, classifier, decontaminate, licenses, mixing, pii, quality, simhash, suffix, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "edits")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeated_strings(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(_read(spark, sf_dir, "documents"))
     spans = F.transform("notices", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"]))
@@ -64,7 +70,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_decontamination, op5_license_scan, op6_quality_classifier, op7_simhash, op8_mixing, op9_chunk_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_decontamination, op4_suffix_array_dedup, op5_license_scan, op6_quality_classifier, op7_simhash, op8_mixing, op9_chunk_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
