@@ -23,7 +23,7 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text in a piece of documents and in a bucket of anchors, as expected.
 PIECE, BUCKET = 4 << 20, 2 << 20
-#: An anchor of more documents is hot: each of its strings goes to a bucket of its own hash, equal ones of a piece once.
+#: An anchor of more occurrences is hot: each of its strings goes to a bucket of its own hash, equal ones of a piece once.
 HOT = 4096
 #: Anchors whose contexts fill more bytes are compared string by string; others share a suffix array.
 MOST = 8192
@@ -110,7 +110,7 @@ def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=schema)
 
 
-_COUNTS = pa.schema([("bucket", pa.int64()), ("piece", pa.int64()), ("h", pa.binary()), ("n", pa.binary())])
+_COUNTS = pa.schema([("bucket", pa.int64()), ("piece", pa.int64()), ("h", pa.binary()), ("n", pa.binary()), ("m", pa.binary())])
 _SHARED = pa.schema([("kind", pa.int32()), ("piece", pa.int64()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 _CONTEXTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("piece", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])
@@ -122,31 +122,34 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def count_anchors(table: pa.Table, buckets: int) -> pa.Table:
-    """Of one piece: its different anchors by bucket, each with its number of documents (65,535: or more)."""
+    """Of one piece: its different anchors by bucket, each with its number of occurrences (65,535: or more) and a bit: in two documents or more."""
     piece = _Piece(*(table[n].to_pylist() for n in ("doc_id", "th", "text")))
     _, _, _, h, doc, order, first = piece.anchors()
     if not len(h):
         return _table([], _COUNTS)
     new = np.diff(doc[order], prepend=-1) != 0
     new[first] = True
-    n = np.minimum(np.add.reduceat(new.astype(np.int64), first), 65535).astype(np.uint16)
+    several = np.add.reduceat(new.astype(np.int64), first) > 1
+    n = np.minimum(np.diff(np.append(first, len(h))), 65535).astype(np.uint16)
     h = h[order][first]
     bucket = bucket_of(h, buckets)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     number = table["piece"][0].as_py()
-    return _table([{"bucket": int(bucket[s]), "piece": number, "h": h[s:e].tobytes(), "n": n[s:e].tobytes()} for s, e in zip(cuts, np.append(cuts[1:], len(h)), strict=True)], _COUNTS)
+    return _table([{"bucket": int(bucket[s]), "piece": number, "h": h[s:e].tobytes(), "n": n[s:e].tobytes(), "m": np.packbits(several[s:e]).tobytes()} for s, e in zip(cuts, np.append(cuts[1:], len(h)), strict=True)], _COUNTS)
 
 
 def shared_anchors(table: pa.Table, hot: int) -> pa.Table:
     """Of one bucket, back to each piece: bits of its anchors in order that two documents or more have, and of the hot ones."""
     parts = [np.frombuffer(x, np.uint64) for x in table["h"].to_pylist()]
     n = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint16).astype(np.int64)
-    _, back = np.unique(np.concatenate(parts), return_inverse=True)
-    docs = np.bincount(back, n)[back]
+    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table["m"].to_pylist(), parts, strict=True)])
+    _, back, pieces = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    shared = ((pieces > 1) | (np.bincount(back, several) > 0))[back]
+    is_hot = (np.bincount(back, n) > hot)[back]
     ends = np.cumsum([len(x) for x in parts])
     bucket = table["bucket"][0].as_py()
     pack = lambda x: np.packbits(x).tobytes()
-    return _table([{"kind": 1, "piece": p, "bucket": bucket, "a": pack(docs[e - len(x) : e] > 1), "b": pack(docs[e - len(x) : e] > hot)} for p, x, e in zip(table["piece"].to_pylist(), parts, ends, strict=True)], _SHARED)
+    return _table([{"kind": 1, "piece": p, "bucket": bucket, "a": pack(shared[e - len(x) : e]), "b": pack(is_hot[e - len(x) : e])} for p, x, e in zip(table["piece"].to_pylist(), parts, ends, strict=True)], _SHARED)
 
 
 def contexts(table: pa.Table, buckets: int) -> pa.Table:
