@@ -92,8 +92,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id neither gives nor loses chunks; rows that repeat id and text have the same result and don't repeat each other.
     """
     found = keep(chunks(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
-    place = F.struct("doc_id", "start", "th")
-    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
     later = found.join(first, ["a", "b"]).where("doc_id != first_doc or start != first_start")
     by = later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "size", F.col("first_doc").alias("doc_id")))).alias("repeats"))
     text = F.col(text_col).cast("binary")
