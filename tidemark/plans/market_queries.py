@@ -13,7 +13,10 @@ from .registry import query, rounded
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as bank transactions."""
-    e = table(spark, sf_dir, "events")
+    return as_transactions(table(spark, sf_dir, "events"))
+
+
+def as_transactions(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return e.select(
         "ts", F.col("event_id").alias("seq"), F.when(kind == "purchase", "INCOME").when(kind == "click", "EXPENSE").when(kind == "error", "WITHDRAWAL").otherwise("OTHER").alias("type"),
