@@ -70,7 +70,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         rows, starts, sizes, digests = [], [], [], []
         for k, (t, ends) in enumerate(zip(texts, boundaries(texts, table), strict=True)):
             rows.append(np.full(len(ends), k))
-            begin = [0, *ends[:-1]]
+            begin = [0, *ends][: len(ends)]
             starts += begin
             sizes += [e - s for s, e in zip(begin, ends, strict=False)]
             digests += [xxhash.xxh3_128_digest(t[s:e]) for s, e in zip(begin, ends, strict=False)]

@@ -43,13 +43,14 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. Null texts have no words."""
+    """(doc_id, th, fp): th hashes the text, fp is the fingerprint's 64 bits as a signed long. Null texts have no words."""
 
     def make(cols):
         prints = np.array([fingerprint(t) for t in cols["text"].to_pylist()], np.uint64)
-        return {"doc_id": cols["doc_id"], "fp": pa.array(prints.view(np.int64))}
+        return {"doc_id": cols["doc_id"], "th": cols["th"], "fp": pa.array(prints.view(np.int64))}
 
-    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), make, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    return in_arrow(rows, make, "doc_id long, th long, fp long")
 
 
 def links(prints: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
@@ -117,23 +118,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have fingerprint 0 and link like others. Repeated rows give repeated result rows. A null id is
     never the least one: a component of null ids alone has a null component_id. Other columns are ignored.
     """
+    return _grouped(docs, id_col, text_col, radius, pairwise).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
+    """(doc_id, th, fp, root, component_id) per row; root is one of the component's fingerprints."""
     prints = cut(fingerprints(docs, id_col, text_col))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(prints, radius, pairwise))
     nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(nodes.join(least, "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = cut(nodes.join(least, "root").select("fp", "root", "component_id"))
+    return prints.join(classes, "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which each component of near-duplicates keeps the one with the least id, repeated rows once.
+    """One row of docs for each component of near-duplicates: that with the least id; of several, the one whose text has the least hash.
 
-    A row with a null id stays only if its whole component has null ids.
+    A row with a null id stays only if its whole component has null ids. Rows that repeat id and text count as one.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    found = _grouped(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = found.groupBy("root").agg(F.min(F.struct("th", F.col("doc_id").alias("id"))).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
+    kept = docs.join(keep, same).dropDuplicates(["__id", "__th"])
+    return kept.select(*(F.col(f"`{n}`") for n in docs.columns))
 
 
 def hex64(fp: Column) -> Column:
