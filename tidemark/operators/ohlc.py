@@ -16,6 +16,11 @@ STANDARD = (
 ).split()
 
 
+def _log(a: Column, b: Column) -> Column:
+    """ln(a / b); null where that is no number."""
+    return F.ln(F.try_divide(a, b))
+
+
 def _rsi(x: Column, w, n: int = 14) -> Column:
     """100 - 100 / (1 + mean gain / mean loss) over n changes; the first row's change counts as none."""
     d = x - F.lag(x).over(w)
@@ -32,17 +37,17 @@ def standard_features(bars: DataFrame, horizon: int = 3, scaling: float = 1.0, a
     span = F.when(h != l, h - l)
     df = bars.withColumns({
         "body_ratio": F.abs(c - o) / span, "price_position": (c - l) / span, "hl_spread": h - l,
-        "log_ret": F.ln(c / before), "__tr": F.greatest(h - l, F.abs(h - before), F.abs(l - before)),
+        "log_ret": _log(c, before), "__tr": F.greatest(h - l, F.abs(h - before), F.abs(l - before)),
         "__up": h - F.lag(h).over(w), "__down": F.lag(l).over(w) - l,
         "sma_fast": rolling(F.avg, c, w, 10), "sma_slow": rolling(F.avg, c, w, 50), "__sma20": rolling(F.avg, c, w, 20),
         "__fast": ema(c, w, 2 / 13), "__slow": ema(c, w, 2 / 27), "rsi": _rsi(c, w),
         **{f"roc_{k}": change(c, w, k) for k in (3, 5, 10)},
         "volume_ewma": ewm(v, w, alpha)["mean"], "volume_change": v - F.lag(v).over(w),
-        "target": F.ln(F.lead(c, horizon).over(w) / c) * scaling,
+        "target": _log(F.lead(c, horizon).over(w), c) * scaling,
     })
     up, down, r = F.col("__up"), F.col("__down"), F.col("log_ret")
     atr = rolling(F.avg, F.col("__tr"), w, 14)
-    di = lambda x: 100 * rolling(F.avg, x, w, 14) / atr
+    di = lambda x: 100 * F.try_divide(rolling(F.avg, x, w, 14), atr)
     last20 = w.rowsBetween(-19, 0)
     full = F.count(r).over(last20) == 20
     day = F.weekday("day")
@@ -73,11 +78,11 @@ def volatility_features(bars: DataFrame) -> DataFrame:
     std = lambda x, n: rolling(F.stddev_samp, x, w, n)
     var = lambda x, n: rolling(F.var_samp, x, w, n)
     root = lambda x: F.when(x >= 0, F.sqrt(x))
-    hl, co = F.ln(h / l), F.ln(c / o)
-    ho, lo = F.ln(h / o), F.ln(l / o)
+    hl, co = _log(h, l), _log(c, o)
+    ho, lo = _log(h, o), _log(l, o)
     df = bars.withColumns({
-        "__r": F.ln(c / before), "__gk": root(0.5 * hl * hl - (2 * math.log(2) - 1) * co * co), "__pk": F.sqrt(hl * hl / (4 * math.log(2))),
-        "__rs": ho * (ho - co) + lo * (lo - co), "__rs2": ho * F.ln(h / c) + lo * F.ln(l / c), "__oc": F.ln(o / before), "__co": co,
+        "__r": _log(c, before), "__gk": root(0.5 * hl * hl - (2 * math.log(2) - 1) * co * co), "__pk": F.sqrt(hl * hl / (4 * math.log(2))),
+        "__rs": ho * (ho - co) + lo * (lo - co), "__rs2": ho * _log(h, c) + lo * _log(l, c), "__oc": _log(o, before), "__co": co,
     })
     r, oc, co, rs = (F.col(n) for n in ("__r", "__oc", "__co", "__rs"))
     yz = lambda n, k: root(var(oc, n) + k * var(co, n) + (1 - k) * mean(rs, n))
