@@ -20,15 +20,22 @@ LEVEL = 3
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries of good and bad texts and score = 1 / (1 + exp(-(slope * difference + offset))); no dictionaries: offset alone."""
+    """Dictionaries of good and bad texts and the calibration of what they compress to; no dictionaries: offset alone.
+
+    score = 1 / (1 + exp(-(slope * d + level * r + bend * r * r + offset))) with d the normalised difference of the sizes and
+    r the logarithm of the smaller size by the text's: texts that repeat themselves are small with either dictionary.
+    """
 
     good: bytes = b""
     bad: bytes = b""
     slope: float = 0.0
     offset: float = 0.0
+    level: float = 0.0
+    bend: float = 0.0
 
-    def score(self, difference: float) -> float:
-        z = max(-30.0, min(30.0, self.slope * difference + self.offset))
+    def score(self, text: bytes) -> float:
+        d, r = measures(text, self.good, self.bad) if self.good else (0.0, 0.0)
+        z = max(-30.0, min(30.0, self.slope * d + self.level * r + self.bend * r * r + self.offset))
         return 1 / (1 + math.exp(-z))
 
 
@@ -41,13 +48,15 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=book, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def difference(text: bytes, good: bytes, bad: bytes) -> float:
-    """(bytes with the bad dictionary - bytes with the good one) / their sum, over the whole text; 0 for an empty text."""
+def measures(text: bytes, good: bytes, bad: bytes) -> tuple[float, float]:
+    """Over the whole text: (size with the bad dictionary - size with the good one) / their sum, and ln(smaller size / the text's); 0 for an empty text."""
+    if not text:
+        return 0.0, 0.0
     sizes = []
     for content in (good, bad):
         compress = _compressor(content).compress
         sizes.append(sum(len(compress(text[k : k + BLOCK])) for k in range(0, len(text), BLOCK)))
-    return (sizes[1] - sizes[0]) / max(1, sum(sizes))
+    return (sizes[1] - sizes[0]) / sum(sizes), math.log(min(sizes) / len(text))
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
@@ -110,22 +119,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen[y] += 1
     good, bad = _dictionary(train[1], DICT_BYTES), _dictionary(train[0], DICT_BYTES)
     rest = rest or [(y, t) for y in train for t in train[y]]
-    x = np.array([[difference(t, good, bad), 1.0] for _, t in rest])
+    x = np.array([[d, 1.0, r, r * r] for d, r in (measures(t, good, bad) for _, t in rest)])
     y = np.array([float(a) for a, _ in rest])
-    scale = float(np.abs(x[:, 0]).max()) or 1.0
+    scale = np.abs(x).max(axis=0)
+    scale[scale == 0] = 1.0
     share = known.agg(F.avg("y")).head()[0] or 0.5
     weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    slope, offset = logistic(x / np.array([scale, 1.0]), y, weight)
-    return Model(good, bad, float(slope) / scale, float(offset))
+    return Model(good, bad, *(logistic(x / scale, y, weight) / scale).tolist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) per row; whole texts, null as empty. An empty text has difference 0."""
+    """(doc_id, score) per row; whole texts, null as empty. An empty text has measures 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(cols):
         m = shared.value
-        return {"doc_id": cols["doc_id"], "score": [m.score(difference(t or b"", m.good, m.bad) if m.good else 0.0) for t in cols["text"].to_pylist()]}
+        return {"doc_id": cols["doc_id"], "score": [m.score(t or b"") for t in cols["text"].to_pylist()]}
 
     kind = dict(docs.dtypes)[id_col]
     return in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")), make, f"doc_id {kind}, score double")
@@ -137,6 +146,6 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def judge(texts):
         m = shared.value
-        return [m.score(difference(t, m.good, m.bad) if m.good else 0.0) >= threshold for t in texts]
+        return [m.score(t) >= threshold for t in texts]
 
     return keep_rows(docs, text_col, judge)
