@@ -42,7 +42,7 @@ def reach(alpha: float, tiny: float = 1e-13) -> int:
 def ema(x: Column, w: WindowSpec, alpha: float) -> Column:
     """y = (1 - alpha) * y before + alpha * x, from the first value on."""
     past = F.collect_list(x).over(w.rowsBetween(-reach(alpha), 0))
-    return F.aggregate(F.slice(past, 2, F.greatest(F.size(past) - 1, F.lit(0))), F.get(past, F.lit(0)), lambda y, v: y * (1 - alpha) + v * alpha)
+    return F.aggregate(past, F.lit(None).cast("double"), lambda y, v: F.when(y.isNull(), v).otherwise(y * (1 - alpha) + v * alpha))
 
 
 def ewm(x: Column, w: WindowSpec, alpha: float) -> Column:

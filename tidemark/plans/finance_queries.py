@@ -10,7 +10,9 @@ from ..operators.ranking import top_per_key
 from ..sources.tables import BARS_SQL, daily_bars, table
 from .registry import query, rounded
 
-AS_OF = F.lit("2024-01-15").cast("date")
+def as_of() -> F.Column:
+    """The day that bonds are valued at."""
+    return F.lit("2024-01-15").cast("date")
 
 
 def bond_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ _FLOWS = """flow AS (SELECT b.*, CAST(maturity - to_months((6 * k)::INT) AS DATE
 )
 def bond_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cash flows exploded and discounted: price, durations, convexity, value of a basis point and sensitivity."""
-    flows = bonds.cash_flows(bond_table(spark, sf_dir), AS_OF)
+    flows = bonds.cash_flows(bond_table(spark, sf_dir), as_of())
     p = bonds.priced(flows, ["bond"], 0.03 + 0.001 * (F.col("bond") % 40))
     return rounded(p.select("*", bonds.rate_sensitivity(F.col("price"), F.col("modified_duration"), F.col("convexity")).alias("up_100bp"), bonds.duration_class(F.col("modified_duration")).alias("rate_risk")), exact=("dv01",))
 
@@ -48,7 +50,7 @@ def bond_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bond_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yield to maturity by sixty halvings inside one expression, and the current yield."""
-    b = bond_table(spark, sf_dir).withColumn("years", bonds.years_to(F.col("maturity"), AS_OF))
+    b = bond_table(spark, sf_dir).withColumn("years", bonds.years_to(F.col("maturity"), as_of()))
     ytm = bonds.yield_to_maturity(F.col("price"), F.col("face_value"), F.col("coupon_rate"), F.col("years"))
     return rounded(b.select("bond", "years", ytm.alias("ytm"), (F.col("coupon_rate") * F.col("face_value") / F.col("price")).alias("current_yield")))
 
@@ -75,7 +77,7 @@ def bond_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE coupon_rate * 100 BETWEEN 3 AND 6 AND years BETWEEN 2 AND 12 AND face_value <= 1000 AND upper(p_name) LIKE '%A%' AND rating IN ('AAA', 'AA+', 'AA')"""
 )
 def bond_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bond_table(spark, sf_dir).withColumn("years", bonds.years_to(F.col("maturity"), AS_OF))
+    b = bond_table(spark, sf_dir).withColumn("years", bonds.years_to(F.col("maturity"), as_of()))
     keep = F.col("years").between(2, 12) & (F.col("coupon_rate") * 100).between(3, 6) & (F.col("face_value") <= 1000) & F.upper("p_name").contains("A") & F.col("rating").isin("AAA", "AA+", "AA")
     return b.where(keep).select("bond", F.col("p_name").alias("name"), "coupon_rate", F.round("years", 6).alias("years"))
 
@@ -211,7 +213,7 @@ def hurst_exponents(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights within a portfolio and weighted sums."""
-    b = bond_table(spark, sf_dir).withColumns({"weight": F.col("price") / F.sum("price").over(Window.partitionBy("p_brand")), "years": bonds.years_to(F.col("maturity"), AS_OF)})
+    b = bond_table(spark, sf_dir).withColumns({"weight": F.col("price") / F.sum("price").over(Window.partitionBy("p_brand")), "years": bonds.years_to(F.col("maturity"), as_of())})
     return rounded(b.groupBy(F.col("p_brand").alias("sector")).agg(F.count("*").alias("bonds"), F.sum(F.col("weight") * F.col("coupon_rate")).alias("coupon"), F.sum(F.col("weight") * F.col("years")).alias("years"), F.max("weight").alias("largest"), F.coalesce(F.sum(F.when(F.col("rating").startswith("A"), F.col("weight"))), F.lit(0.0)).alias("a_rated")))
 
 
@@ -221,7 +223,7 @@ def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def barbell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best short and the best long bond of each desk."""
-    c = bond_table(spark, sf_dir).select(F.col("p_brand").alias("desk"), "bond", "coupon_rate", bonds.years_to(F.col("maturity"), AS_OF).alias("years"), (F.col("bond") % 7 / F.lit(7.0)).alias("liq"))
+    c = bond_table(spark, sf_dir).select(F.col("p_brand").alias("desk"), "bond", "coupon_rate", bonds.years_to(F.col("maturity"), as_of()).alias("years"), (F.col("bond") % 7 / F.lit(7.0)).alias("liq"))
     best = lambda df, leg, order: top_per_key(df, ["desk"], order, 1).select("desk", F.lit(leg).alias("leg"), "bond", "coupon_rate", F.round("years", 6).alias("years"))
     rate = [F.col("coupon_rate").desc(), F.col("bond").asc()]
     return best(c.where("years < 3"), "short", [F.col("liq").desc(), *rate]).unionByName(best(c.where("years > 7"), "long", rate))
