@@ -191,3 +191,77 @@ def curve_yields(df: DataFrame, maturities: str, yields: str, targets: str) -> D
         return pd.Series([one(*x) for x in zip(m, y, t, strict=True)])
 
     return df.withColumn("curve_yield", kernel(F.col(maturities), F.col(yields), F.col(targets)))
+
+
+def liquidity_score(bid: Column, ask: Column, volume: Column, widest: float = 2.0, largest: float = 1e9) -> Column:
+    """0.6 for a tight spread and 0.4 for volume; 0.3 without quotes."""
+    spread = (ask - bid) / ((bid + ask) / 2) * 100
+    tight = F.greatest(F.lit(0.0), 1 - spread / widest)
+    busy = F.when(F.coalesce(volume, F.lit(0.0)) > 0, F.least(F.lit(1.0), volume / largest)).otherwise(0.3)
+    return F.when((bid > 0) & (ask > 0), 0.6 * tight + 0.4 * busy).otherwise(0.3)
+
+
+def duration_bucket(duration: Column) -> Column:
+    return F.when(duration < 1, "ultra_short").when(duration < 3, "short").when(duration < 5, "medium").when(duration < 7, "long").otherwise("ultra_long")
+
+
+def barbell_weights(target: Column, short: Column, long: Column) -> Column:
+    """struct(short, long) of weights that meet a target duration, each from 0 to 1."""
+    w = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(target - short, long - short), F.lit(0.5))))
+    return F.struct((1 - w).alias("short"), w.alias("long"))
+
+
+def accrued_interest(face: Column, coupon_rate: Column, next_coupon: Column, as_of: Column) -> Column:
+    """Share of a half-year's coupon since the last one, 182 days before the next; a quarter of the annual coupon where that says nothing."""
+    since = F.datediff(as_of, F.date_sub(next_coupon, 182))
+    half = face * coupon_rate / 2
+    return F.when((since > 0) & (since < 182), half * since / 182).otherwise(half / 2)
+
+
+def carry(coupon_rate: Column, price: Column, funding: Column) -> Column:
+    return coupon_rate / (price / 100) - funding
+
+
+def rolldown(now: Column, ahead: Column, duration: Column) -> Column:
+    return duration * (now - ahead)
+
+
+def confidence(duration: Column, years: Column, yield_change: Column, price_change: Column) -> Column:
+    """0.85, less for long durations, long maturities, moving yields and prices, more for short and calm ones; from 0.30 to 0.95."""
+    c = (
+        F.lit(0.85)
+        + F.when(duration > 10, -0.15).when(duration > 7, -0.10).when(duration < 3, 0.05).otherwise(0.0)
+        + F.when(years < 1, 0.05).when(years > 15, -0.10).otherwise(0.0)
+        + F.when(yield_change > 0.02, -0.15).when(yield_change > 0.01, -0.10).when(yield_change < 0.005, 0.05).otherwise(0.0)
+        + F.when(F.abs(price_change) > 0.10, -0.10).otherwise(0.0)
+    )
+    return F.greatest(F.lit(0.30), F.least(F.lit(0.95), c))
+
+
+def balance_curve(df: DataFrame, days: str, balances: str, until: int = 30) -> DataFrame:
+    """df with `curve`: array<double> of days 1 to `until` on the not-a-knot cubic through (days, balances); null for under four points."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<double>")
+    def kernel(d, b):
+        import pandas as pd
+
+        return pd.Series([None if x is None or len(x) < 4 else not_a_knot(np.asarray(x, float), np.asarray(y, float), np.arange(1.0, until + 1)).tolist() for x, y in zip(d, b, strict=True)])
+
+    return df.withColumn("curve", kernel(F.col(days), F.col(balances)))
+
+
+def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cubic spline whose first two and last two pieces are one cubic each; the end cubics continue outside."""
+    n, h = len(x), np.diff(x)
+    a, b = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-1] + h[-2]), h[-2]
+    m = np.linalg.solve(a, b)
+    i = np.clip(np.searchsorted(x, at) - 1, 0, n - 2)
+    t = at - x[i]
+    slope = (y[i + 1] - y[i]) / h[i] - h[i] * (2 * m[i] + m[i + 1]) / 6
+    return y[i] + slope * t + m[i] / 2 * t**2 + (m[i + 1] - m[i]) / (6 * h[i]) * t**3

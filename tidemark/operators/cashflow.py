@@ -68,3 +68,31 @@ def daily_balance(ledger: DataFrame) -> DataFrame:
     by = F.struct("ts", "seq")
     d = ledger.groupBy(F.to_date("ts").alias("day")).agg(F.min_by("balance", by).alias("opening"), F.max_by("balance", by).alias("closing"))
     return d.select("day", "opening", "closing", (F.col("closing") - F.col("opening")).alias("net_flow"), (F.col("closing") * (1 - 0.045)).alias("buffer"))
+
+
+def liquidity_features(windows: DataFrame, n: int = 7) -> DataFrame:
+    """(window_end, imbalance, volatility, intensity): rolling mean of net flow by volume, ln(1 + its deviation), and share of withdrawals among operations."""
+    from pyspark.sql import Window
+
+    from .timeseries import rolling
+
+    w = Window.partitionBy(F.lit(0)).orderBy("window_end")
+    out = F.col("expense_amount") + F.col("withdrawal_amount")
+    taken = F.col("operation_WITHDRAWAL_count") + F.col("operation_CARD WITHDRAWAL_count")
+    raw = windows.select("window_end", ((F.col("income_amount") - out) / (F.col("income_amount") + out + 1e-9)).alias("i"), (taken / (F.col("operation_DEPOSIT_count") + taken + 1e-9)).alias("t"))
+    return raw.select("window_end", rolling(F.avg, F.col("i"), w, n).alias("imbalance"), F.log1p(rolling(F.stddev_samp, F.col("i"), w, n)).alias("volatility"), rolling(F.avg, F.col("t"), w, n).alias("intensity"))
+
+
+def state_risk(features: list[Column], limits: list[tuple[float, float]], means: list[float], scales: list[float], centres: list[list[float]], moves: list[list[float]], risk: int) -> Column:
+    """Chance of state `risk` tomorrow: features within limits and scaled, softmax of minus half their squared distance to each state's centre, then one step of `moves`."""
+    z = [(F.greatest(F.lit(lo), F.least(F.lit(hi), f)) - m) / s for f, (lo, hi), m, s in zip(features, limits, means, scales, strict=True)]
+    weight = []
+    for c in centres:
+        d = F.lit(0.0)
+        for x, y in zip(z, c, strict=True):
+            d = d + (x - y) * (x - y)
+        weight.append(F.exp(-0.5 * d))
+    total, out = sum(weight[1:], weight[0]), F.lit(0.0)
+    for w, row in zip(weight, moves, strict=True):
+        out = out + w / total * row[risk]
+    return out

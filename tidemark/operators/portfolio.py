@@ -109,3 +109,51 @@ def hurst(prices: DataFrame, key: str, order: str, x: str, lags: range = range(2
     long = std.select(key, F.explode(F.array(*(F.struct(F.lit(float(k)).alias("k"), F.col(f"s{k}").alias("s")) for k in lags))).alias("p")).where("p.s > 0")
     fit = long.groupBy(key).agg(F.regr_slope(F.ln("p.s"), F.ln("p.k")).alias("h"))
     return fit.select(key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("h", F.lit(0.5)))).alias("hurst"))
+
+
+def sharpe_allocation(sharpes: DataFrame, key: list[str] | None = None, sharpe: str = "sharpe", capital: float = 100_000.0) -> DataFrame:
+    """sharpes with position_pct, in proportion to positive Sharpe ratios, and position_value; none is positive: 0."""
+    good = F.greatest(F.coalesce(F.col(sharpe), F.lit(0.0)), F.lit(0.0))
+    pct = F.coalesce(F.try_divide(good, F.sum(good).over(Window.partitionBy(*(key or [F.lit(0)])))), F.lit(0.0))
+    return sharpes.select("*", pct.alias("position_pct"), (pct * capital).alias("position_value"))
+
+
+def trade_pnl(side: Column, entry: Column, exit: Column) -> Column:
+    """Percent gained by a long or short trade."""
+    return F.try_divide(F.when(side == "long", exit - entry).otherwise(entry - exit), entry) * 100
+
+
+def updated_positions(targets: DataFrame, held: DataFrame, as_of: Column, stop: float = 0.01) -> DataFrame:
+    """targets (pair, direction, price, strength) against held (pair, direction, entry_price, entry_date): one row a pair with its state.
+
+    The same direction keeps its entry, another one enters anew at the price; flat after a position closes it. Stops are
+    `stop` against the entry, take-profits twice that in favour.
+    """
+    h = held.select("pair", F.col("direction").alias("was"), F.col("entry_price").alias("was_price"), F.col("entry_date").alias("was_date"))
+    j = targets.join(h, "pair", "left")
+    flat = F.col("direction") == "flat"
+    same = F.col("direction") == F.col("was")
+    j = j.withColumns({"entry_price": F.when(flat, None).when(same, F.col("was_price")).otherwise(F.col("price")), "entry_date": F.when(flat, None).when(same, F.col("was_date")).otherwise(as_of)})
+    sign = F.when(F.col("direction") == "long", 1).otherwise(-1)
+    return j.select(
+        "pair", "direction", "entry_price", "entry_date", trade_pnl(F.col("direction"), F.col("entry_price"), F.col("price")).alias("unrealized_pnl_pct"), F.datediff(as_of, "entry_date").alias("days_held"),
+        (F.col("entry_price") * (1 - sign * stop)).alias("stop_loss"), (F.col("entry_price") * (1 + sign * 2 * stop)).alias("take_profit"),
+        F.when(F.col("strength") < 30, "weak").when(F.col("strength") < 60, "moderate").otherwise("strong").alias("signal_strength"),
+        F.when(~same & F.col("was").isNotNull() & (F.col("was") != "flat"), trade_pnl(F.col("was"), F.col("was_price"), F.col("price"))).alias("closed_pnl_pct"),
+    )
+
+
+def checked(recommendations: DataFrame, portfolios: DataFrame, held: DataFrame, sectors: DataFrame, buffer: float = 0.05, single: float = 0.10, sector: float = 0.30, risk: float = 0.6) -> DataFrame:
+    """recommendations (portfolio, isin, action, quantity, price, risk_score, sector) with reason: '' or why one is rejected, first rule first.
+
+    portfolios (portfolio, cash, total_value); held (portfolio, isin, held_quantity); sectors (portfolio, sector, exposure).
+    """
+    j = recommendations.join(portfolios, "portfolio").join(held, ["portfolio", "isin"], "left").join(sectors, ["portfolio", "sector"], "left")
+    cost = F.col("quantity") * F.col("price")
+    weight = F.coalesce(F.try_divide(cost, F.col("total_value") + cost), F.lit(0.0))
+    buy, away = F.col("action") == "BUY", F.col("action").isin("SELL", "SWITCH")
+    reason = (
+        F.when(buy & (cost > F.col("cash") - F.col("total_value") * buffer), "cash").when(buy & (F.col("risk_score") > risk), "risk").when(buy & (weight > single), "position")
+        .when(buy & (F.coalesce("exposure", F.lit(0.0)) + weight > sector), "sector").when(away & F.col("held_quantity").isNull(), "not held").otherwise("")
+    )
+    return j.select("portfolio", "isin", "action", F.when((F.col("action") == "SELL") & (F.col("quantity") > F.col("held_quantity")), F.col("held_quantity")).otherwise(F.col("quantity")).alias("quantity"), reason.alias("reason"))

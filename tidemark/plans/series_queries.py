@@ -116,14 +116,14 @@ _RANGE = "OVER (PARTITION BY pair ORDER BY day RANGE BETWEEN INTERVAL 10 DAY PRE
 
 
 @query(
-    f"""WITH {BARS_SQL} SELECT pair, day, count(*) {_RANGE} AS n, round(avg(close) {_RANGE}, 6) AS mean_10d, round(stddev_pop(close) {_RANGE}, 6) AS std_10d, round(max(high) {_RANGE}, 8) AS high_10d, round(min(low) {_RANGE}, 8) AS low_10d,
+    f"""WITH {BARS_SQL} SELECT pair, day, count(*) {_RANGE} AS n, round(avg(close) {_RANGE}, 8) AS mean_10d, CASE WHEN count(*) {_RANGE} >= 3 THEN round(stddev_pop(close) {_RANGE}, 6) END AS std_10d, round(max(high) {_RANGE}, 8) AS high_10d, round(min(low) {_RANGE}, 8) AS low_10d,
     round(first(close) OVER (PARTITION BY pair ORDER BY day RANGE BETWEEN INTERVAL 3 DAY FOLLOWING AND INTERVAL 3 DAY FOLLOWING), 8) AS close_in_3d FROM bars"""
 )
 def range_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval windows: the bars of the last 10 days with both ends, and the bar exactly 3 days ahead."""
     roll = lambda f, x: ts.rolling_range(f, F.col(x), "pair", "ts_ms", 10)
     bars = daily_bars(spark, sf_dir)
-    return rounded(bars.select("pair", "day", roll(F.count, "close").alias("n"), roll(F.avg, "close").alias("mean_10d"), roll(F.stddev_pop, "close").alias("std_10d"), roll(F.max, "high").alias("high_10d"), roll(F.min, "low").alias("low_10d"), ts.at_offset(F.col("close"), "pair", "ts_ms", 3).alias("close_in_3d")), exact=("high_10d", "low_10d", "close_in_3d"))
+    return rounded(bars.select("pair", "day", roll(F.count, "close").alias("n"), roll(F.avg, "close").alias("mean_10d"), F.when(roll(F.count, "close") >= 3, roll(F.stddev_pop, "close")).alias("std_10d"), roll(F.max, "high").alias("high_10d"), roll(F.min, "low").alias("low_10d"), ts.at_offset(F.col("close"), "pair", "ts_ms", 3).alias("close_in_3d")), exact=("mean_10d", "high_10d", "low_10d", "close_in_3d"))
 
 
 @query(
