@@ -12,19 +12,20 @@ from .timeseries import keep_latest
 def exact_duplicates(articles: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """articles (id, url, content, ...) with url_hash, content_hash and duplicate: '', 'url' or 'content', of an article with a lesser id.
 
-    seen (url_hash) has addresses of earlier runs. A page under 100 characters has no content hash and repeats none.
+    seen (url_hash) has addresses of earlier runs. A page under 100 characters has no content hash and repeats none; a null
+    url repeats none. First ids are aggregated before they are joined back, so an address of very many rows is one row there.
     """
     a = articles.withColumns({"url_hash": F.md5(normal_url(F.col("url"))), "content_hash": content_hash(F.coalesce("content", F.lit("")))})
-    first = F.min("id").over(Window.partitionBy("url_hash"))
-    a = a.withColumn("__url", F.col("id") > first)
+    first = a.where("url_hash is not null").groupBy("url_hash").agg(F.min("id").alias("__first"))
+    a = a.join(first, "url_hash", "left").withColumn("__url", F.coalesce(F.col("id") > F.col("__first"), F.lit(False))).drop("__first")
     if seen is not None:
         known = seen.select("url_hash").distinct().withColumn("__seen", F.lit(True))
         a = a.join(known, "url_hash", "left").withColumn("__url", F.col("__url") | F.col("__seen").isNotNull()).drop("__seen")
     # of contents, only those of articles with a new address register
-    mine = F.when(~F.col("__url") & (F.col("content_hash") != ""), F.col("id"))
-    first = F.min(mine).over(Window.partitionBy("content_hash"))
-    same = ~F.col("__url") & (F.col("content_hash") != "") & (F.col("id") > first)
-    return a.withColumn("duplicate", F.when(F.col("__url"), "url").when(same, "content").otherwise("")).drop("__url")
+    first = a.where(~F.col("__url") & (F.col("content_hash") != "")).groupBy("content_hash").agg(F.min("id").alias("__first"))
+    a = a.join(first, "content_hash", "left")
+    same = ~F.col("__url") & F.coalesce(F.col("id") > F.col("__first"), F.lit(False))
+    return a.withColumn("duplicate", F.when(F.col("__url"), "url").when(same, "content").otherwise("")).drop("__url", "__first")
 
 
 def fuzzy_clusters(articles: DataFrame, least: float = 0.65, most: int = 200) -> DataFrame:
