@@ -62,7 +62,9 @@ def anchors(text: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int = 1
     low = starts[new]
     high = starts[np.append(new[1:], len(starts)) - 1] if len(starts) else low
     place = place[new]
-    return low, high, place, np.concatenate(hashes)[place]
+    h = np.concatenate(hashes)[place] * np.uint64(0x9FB21C651E98DF25)  # least hashes are small: mixed once more, they spread
+    h ^= h >> np.uint64(35)
+    return low, high, place, h * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hashes(text: np.ndarray, n: int) -> np.ndarray:
