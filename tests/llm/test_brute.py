@@ -184,6 +184,15 @@ def test_op7_components(docs, texts, pairwise):
     assert got == {i: (prints[i], root(i)) for i in texts}
 
 
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_components_of_chains_and_stars(spark, broadcast):
+    from tidemark.llm.components import components
+
+    edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(8, 60)] + [(60, 7), (3, 3), (7, 8), (8, 7)]
+    got = dict(components(spark.createDataFrame(edges, "u long, v long"), broadcast).collect())
+    assert got == {k: 100 for k in range(101, 141)} | {k: 7 for k in range(8, 61)}
+
+
 @needs_tables
 def test_op8_targets_and_reruns(spark, texts):
     got = queries.op8_mixing(spark, SF).collect()
