@@ -125,3 +125,28 @@ def test_forecast_skips_weekends_and_clamps(spark):
     got = models.forecast(model, 3).orderBy("step").collect()
     assert [str(r.day) for r in got] == ["2024-01-08", "2024-01-09", "2024-01-10"]
     assert [r.predicted_close for r in got] == pytest.approx([110.0, 121.0, 133.1])
+
+
+def test_text_helpers(spark):
+    r = spark.range(1).select(
+        tx.json_or(F.lit('```json\n{"a": 3}\n```'), "a int", F.lit(None).cast("struct<a:int>")).alias("j"), tx.json_or(F.lit("no"), "a int", F.named_struct(F.lit("a"), F.lit(9))).alias("k"), tx.number(F.lit("1,234.5 %")).alias("n"), tx.number(F.lit("x")).alias("m"),
+        F.size(tx.sentiment_parts(F.lit("ab " * 700))).alias("parts"), tx.chunks(F.lit("x" * 4000)).alias("c"), tx.chunks(F.lit("")).alias("e"), tx.cluster_id(F.lit("co"), F.lit("f"), F.lit("d"), F.lit("t")).alias("id"),
+    ).head()
+    assert r.j.a == 3 and r.n == 1234.5 and r.m is None and r.parts == 2 and [len(x) for x in r.c] == [2000, 2000, 400] and r.e == [""]
+    assert r.id.startswith("cluster_co_f_d_") and len(r.id) == len("cluster_co_f_d_") + 8
+
+
+def test_not_a_knot_follows_a_cubic():
+    x = np.array([1.0, 3, 7, 14, 21, 30])
+    cubic = lambda t: 2 + t - 0.1 * t**2 + 0.003 * t**3
+    at = np.arange(1.0, 31)
+    assert bonds.not_a_knot(x, cubic(x), at) == pytest.approx(cubic(at))
+
+
+def test_positions_and_checks(spark):
+    targets = spark.createDataFrame([("a", "long", 110.0, 70.0), ("b", "short", 50.0, 40.0), ("c", "flat", 10.0, 5.0), ("d", "long", 8.0, 5.0)], "pair string, direction string, price double, strength double")
+    held = spark.createDataFrame([("a", "long", 100.0), ("b", "long", 40.0), ("c", "short", 20.0)], "pair string, direction string, entry_price double").withColumn("entry_date", F.lit("2024-01-01").cast("date"))
+    got = {r.pair: r for r in portfolio.updated_positions(targets, held, F.lit("2024-01-11").cast("date")).collect()}
+    assert got["a"].entry_price == 100 and got["a"].days_held == 10 and got["a"].unrealized_pnl_pct == pytest.approx(10) and got["a"].closed_pnl_pct is None
+    assert got["b"].entry_price == 50 and got["b"].closed_pnl_pct == pytest.approx(25) and got["b"].stop_loss == pytest.approx(50.5)
+    assert got["c"].entry_price is None and got["c"].closed_pnl_pct == pytest.approx(50) and got["d"].closed_pnl_pct is None
