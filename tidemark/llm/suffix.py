@@ -22,7 +22,7 @@ from .lyndon import suffix_arrays
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text in a piece of documents and in a bucket of anchors, as expected.
-PIECE, BUCKET = 4 << 20, 2 << 20
+PIECE, BUCKET = 4 << 20, 16 << 20
 #: An anchor of more occurrences is hot: each of its strings goes to a bucket of its own hash, equal ones of a piece once.
 HOT = 4096
 #: Anchors whose contexts fill more bytes are compared string by string; others share a suffix array.
