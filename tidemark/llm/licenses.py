@@ -136,10 +136,10 @@ def scan(text: str, coverage: float = COVERAGE) -> list[tuple[str, float, int, i
         for k, offset in at.get(w, ()):
             name, words = every[k]
             slack = max(1, int(SLACK * len(words)))
-            low, high = max(0, p - offset - slack), p - offset + len(words) + slack
-            if (k, low) in seen:
+            if (k, p - offset) in seen:
                 continue
-            seen.add((k, low))
+            seen.add((k, p - offset))
+            low, high = max(0, p - offset - slack), p - offset + len(words) + slack
             pairs = patience(words, plain[low:high])
             share = len(pairs) / len(words)
             if share >= coverage and any(words[x] in CUES for x, _ in pairs):
