@@ -20,6 +20,14 @@ def samples(levels: DataFrame) -> DataFrame:
     return df.withColumns({"lag_2_return": F.lag("lag_1_return").over(w), "avg_body_14": F.avg("body").over(last14), "avg_range_14": F.avg("range").over(last14), "target": F.lead("lag_1_return").over(w)})
 
 
+def level_samples(levels: DataFrame, most: int = 365) -> DataFrame:
+    """samples() of the last `most` days of each maturity with the next close as the target; the first two days, which lack lags, have none."""
+    w = Window.partitionBy("maturity")
+    last = levels.withColumn("__r", F.row_number().over(w.orderBy(F.desc("day")))).where(F.col("__r") <= most).drop("__r")
+    w = w.orderBy("day")
+    return samples(last).withColumn("target", F.when(F.row_number().over(w) > 2, F.lead("close").over(w)))
+
+
 class Online:
     """Running standardisation and linear regression by stochastic gradient: a step of `rate`, weights shrunk by `l2`; the intercept is not shrunk.
 
@@ -113,6 +121,26 @@ def forecast(models: DataFrame, days: int = 21, most: float = 0.10) -> DataFrame
     return folded.select("maturity", F.posexplode("f").alias("step", "f")).select("maturity", (F.col("step") + 1).cast("long").alias("step"), "f.*")
 
 
+def forecast_levels(models: DataFrame, days: int = 14, least: int = 30) -> DataFrame:
+    """forecast() for models of the next close: the predicted level, not clamped, gives the return that feeds the lags.
+
+    Body and range are the last 14-day means at every step. Models of fewer than `least` samples forecast nothing.
+    """
+    state = f"struct<day:date,close:double,l1:double,l2:double,out:{FORECAST}>"
+    start = F.struct(F.col("last_day").alias("day"), F.col("last_close").alias("close"), F.col("last")[0].alias("l1"), F.col("last")[1].alias("l2"), F.expr(f"cast(array() as {FORECAST})").alias("out")).cast(state)
+
+    def step(a: Column, _: Column) -> Column:
+        x = F.array(a["l1"], a["l2"], *(F.col("last")[k] for k in (4, 5, 4, 5)), a["close"])
+        scaled = F.transform(F.arrays_zip("weights", "means", "vars", x.alias("x")), lambda p: p["weights"] * F.when(p["vars"] > 0, (p["x"] - p["means"]) / F.sqrt(p["vars"])).otherwise(0.0))
+        close, day = F.aggregate(scaled, F.col("intercept"), lambda s, v: s + v), next_business_day(a["day"])
+        ret = F.coalesce(F.try_divide(close - a["close"], a["close"]), F.lit(0.0))
+        row = F.struct(day.alias("day"), close.alias("predicted_close"), ret.alias("predicted_return"))
+        return F.struct(day.alias("day"), close.alias("close"), ret.alias("l1"), a["l1"].alias("l2"), F.concat(a["out"], F.array(row)).alias("out")).cast(state)
+
+    folded = models.where(F.col("n") >= least).select("maturity", F.aggregate(F.sequence(F.lit(1), F.lit(days)), start, step, lambda a: a["out"]).alias("f"))
+    return folded.select("maturity", F.posexplode("f").alias("step", "f")).select("maturity", (F.col("step") + 1).cast("long").alias("step"), "f.*")
+
+
 def boosted_trees(rows: DataFrame, share: float = 0.8, rounds: int = 10, depth: int = 3):
     """(predictions on the last part of each maturity's days, importance by feature) of gradient-boosted trees trained on the first part."""
     from pyspark.ml.feature import VectorAssembler

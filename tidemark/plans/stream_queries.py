@@ -62,7 +62,8 @@ def online_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def elastic_net_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(models.forecast(models.elastic_net(models.samples(yield_levels(spark, sf_dir))), 14))
+    """Elastic net of the next close per maturity and its recursive forecast of 14 business days, from 30 samples on."""
+    return rounded(models.forecast_levels(models.elastic_net(models.level_samples(yield_levels(spark, sf_dir)))))
 
 
 @query()
