@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -144,6 +145,43 @@ def chunks(text: Column, size: int = 2000, overlap: int = 200) -> Column:
     return F.transform(starts, lambda k: F.substring(text, k * step + 1, F.lit(size)))
 
 
+def split_recursive(text: str, size: int = 2000, overlap: int = 200, separators: tuple[str, ...] = ("\n\n", "\n", ". ")) -> list[str]:
+    """Stripped pieces of up to `size` characters, cut before the first separator that the text has, longer parts at the next ones.
+
+    Whole parts of up to `overlap` characters are repeated at the start of the next piece. A part without separators stays whole.
+    """
+    at = next((k for k, s in enumerate(separators) if s in text), len(separators))
+    rest = separators[at + 1 :]
+    parts = [text]
+    if at < len(separators):
+        first, *others = text.split(separators[at])
+        parts = [p for p in (first, *(separators[at] + o for o in others)) if p]
+    out: list[str] = []
+    good: list[str] = []
+    for part in parts:
+        if len(part) < size:
+            good.append(part)
+            continue
+        out += merged(good, size, overlap)
+        good = []
+        out += split_recursive(part, size, overlap, rest) if rest else [part]
+    return out + merged(good, size, overlap)
+
+
+def merged(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Neighbouring parts joined up to `size` characters, with whole parts of up to `overlap` repeated; stripped, none empty."""
+    out, total = [], 0
+    now: deque[str] = deque()
+    for part in parts:
+        if now and total + len(part) > size:
+            out.append("".join(now))
+            while total > overlap or (total and total + len(part) > size):
+                total -= len(now.popleft())
+        now.append(part)
+        total += len(part)
+    return [p for p in (x.strip() for x in (*out, "".join(now))) if p]
+
+
 def sentiment_parts(text: Column) -> Column:
     """The first 450 words' worth of characters and as many from the middle, for a model with a short input."""
     n = F.char_length(text)

@@ -121,6 +121,21 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("chunk", "piece")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
+@query()
+def document_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping pieces of each document, cut at blank lines, lines and sentence ends, as rows."""
+    import pyarrow as pa
+
+    def task(batches):
+        for batch in batches:
+            pieces = [tx.split_recursive(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.list_(pa.string()))], ["doc_id", "pieces"])
+
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("long"), "text")
+    found = d.mapInArrow(task, "doc_id long, pieces array<string>")
+    return found.select("doc_id", F.posexplode("pieces").alias("chunk", "piece")).withColumn("chunk", F.col("chunk").cast("long"))
+
+
 @query(
     """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT query_id, vec_id AS id, list_distance(v, embedding)::DOUBLE AS distance FROM q, embeddings WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
     SELECT query_id, id, rank, round(distance, 4) AS distance, round(1 / (1 + distance), 4) AS relevance FROM r WHERE rank <= 5"""
