@@ -55,34 +55,67 @@ def test_op2_lines_of_many_documents(spark):
     assert not got[99].base_failed and not got[99].kept and got[100].kept
 
 
+def least_edits(unit: bytes, text: bytes) -> np.ndarray:
+    """For each end in text: the least edits of the whole unit against some part that ends there."""
+    row = np.zeros(len(text) + 1, np.int32)
+    t, places = np.frombuffer(text, np.uint8), np.arange(len(text) + 1, dtype=np.int32)
+    for k, c in enumerate(unit, 1):
+        new = np.concatenate([[np.int32(k)], np.minimum(row[1:] + 1, row[:-1] + (t != c))])
+        row = np.minimum.accumulate(new - places) + places
+    return row
+
+
 @needs_tables
-def test_op3_against_full_alignment(spark, texts):
-    bench = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
-    units = decontaminate.units([(i, t.encode()) for i, t in bench.items()])
-
-    def least(unit: bytes, text: bytes) -> int:
-        row = np.zeros(len(text) + 1, int)
-        t = np.frombuffer(text, np.uint8)
-        for k, c in enumerate(unit, 1):
-            new = np.concatenate([[k], np.minimum(row[1:] + 1, row[:-1] + (t != c))])
-            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-        return int(row.min())
-
-    some = sorted(texts)[:40]
+def test_op3_query_against_full_alignment(spark, tmp_path):
+    """Whole texts through the query, with every fifth unit; texts with as many edits as a unit allows are added."""
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:12]
+    bench += [(1000, "seven small boats sail"), (1001, "a note"), (1002, "x" * 14 + " y")]
+    units = decontaminate.units([(i, t.encode()) for i, t in bench])
     rng = random.Random(1)
-    edited = []
-    for u in units.texts[:20]:
+    for k, u in enumerate(units.texts):
         b = bytearray(u)
-        for _ in range(8):
-            k = rng.randrange(len(b))
-            b[k : k + 1] = rng.choice([b"", b"x", bytes([b[k]]) + b"q"])
-        edited.append(b"some words before it " + bytes(b) + b" and after")
-    everything = [decontaminate.normal(texts[i].encode()[:3000]) for i in some] + edited
-    got = {(t, u): x for t, u, x in decontaminate.search(everything, units)}
-    for t, text in enumerate(everything):
-        for u in range(0, len(units.texts), 5 if t < 40 else 1):
-            e = least(units.texts[u], text)
-            assert got.get((t, u)) == (e if e <= units.edits[u] else None)
+        for at in sorted(rng.sample(range(len(b)), int(units.edits[k])), reverse=True):
+            b[at : at + 1] = rng.choice([b"", b"\x7f", bytes([b[at]]) + b"\x7f"])
+        texts.append((10_000 + k, "some words before it " + b.decode(errors="replace") + " and after"))
+    texts += [(20_000, "the seven small boats sail on"), (20_001, "the seven small boats sailed"), (20_002, "seven small boats sail"), (20_003, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = [b" " + decontaminate.normal((t or "").encode()) + b" " for _, t in texts]
+    joined = b"\n".join(plain)
+    ends = np.cumsum([len(t) + 1 for t in plain])
+    want = {i: {} for i, _ in texts}
+    for u, unit in enumerate(units.texts):
+        cost = least_edits(unit, joined)
+        for (i, _), end, t in zip(texts, ends.tolist(), plain, strict=True):
+            # the line feed between texts is in no unit: a match over it costs an edit, so that only matches inside count
+            if (e := int(least_edits(unit, t).min()) if cost[end - len(t) - 1 : end].min() <= units.edits[u] else 10**6) <= units.edits[u]:
+                item = int(units.items[u])
+                want[i][item] = min(e, want[i].get(item, e))
+    got = {r.doc_id: (list(r["items"]), r.edits) for r in queries.op3_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {i: (sorted(w), min(w.values(), default=None)) for i, w in want.items()}
+    assert got[20_000][0] == got[20_002][0] == [1000] and got[20_001][0] == [] and sum(bool(w) for w in want.values()) > len(units.texts)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    small = decontaminate.contamination(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), block_bytes=2000)
+    assert {r.doc_id: (list(r["items"]), r.edits) for r in small.collect()} == got
+    kept = decontaminate.keep_clean(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), block_bytes=2000)
+    assert {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if not w}
+
+
+@pytest.mark.parametrize("size", [32, 80, 120, 169, 170, 179, 180])
+def test_op3_full_budget_at_every_shift(size):
+    """As many deletions, or insertions, as the budget allows, all on one side of the diagonal."""
+    rng = random.Random(size)
+    unit = bytes(rng.choices(range(97, 123), k=size))
+    one = decontaminate.units([(1, unit)])
+    e = int(one.edits[0])
+    step = size // (e + 1)
+    fewer = b"".join(unit[k * step : (k + 1) * step - 1] if k < e else unit[k * step :] for k in range(e + 1))
+    more = b"".join(unit[k * step : (k + 1) * step] + b"#" if k < e else unit[k * step :] for k in range(e + 1))
+    for made in (fewer, more):
+        assert least_edits(unit, made).min() <= e
+        for shift in range(33):
+            assert decontaminate.search([b"~" * shift + made + b"~~"], one), (shift, made)
 
 
 def test_op4_suffix_arrays():

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, keep_rows
+from .common import in_arrow, keep, keep_rows
 
 #: Length of a q-gram, and the share of a unit's bytes that may be edited (substituted, inserted or deleted).
 Q, EDITS = 8, 0.1
 #: A long item is searched as overlapping units: a passage of WINDOW + STRIDE bytes of it holds a whole unit.
-WINDOW, STRIDE, SHORTEST = 120, 60, 32
+WINDOW, STRIDE = 120, 60
+#: Items of under EXACT normalised bytes must match without edits at word borders; those under SHORTEST are no evidence,
+#: as common phrases have that length (the given tables' items have 95 bytes or more).
+EXACT, SHORTEST = 32, 16
 #: Diagonals in a band, but for the overlap, as a power of two.
 BAND = 4
 #: Benchmark text in one broadcast block.
@@ -44,13 +48,18 @@ class Units:
     seen: np.ndarray
 
 
-def units(rows: list[tuple[int, bytes]]) -> Units | None:
-    """The units of (item_id, text) rows: normalised items, long ones in overlapping windows; under SHORTEST bytes: none."""
+def units(rows: list[tuple[int, bytes]], shortest: int = SHORTEST) -> Units | None:
+    """The units of (item_id, text) rows: normalised items, long ones in overlapping windows; under `shortest` bytes: none.
+
+    An item of under EXACT bytes is a unit with a space on either side and no edits.
+    """
     texts, items = [], []
     for item, text in sorted(rows):
         t = normal(text)
-        if len(t) < SHORTEST:
+        if len(t) < max(shortest, Q - 2):
             continue
+        if len(t) < EXACT:
+            t = b" " + t + b" "
         starts = [0] if len(t) <= WINDOW + STRIDE else [*range(0, len(t) - WINDOW, STRIDE), len(t) - WINDOW]
         for s in starts:
             texts.append(t if len(starts) == 1 else t[s : s + WINDOW])
@@ -59,6 +68,7 @@ def units(rows: list[tuple[int, bytes]]) -> Units | None:
         return None
     size = np.array([len(t) for t in texts])
     edits = np.minimum((EDITS * size).astype(int), (size - Q) // Q)  # so that at least one q-gram must be shared
+    edits[[t.startswith(b" ") and t.endswith(b" ") and len(t) < EXACT + 2 for t in texts]] = 0
     grams, unit, place = [], [], []
     for u, t in enumerate(texts):
         g = grams_of(t)
@@ -105,9 +115,10 @@ def search(texts: list[bytes], against: Units) -> list[tuple[int, int, int]]:
 
     Texts are joined by line feeds, which normalised texts don't have. A match with e edits shares len + 1 - Q - Q * e
     q-grams with its unit, on e + 1 diagonals (text place - unit place) at most; a band holds 2^BAND diagonals and the
-    next e, so one band holds them all. Bands that share as many are aligned, each within one text.
+    next e, so one band holds them all: a shared q-gram counts for its own band and for each lower one that reaches it.
+    Bands that share as many are aligned, each within one text.
     """
-    texts = [normal(t) for t in texts]
+    texts = [b" " + normal(t) + b" " for t in texts]
     joined = b"\n".join([b"", *texts, b""])
     ends = np.cumsum([len(t) + 1 for t in texts])  # place of the line feed after each text
     g = grams_of(joined)
@@ -120,6 +131,7 @@ def search(texts: list[bytes], against: Units) -> list[tuple[int, int, int]]:
     if not many.sum():
         return []
     span = np.int64(len(joined) // (1 << BAND) + WINDOW)
+    reach = -(-int(against.edits.max()) // (1 << BAND))
     counted = []
     cuts = np.flatnonzero(np.diff(np.cumsum(many) // HITS, prepend=0, append=np.iinfo(np.int64).max))
     for low, high in zip([0, *cuts[:-1]], cuts, strict=True):  # bounded numbers of postings at once
@@ -129,8 +141,11 @@ def search(texts: list[bytes], against: Units) -> list[tuple[int, int, int]]:
         unit = against.unit_of[posting]
         diagonal = np.repeat(at[low:high], own) - against.place_of[posting] + WINDOW + STRIDE
         band, off = diagonal >> BAND, diagonal & ((1 << BAND) - 1)
-        also = off < against.edits[unit]
-        counted.append(np.unique(np.concatenate([unit * span + band, unit[also] * span + band[also] - 1]), return_counts=True))
+        keys = [unit * span + band]
+        for lower in range(1, reach + 1):
+            also = off + ((lower - 1) << BAND) < against.edits[unit]
+            keys.append(unit[also] * span + band[also] - lower)
+        counted.append(np.unique(np.concatenate(keys), return_counts=True))
     keys, back = np.unique(np.concatenate([c[0] for c in counted]), return_inverse=True)
     n = np.bincount(back, np.concatenate([c[1] for c in counted]))
     keys = keys[n >= against.least[keys // span]]
@@ -162,49 +177,82 @@ def search(texts: list[bytes], against: Units) -> list[tuple[int, int, int]]:
     return [(t, u, x) for (t, u), x in sorted(found.items())]
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[Units]:
-    """The benchmark's units in blocks of about block_bytes of text, so that what is broadcast at once is bounded."""
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shortest: int = SHORTEST) -> Iterator[Units]:
+    """The benchmark's units in blocks of about block_bytes of text, one at a time: the driver holds the block in use alone."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text")).where("item is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = math.ceil(total / block_bytes)
-    found = []
+    if n > 1:
+        rows = keep(rows.distinct().withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartitionByRange("block"))
+    else:
+        rows = rows.distinct().withColumn("block", F.lit(0))
     for b in range(n):
-        block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).distinct().toLocalIterator()
-        found.append(units([(r["item"], bytes(r["text"])) for r in block]))
-    return [u for u in found if u]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs: doc_id, items (ids of the benchmark items with a matching unit, in order) and edits (least of any match, else null).
+        block = units([(r["item"], bytes(r["text"])) for r in rows.where(F.col("block") == b).toLocalIterator()], shortest)
+        if block:
+            yield block
 
-    The benchmark is a query set, broadcast in bounded blocks; each block is one narrow pass over the documents, so nothing
-    is shuffled. Null and empty texts match nothing; repeated rows are judged alike; benchmark rows that are null or under
-    SHORTEST normalised bytes are no evidence. Other columns are ignored.
-    """
-    kind = dict(docs.dtypes)[id_col]
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.expr("cast(array() as array<bigint>)").alias("items"), F.lit(None).cast("int").alias("edits"))
-    for block in blocks(benchmark, block_bytes=block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def make(cols, shared=shared):
-            items, edits = cols["items"].to_pylist(), cols["edits"].to_pylist()
-            for t, u, x in search([t or b"" for t in cols["text"].to_pylist()], shared.value):
-                items[t] = sorted({*items[t], int(shared.value.items[u])})
-                edits[t] = x if edits[t] is None else min(x, edits[t])
-            return {"doc_id": cols["doc_id"], "text": cols["text"], "items": items, "edits": edits}
+def _searched(rows: DataFrame, block: Units, kind: str) -> DataFrame:
+    """rows (doc_id, th, text) with items and edits in place of the text."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
-        found = in_arrow(found, make, f"doc_id {kind}, text binary, items array<bigint>, edits int")
-    return found.drop("text")
+    def make(cols):
+        items = [set() for _ in range(len(cols["doc_id"]))]
+        edits = [None] * len(items)
+        for t, u, x in search([t or b"" for t in cols["text"].to_pylist()], shared.value):
+            items[t].add(int(shared.value.items[u]))
+            edits[t] = x if edits[t] is None else min(x, edits[t])
+        return {"doc_id": cols["doc_id"], "th": cols["th"], "items": [sorted(x) for x in items], "edits": edits}
 
+    return in_arrow(rows, make, f"doc_id {kind}, th bigint, items array<bigint>, edits int")
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that hold no benchmark unit, unchanged."""
-    for block in blocks(benchmark, block_bytes=block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def judge(texts, shared=shared):
-            bad = {t for t, _, _ in search(texts, shared.value)}
-            return [t not in bad for t in range(len(texts))]
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shortest: int = SHORTEST) -> DataFrame:
+    """Per row of docs: doc_id, items (ids of the benchmark items with a matching unit, in order) and edits (least of any match, else null).
 
-        docs = keep_rows(docs, text_col, judge)
-    return docs
+    The benchmark is a query set, broadcast in bounded blocks. With one block the work is a narrow pass over the documents
+    and nothing is shuffled. With more, each block's hits are written, so that one block is in memory at a time, and the
+    hits of all blocks meet by id and text; documents without a hit are not part of that. Null and empty texts match
+    nothing; repeated rows are judged alike; benchmark rows that are null or under `shortest` normalised bytes are no
+    evidence. Other columns, whatever their names, are ignored.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    found, held = [], None
+    for block in blocks(benchmark, block_bytes=block_bytes, shortest=shortest):
+        if held is not None:
+            found.append(keep(_searched(rows, held, kind).where("edits is not null")))
+        held = block
+    if held is None:
+        return rows.select("doc_id", F.expr("cast(array() as array<bigint>)").alias("items"), F.lit(None).cast("int").alias("edits"))
+    last = _searched(rows, held, kind)
+    if not found:
+        return last.drop("th")
+    hits = keep(last.where("edits is not null"))
+    for more in found:
+        hits = hits.unionByName(more)
+    hits = hits.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.min("edits").alias("edits"))
+    one, two = rows.drop("text").alias("a"), hits.alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))
+    return one.join(two, same, "left").select("a.doc_id", F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"), "edits")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of docs that hold no benchmark unit, unchanged; with several blocks, what each leaves is written for the next."""
+    held = None
+    for block in blocks(benchmark, block_bytes=block_bytes, shortest=shortest):
+        if held is not None:
+            docs = keep(_without_hits(docs, held, text_col))
+        held = block
+    return docs if held is None else _without_hits(docs, held, text_col)
+
+
+def _without_hits(docs: DataFrame, block: Units, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def judge(texts):
+        bad = {t for t, _, _ in search(texts, shared.value)}
+        return [t not in bad for t in range(len(texts))]
+
+    return keep_rows(docs, text_col, judge)
