@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, classifier, decontaminate, licenses, lyndon, mixing, pii, quality, queries, simhash, suffix
+from tidemark.llm import chunks, classifier, decontaminate, licenses, lyndon, mixing, pii, quality, queries, simhash, suffix, warc
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -30,6 +30,33 @@ def texts(docs):
     return {r.doc_id: r.text or "" for r in docs.collect()}
 
 
+@needs_tables
+def test_op1_query_with_planted_copies(spark, tmp_path):
+    """Every result column from plain Python over the pages and copies of them, empty and null payloads included."""
+    import base64
+
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    pages += [(10_000 + k, "http://copy/", pages[k % 7][2]) for k in range(40)] + [(20_000, "u", ""), (20_001, None, None), (20_002, "u", "é" * 300_000)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    body = {i: (h or "").encode() for i, _, h in pages}
+    last: dict[bytes, int] = {}
+    for i in sorted(body):
+        last[body[i]] = i
+    want = {
+        (i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if last[b] == i else "revisit", None if last[b] == i else last[b], True)
+        for i, b in body.items()
+    }
+    assert {tuple(r) for r in queries.op1_warc(spark, str(tmp_path)).collect()} == want
+
+
+def test_op1_bundles_are_read_by_tasks_of_their_own(spark):
+    pages = spark.range(200).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(string(id), 512), 40) AS html")
+    index = warc.write_archives(pages, frame_bytes=5000, bundle_bytes=20000)
+    bundles = index.select("bundle").distinct().count()
+    tasks = warc.read_archives(index).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert bundles > 8 and tasks == bundles
+
+
 @needs_tables
 def test_op2_counts(spark, texts):
     got = {r.doc_id: r for r in queries.op2_quality_rules(spark, SF).collect()}
@@ -227,15 +254,49 @@ def test_components_of_chains_and_stars(spark, broadcast):
 
 
 @needs_tables
-def test_op8_targets_and_reruns(spark, texts):
-    got = queries.op8_mixing(spark, SF).collect()
+@pytest.mark.parametrize("fan", [128, 8])
+def test_op8_targets_and_reruns(spark, docs, texts, fan):
+    """Sizes from the texts; where a source is one fold, no copy more or less of a document but the last would bring it nearer to its target."""
+    got = [(r.doc_id, r["size"], r.source_size, r.target, r["size"] * r.copies, r.source) for r in mixing.mix(docs, fan=fan).collect()]
     by = defaultdict(list)
-    for r in got:
-        assert r.size == len(WORD.findall(texts[r.doc_id])) and 0 <= r.taken <= 2 * r.size and r.taken % max(1, r.size) == 0
-        by[r.source_size, r.target].append(r)
-    for (size, target), rows in by.items():
-        assert abs(sum(r.taken for r in rows) - target) <= max(r.size for r in rows) * (len(rows) // 10 + 1)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, queries.op8_mixing(spark, SF).collect()))
+    for i, size, source_size, target, taken, source in got:
+        assert size == len(WORD.findall(texts[i])) and 0 <= taken <= 2 * size and taken % max(1, size) == 0
+        by[source, source_size, target].append((size, taken))
+    for (_, source_size, target), rows in by.items():
+        assert source_size == sum(s for s, _ in rows)
+        miss, low = sum(t for _, t in rows) - target, int(target / max(1, source_size))
+        if target < 2 * source_size and fan == 128:
+            better = [s for s, t in rows if s and abs(miss + (s if t == low * s else -s)) < abs(miss) - 1e-6]
+            assert len(better) <= 1
+        assert abs(miss) <= max(s for s, _ in rows) / (2 if fan == 128 else 1)
+    assert sorted(got, key=str) == sorted(((r.doc_id, r["size"], r.source_size, r.target, r["size"] * r.copies, r.source) for r in mixing.mix(docs.repartition(3), fan=fan).collect()), key=str)
+    if fan == 128:
+        assert sorted(x[:5] for x in got) == sorted((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in queries.op8_mixing(spark, SF).collect())
+
+
+def test_op8_chances(spark):
+    """Over many seeds a document is taken as often as it wants, and the sums stay."""
+    rows = [(k, "a", 1 + k % 7) for k in range(40)] + [(k, "b", 3) for k in range(40, 60)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, n int").cache()
+    runs = 12
+    seen = Counter()
+    for seed in range(runs):
+        got = mixing.mix(sized, size=F.col("n").cast("long"), seed=seed).collect()
+        for source in "ab":
+            assert abs(sum(r["size"] * r.copies for r in got if r.source == source) - next(r.target for r in got if r.source == source)) <= 3
+        seen.update({r.doc_id: r.copies for r in got})
+    for source, ids in (("a", range(40)), ("b", range(40, 60))):
+        want = next(r.target / r.source_size for r in got if r.source == source)
+        assert abs(sum(seen[i] for i in ids) / runs / len(ids) - want) < 0.2
+        assert all(abs(seen[i] / runs - want) < 0.75 for i in ids)
+
+
+def test_op8_repeated_rows(spark):
+    """A million rows with null ids and one size are one member; they come out one by one, near the target."""
+    same = spark.range(1_000_000).selectExpr("cast(null as long) AS doc_id", "'a' AS source", "7L AS n").unionByName(spark.range(50).selectExpr("id AS doc_id", "'b' AS source", "id AS n"))
+    got = {r.source: r for r in mixing.mix(same, size=F.col("n")).groupBy("source").agg(F.count("*").alias("k"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most"), F.min("copies").alias("least")).collect()}
+    assert got["a"].k == 1_000_000 and abs(got["a"].taken - got["a"].target) <= 7 and got["a"].most - got["a"].least == 1
+    assert got["b"].k == 50 and got["b"].most <= 2
 
 
 def test_op8_target_arithmetic(spark):

@@ -21,6 +21,8 @@ URN = "urn:tidemark:page:"
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
+#: Bundles beyond this number share tasks.
+MOST_TASKS = 20_000
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_start long, frame_bytes long, record_start long, record_bytes long"
 
 
@@ -166,9 +168,11 @@ def _facts(head: dict[str, str], block: bytes) -> tuple:
 def read_archives(index: DataFrame) -> DataFrame:
     """A row per record of the bundles that the index names, read from their seek tables on; intact: its payload has its digest.
 
-    Bundles are read in parallel, frame by frame; memory follows the largest frame. An empty index gives no rows.
+    Each bundle is a task of its own, as bundles are large, and is read frame by frame; memory follows the largest frame.
+    An empty index gives no rows. Rows that repeat a page are records of their own; other columns of index are ignored.
     """
-    bundles = index.select("bundle").distinct()
+    bundles = cut(index.select("bundle").distinct())
+    bundles = bundles.repartition(max(1, min(bundles.count(), MOST_TASKS)))  # a number that is asked for is not coalesced
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs
