@@ -50,7 +50,7 @@ def test_op1_query_with_planted_copies(spark, tmp_path):
 
 
 def test_op1_bundles_are_read_by_tasks_of_their_own(spark):
-    pages = spark.range(200).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(string(id), 512), 40) AS html")
+    pages = spark.range(200).selectExpr("id AS page_id", "'u' AS url", "concat_ws(' ', transform(sequence(1, 40), k -> sha2(string(id * 100 + k), 512))) AS html")
     index = warc.write_archives(pages, frame_bytes=5000, bundle_bytes=20000)
     bundles = index.select("bundle").distinct().count()
     tasks = warc.read_archives(index).select(F.spark_partition_id().alias("p")).distinct().count()
