@@ -313,10 +313,13 @@ def test_op9_repeats(docs, texts):
     first: dict[bytes, tuple[int, int]] = {}
     cut = {}
     for i in sorted(data):
-        h, ends, last = 0, [], 0
-        for k, b in enumerate(data[i]):
+        h, hashes, ends, last = 0, [], [], 0
+        for b in data[i]:
             h = ((h << 1) + int(table[b])) & 0xFFFFFFFF
-            if (h < (1 << 32) // chunks.SPREAD and k + 1 - last >= chunks.LEAST) or k + 1 - last == chunks.MOST:
+            hashes.append(h)
+        for k, x in enumerate(hashes):
+            least = x <= min(hashes[max(0, k - chunks.AROUND) : k + 1 + chunks.AROUND]) and all(x < y for y in hashes[max(0, k - chunks.LEAST) : k])
+            if least or k + 1 - last == chunks.MOST:
                 ends.append(k + 1)
                 last = k + 1
         if last < len(data[i]):
@@ -324,8 +327,15 @@ def test_op9_repeats(docs, texts):
         cut[i] = list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
         for s, e in cut[i]:
             first.setdefault(data[i][s:e], (i, s))
+    want = {}
+    for i in data:
+        runs: list[list[tuple[int, int, int]]] = []
+        for s, e in cut[i]:
+            if first[data[i][s:e]] != (i, s):
+                (runs[-1] if runs and runs[-1][-1][1] == s else runs.append([]) or runs[-1]).append((s, e, first[data[i][s:e]][0]))
+        want[i] = [x for run in runs if run[-1][1] - run[0][0] >= chunks.RUN for x in run]
     got = {r.doc_id: [(x.start, x.start + x.size, x.doc_id) for x in r.repeats] for r in chunks.repeated_chunks(docs).collect()}
-    assert got == {i: [(s, e, first[data[i][s:e]][0]) for s, e in cut[i] if first[data[i][s:e]] != (i, s)] for i in data}
+    assert got == want and sum(map(len, want.values())) > 100
     kept = {r.doc_id: r.text for r in chunks.without_repeats(docs).collect()}
     i = max(got, key=lambda k: len(got[k]))
     assert len(kept[i].encode()) <= len(data[i])

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, keep
+from .common import in_arrow, keep, pieces
 
-#: A boundary follows a byte at which the gear hash falls under 2^32 / SPREAD, LEAST bytes or more after the last one; a
-#: chunk of MOST bytes ends in any case. Chunks are of about SPREAD + LEAST bytes.
-SPREAD, LEAST, MOST = 32, 8, 512
+#: A boundary follows a byte at which the gear hash is the least of AROUND bytes to either side, and less than at the LEAST
+#: bytes before it, so that boundaries depend on near bytes alone; a chunk of MOST bytes ends in any case. Chunks of prose
+#: are longer than AROUND bytes, those of text that repeats itself longer than LEAST.
+AROUND, LEAST, MOST = 48, 16, 1024
 REACH = 32  # bytes that a 32-bit gear hash depends on
+#: Repeated chunks are cut where neighbours of them make up so many bytes; single common phrases stay.
+RUN = 64
 
 
 def gear_table(seed: int = 9) -> np.ndarray:
@@ -32,26 +35,46 @@ def gear_hashes(values: np.ndarray) -> np.ndarray:
     return h
 
 
-def boundaries(texts: list[bytes], table: np.ndarray) -> list[list[int]]:
+def _least_of_next(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of h[i : i + n] for each i, by doubling; places past the end count as the greatest number."""
+    top = np.iinfo(h.dtype).max
+    have, least = 1, h
+    while 2 * have <= n:
+        least = np.minimum(least, np.append(least[have:], np.full(min(have, len(least)), top, h.dtype)))
+        have *= 2
+    rest = n - have
+    return np.minimum(least, np.append(least[rest:], np.full(min(rest, len(least)), top, h.dtype))) if rest else least
+
+
+def boundaries(texts: list[bytes], table: np.ndarray, around: int = AROUND, most: int = MOST) -> list[list[int]]:
     """Ends of the chunks of each text; the last is its length. An empty text has none."""
-    pad = bytes(REACH)
-    joined = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
+    gap = max(REACH, around)
+    joined = np.frombuffer(b"".join([*(x for t in texts for x in (bytes(gap), t)), bytes(gap)]), np.uint8)
     values = table[joined]
-    out, at, limit = [], 0, np.uint32((1 << 32) // SPREAD)
-    for t in texts:
-        values[at : at + REACH] = 0  # nothing of the text before counts
-        at += REACH + len(t)
-    cuts = np.flatnonzero(gear_hashes(values) < limit) + 1
     at = 0
+    between = np.ones(len(joined), bool)
     for t in texts:
-        at += REACH
+        values[at : at + gap] = 0  # nothing of the text before counts
+        at += gap + len(t)
+        between[at - len(t) : at] = False
+    h = gear_hashes(values)
+    h[between] = np.iinfo(np.uint32).max
+    least = _least_of_next(h, around)
+    is_end = ~between
+    is_end[around:] &= h[around:] <= least[:-around]
+    is_end[:-1] &= h[:-1] <= least[1:]
+    is_end[LEAST:] &= h[LEAST:] < _least_of_next(h, LEAST)[:-LEAST]
+    cuts = np.flatnonzero(is_end) + 1
+    out, at = [], 0
+    for t in texts:
+        at += gap
         ends, last = [], 0
         low, high = np.searchsorted(cuts, (at + 1, at + len(t) + 1))
         for c in (*(cuts[low:high] - at).tolist(), len(t)):
-            while c - last > MOST:
-                last += MOST
+            while c - last > most:
+                last += most
                 ends.append(last)
-            if c - last >= LEAST or (c == len(t) and c > last):
+            if c > last:
                 ends.append(c)
                 last = c
         out.append(ends)
@@ -60,7 +83,10 @@ def boundaries(texts: list[bytes], table: np.ndarray) -> list[list[int]]:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, start, size, a, b) per chunk of the UTF-8 texts: th hashes the whole text, a and b are the 128-bit digest."""
+    """(doc_id, th, start, size, a, b) per chunk of the UTF-8 texts: th hashes the whole text, a and b are the 128-bit digest.
+
+    Null and empty texts have no chunks; repeated rows give their chunks each; other columns are ignored.
+    """
 
     def make(cols):
         import xxhash
@@ -82,18 +108,26 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return in_arrow(rows, make, "doc_id long, th long, start long, size int, a long, b long")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """Per row of docs: doc_id, th (hash of its text), n_bytes, repeats: array<struct<start, size, doc_id>>, the chunks that stood before.
 
     A chunk is a repeat unless it is the first of its digest: the one with the least doc_id, then the least start. doc_id in
-    the struct is the first one's. Boundaries depend on the last bytes alone, so an insertion changes the chunks around it
+    the struct is the first one's. Repeats count where they and their neighbouring repeats make up `run` bytes or more. Boundaries depend on the last bytes alone, so an insertion changes the chunks around it
     and no others. Digests meet in an aggregation that keeps one row a digest and task, and only those with two places or
     more are joined back, in which Spark splits the rows of a digest that is very frequent. Null texts are empty; a null
-    doc_id neither gives nor loses chunks; rows that repeat id and text have the same result and don't repeat each other.
+    doc_id, or one that is no number, neither gives nor loses chunks; rows that repeat id and text have the same result and
+    don't repeat each other. Other columns, whatever their names, are ignored.
     """
-    found = keep(chunks(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    found = keep(chunks(docs.where(F.col(id_col).cast("long").isNotNull()), id_col, text_col))
     first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
     later = found.join(first, ["a", "b"]).where("doc_id != first_doc or start != first_start")
+    end = F.col("start") + F.col("size")
+    before = Window.partitionBy("doc_id", "th").orderBy("start", "size")
+    far = F.max(end).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("new", F.when(F.col("start") > F.coalesce(far, F.lit(-1)), 1).otherwise(0))
+    later = later.withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    one = Window.partitionBy("doc_id", "th", "run")
+    later = later.withColumn("long", F.max(end).over(one) - F.min("start").over(one)).where(F.col("long") >= run)
     by = later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "size", F.col("first_doc").alias("doc_id")))).alias("repeats"))
     text = F.col(text_col).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
@@ -112,12 +146,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = ", ".join(f"`c{k}` {t}" for k, (_, t) in enumerate(docs.dtypes))
 
     def task(batches):
-        for batch in batches:
-            texts, cutouts = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
+        for piece in (p for batch in batches for p in pieces(batch)):
+            texts, cutouts = piece.column(at).to_pylist(), piece.column(len(names)).to_pylist()
             new = [t if t is None or not c else _without(t.encode(), c).decode(errors="replace") for t, c in zip(texts, cutouts, strict=True)]
-            arrays = [*batch.columns[: len(names)]]
-            arrays[at] = pa.array(new, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(list(batch.schema)[: len(names)]))
+            arrays = [*piece.columns[: len(names)]]
+            arrays[at] = pa.array(new, piece.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(list(piece.schema)[: len(names)]))
 
     return wide.toDF(*(f"c{k}" for k in range(len(names) + 1))).mapInArrow(task, schema).toDF(*names)
 
