@@ -147,21 +147,32 @@ def test_op3_full_budget_at_every_shift(size):
 
 def test_op4_suffix_arrays():
     rng = np.random.default_rng(1)
-    for _ in range(60):
-        rows, width, letters = int(rng.integers(1, 6)), int(rng.integers(1, 40)), int(rng.integers(1, 4))
-        size = rng.integers(1, width + 1, rows)
-        table = np.zeros((rows, width), np.int16)
-        for r in range(rows):
-            table[r, : size[r] - 1] = rng.integers(2, 2 + letters, size[r] - 1)
-            table[r, size[r] - 1] = 1
-        got = lyndon.suffix_arrays(table, size)
-        for r in range(rows):
-            s = table[r, : size[r]].tolist()
-            assert got[r, : size[r]].tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+    for _ in range(200):
+        letters = int(rng.integers(1, 4))
+        texts = [[*rng.integers(2, 2 + letters, int(rng.integers(0, 60))).tolist(), 1] for _ in range(int(rng.integers(1, 6)))]
+        texts += [[2, 3] * int(rng.integers(0, 9)) + [1]]
+        edge = np.cumsum([0, *map(len, texts)])
+        got = lyndon.suffix_arrays(np.array(sum(texts, [])), edge)
+        for k, s in enumerate(texts):
+            assert (got[edge[k] : edge[k + 1]] - edge[k]).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_op4_construction_is_linear(monkeypatch):
+    """Places that the construction touches, counted by its own gathering step, double with the text."""
+    seen = []
+    plain = lyndon._places
+    monkeypatch.setattr(lyndon, "_places", lambda first, count: seen.append(int(count.sum())) or plain(first, count))
+    rng = np.random.default_rng(2)
+    work = []
+    for size in (1 << 13, 1 << 14, 1 << 15):
+        seen.clear()
+        lyndon.suffix_arrays(np.append(rng.integers(3, 30, size), 1), np.array([0, size + 1]))
+        work.append(sum(seen) / size)
+    assert max(work) < 5 and max(work) / min(work) < 1.1
 
 
 @needs_tables
-@pytest.mark.parametrize("how", [{}, {"piece": 1 << 16, "bucket": 1 << 15, "hot": 2}, {"piece": 1 << 17, "bucket": 1 << 16, "most": 200}])
+@pytest.mark.parametrize("how", [{}, {"piece": 1 << 16, "bucket": 1 << 15, "hot": 2}, {"piece": 1 << 17, "bucket": 1 << 16, "hot": 20}])
 def test_op4_every_byte(docs, texts, how):
     first: dict[bytes, int] = {}
     data = {i: t.encode() for i, t in texts.items()}

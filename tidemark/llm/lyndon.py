@@ -1,10 +1,13 @@
-"""Suffix arrays by linear grouping (Baier's construction), of one text or of many short texts at once.
+"""Suffix arrays by linear grouping (Baier's construction), of one text or of many texts at once.
 
 A suffix's group is that of suffixes with the same Lyndon prefix. Groups are processed in descending order: for each member
 the previous smaller suffix has the member's prefix as the next factor of its own, so it moves to a higher group, right
 above its old one, the higher the more members point to it. Once all groups are final, suffixes are emitted in ascending
 order: an emitted suffix puts those whose Lyndon prefix ends where it begins into the next free places of their groups.
 No renaming and no recursion. Texts end with a symbol 1 that is smaller than all others and occurs there alone.
+
+Members of a group stand side by side in the array, so a step takes one group of each text without looking at the rest of
+it: each suffix is a member once and a child once, and the work is in proportion to the texts' length.
 """
 
 from __future__ import annotations
@@ -12,113 +15,134 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_arrays(text: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Suffix arrays of the rows of text[row, :size[row]], symbols 1 to 32,000; places from size[row] on are not used."""
-    rows, width = text.shape
-    inside = np.arange(width) < size[:, None]
-    group, start_of, length = _first_groups(text, inside)
-    _refine(group.ravel(), start_of.ravel(), length.ravel(), rows, width)
-    return _emit(start_of, length, size)
-
-
-def _first_groups(text: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Groups by the first symbol, as the number of suffixes in lower groups, or -1 outside of the texts; twice, and lengths 1."""
-    rows, width = text.shape
-    symbols = int(text.max(initial=0)) + 1
-    flat = (np.arange(rows)[:, None] * symbols + text)[inside]
-    counts = np.bincount(flat, minlength=rows * symbols).reshape(rows, symbols)
-    lower = np.cumsum(counts, axis=1) - counts
-    group = np.full((rows, width), -1, np.int32)
-    group[inside] = lower.ravel()[flat]
-    return group, group.copy(), inside.astype(np.int32)
-
-
-def _refine(group: np.ndarray, final: np.ndarray, length: np.ndarray, rows: int, width: int) -> None:
-    """Processes the groups of all rows, one group of each row at a time, from the greatest down; final gets the groups.
-
-    group is -1 where processed. before leads from a processed place towards the nearest place before it that isn't.
-    """
-    members_of = np.bincount((np.arange(rows).repeat(width) * width + group)[group >= 0], minlength=rows * width)
-    before = np.arange(-1, rows * width - 1, dtype=np.int64)
-    table = group.reshape(rows, width)
-    alive = np.arange(rows)
+def suffix_arrays(text: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The suffix arrays of the texts text[edge[k] : edge[k + 1]], each in its own part of the result, as places of `text`."""
+    n = len(text)
+    bits = np.int64(max(1, n.bit_length()))
+    row = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    array, group, size = _first_groups(text, row, n, bits)
+    length = np.ones(n, np.int64)
+    _refine(array, group, size, length, row, edge, bits)
+    return _emit(group, length, edge, n, bits)
+
+
+def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... count[k] of them, for each k in turn."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _first_groups(text: np.ndarray, row: np.ndarray, n: int, bits: np.int64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in the order of their text and first symbol; of each the first place of its group; and the groups' sizes there."""
+    key = row * (np.int64(text.max(initial=0)) + 1) + text
+    both = np.sort(key << bits | np.arange(n))
+    array, key = both & ((np.int64(1) << bits) - 1), both >> bits
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    count = np.diff(np.append(starts, n))
+    group, size = np.empty(n, np.int64), np.zeros(n, np.int64)
+    group[array] = np.repeat(starts, count)
+    size[starts] = count
+    return array, group, size
+
+
+def _refine(array: np.ndarray, group: np.ndarray, size: np.ndarray, length: np.ndarray, row: np.ndarray, edge: np.ndarray, bits: np.int64) -> None:
+    """Processes the groups of all texts, one group of each text at a time, from the greatest down."""
+    place = np.empty(len(array), np.int64)
+    place[array] = np.arange(len(array))
+    before = np.arange(-1, len(array) - 1)  # leads from a processed suffix towards the nearest one before it that isn't
+    done, moved = np.zeros(len(array), bool), np.zeros(len(array), bool)
+    factor = np.zeros(len(edge) - 1, np.int64)
+    alive, top = edge[:-1][edge[1:] > edge[:-1]], edge[1:][edge[1:] > edge[:-1]]
     while len(alive):
-        part = table if len(alive) == rows else table[alive]
-        top = part.max(axis=1)
-        hit = np.flatnonzero(part == np.where(top >= 0, top, -2)[:, None])
-        edge = alive[hit // width] * width
-        member = edge + hit % width
-        group[member] = -1
-        parent = _previous(group, before, member, edge)
-        before[member] = parent
-        has = parent >= edge
-        if has.any():
-            _raise_parents(group, final, length, members_of, parent[has], length[member[has]], width)
-        left = top > 0
-        if left.mean() < 0.8 or not left.any():
-            alive = alive[left]
-
-
-def _previous(group: np.ndarray, before: np.ndarray, member: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """The nearest place before each member that is not processed; under `edge` if its row has none."""
-    at = before[member]
-    open_ = np.flatnonzero((at >= edge) & (group[np.maximum(at, 0)] < 0))
-    while len(open_):
-        at[open_] = before[at[open_]]
-        open_ = open_[(at[open_] >= edge[open_]) & (group[np.maximum(at[open_], 0)] < 0)]
-    return at
-
-
-def _raise_parents(group: np.ndarray, final: np.ndarray, length: np.ndarray, members_of: np.ndarray, parent: np.ndarray, factor: np.ndarray, width: int) -> None:
-    parent, first, times = np.unique(parent, return_index=True, return_counts=True)
-    length[parent] += times.astype(np.int32) * factor[first]
-    old = parent - parent % width + group[parent]
-    order = np.lexsort((times, old))
-    parent, times, old = parent[order], times[order], old[order]
+        first = group[array[top - 1]]
+        member = array[_places(first, top - first)]
+        done[member] = True
+        head = array[first]
+        factor[row[head]] = length[head]
+        at = before[member]
+        low = edge[row[member]]
+        left = np.flatnonzero((at >= low) & done[at])
+        while len(left):
+            at[left] = before[at[left]]
+            left = left[(at[left] >= low[left]) & done[at[left]]]
+        before[member] = at
+        parent = at[at >= low]
+        if len(parent):
+            _raise(np.sort(parent), array, place, group, size, length, factor, row, moved, bits)
+        going = first > alive
+        alive, top = alive[going], first[going]
+
+
+def _raise(parent: np.ndarray, array, place, group, size, length, factor, row, moved, bits: np.int64) -> None:
+    """Moves the parents, sorted and given once for each child, to new groups right above what is left of their own."""
+    starts = np.flatnonzero(np.diff(parent, prepend=-1))
+    times = np.diff(starts, append=len(parent))
+    parent = parent[starts]
+    length[parent] += times * factor[row[parent]]
+    if len(parent) > 1:
+        few = np.int64(int(times.max()).bit_length())
+        if 2 * bits + few < 63:
+            both = np.sort((group[parent] << few | times) << bits | parent)
+            parent, times = both & ((np.int64(1) << bits) - 1), both >> bits & ((np.int64(1) << few) - 1)
+        else:
+            order = np.lexsort((times, group[parent]))
+            parent, times = parent[order], times[order]
+    old = group[parent]
     new_old = np.diff(old, prepend=-1) != 0
     new_part = new_old | (np.diff(times, prepend=-1) != 0)
-    places = np.arange(len(parent))
-    class_start = np.maximum.accumulate(np.where(new_old, places, 0))
-    part_start = np.maximum.accumulate(np.where(new_part, places, 0))
-    class_ends = np.append(np.flatnonzero(new_old)[1:], len(parent))
-    class_size = np.diff(np.append(np.flatnonzero(new_old), len(parent)))
-    in_class = np.repeat(class_size, class_size)
-    stay = members_of[old] - in_class
-    new = old + stay + part_start - class_start
-    part_size = np.diff(np.append(np.flatnonzero(new_part), len(parent)))
-    members_of[old[class_ends - 1]] = stay[class_ends - 1]
-    members_of[new[new_part]] = part_size
-    group[parent] = new % width
-    final[parent] = group[parent]
-
-
-def _emit(group: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
-    rows, width = group.shape
-    base = np.arange(rows) * width
-    inside = np.flatnonzero(group.ravel() >= 0)
-    # suffixes by the place at which their Lyndon prefix ends: a chain for each such place
-    ends = inside + length.ravel()[inside]
-    last = base[inside // width] + size[inside // width]
-    chained = ends < last
-    by_end = inside[chained][np.argsort(ends[chained], kind="stable")]
-    count = np.bincount(ends[chained], minlength=rows * width)
+    class_start, part_start = np.flatnonzero(new_old), np.flatnonzero(new_part)
+    in_class = np.diff(class_start, append=len(parent))
+    stay = size[old[class_start]] - in_class
+    # the last places of each old group are the parents' now; what stood there takes the places that they leave
+    to = np.repeat(old[class_start] + stay - class_start, in_class) + np.arange(len(parent))
+    leave = place[parent]
+    moved[parent] = True
+    out = array[to]
+    out = out[~moved[out]]
+    moved[parent] = False
+    free = leave[leave < np.repeat(old[class_start] + stay, in_class)]
+    array[free] = out
+    place[out] = free
+    array[to] = parent
+    place[parent] = to
+    size[old[class_start]] = stay
+    part_size = np.diff(part_start, append=len(parent))
+    size[to[part_start]] = part_size
+    group[parent] = np.repeat(to[part_start], part_size)
+
+
+def _emit(group: np.ndarray, length: np.ndarray, edge: np.ndarray, n: int, bits: np.int64) -> np.ndarray:
+    """Suffixes in ascending order, as many of each text at a time as have found their places without a gap."""
+    mask = (np.int64(1) << bits) - 1
+    # suffixes by the place at which their Lyndon prefix ends: a chain for each such place; the least suffix has none
+    ends = np.arange(n) + length
+    rows = edge[1:] > edge[:-1]
+    low, high = edge[:-1][rows], edge[1:][rows]
+    ends[high - 1] = n
+    child = np.sort(ends << bits | np.arange(n))[: n - len(low)]
+    count = np.bincount(child >> bits, minlength=n)
     first = np.cumsum(count) - count
-    free = np.zeros(rows * width, np.int64)
-    out = np.full((rows, width), -1, np.int32)
-    flat, groups = out.ravel(), group.ravel()
-    out[:, 0] = size - 1  # the least suffix is the last one
-    for k in range(int(size.max(initial=0))):
-        here = np.flatnonzero(k < size)
-        place = base[here] + out[here, k]
-        n = count[place]
-        more = np.flatnonzero(n)
-        total = n[more]
-        if not len(more):
-            continue
-        inner = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-        child = by_end[np.repeat(first[place[more]], total) + inner]
-        row = base[here[more]].repeat(total)
-        slot = row + groups[child]
-        flat[slot + free[slot]] = child - row
-        free[slot] += 1
+    child &= mask
+    filled = np.zeros(n, np.int64)
+    out = np.full(n, -1)
+    group_at = np.sort(group)  # of each place of the result: groups stand side by side
+    out[low] = high - 1
+    filled[low] = 1
+    at = low
+    while len(at):
+        g = group_at[at]
+        end = g + filled[g]
+        ready = out[_places(at, end - at)]
+        c = child[_places(first[ready], count[ready])]
+        if len(c):
+            to = group[c]
+            both = np.sort(to << bits | np.arange(len(c)))
+            c, to = c[both & mask], both >> bits
+            starts = np.flatnonzero(np.diff(to, prepend=-1))
+            many = np.diff(starts, append=len(to))
+            to = to[starts]
+            out[_places(to + filled[to], many)] = c
+            filled[to] += many
+        going = end < high
+        at, high = end[going], high[going]
     return out

@@ -2,31 +2,33 @@
 
 Every string of LENGTH bytes has an anchor: the q-gram in it with the least hash, so equal strings have equal anchors at equal
 places. The starts of a document that share an anchor form an interval; the bytes that their strings cover are the anchor's
-context. Anchors that only one document has are settled by counting. The contexts of the others meet by anchor, equal
-ones once, and the suffix array of each anchor's contexts, made by linear grouping, brings equal strings together.
-Work goes in pieces of documents and in buckets of anchors, both of bounded expected size however large the input is.
+context. Anchors that only one text has are settled by counting. The contexts of the others meet by anchor, and the suffix
+array of each anchor's contexts, made by linear grouping, brings equal strings together. Equal texts count as one from the
+start. Work goes in pieces of texts and in buckets of anchors, both of bounded expected size however large the input is.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import cut, keep
 from .lyndon import suffix_arrays
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
-#: Bytes of text in a piece of documents and in a bucket of anchors, as expected.
+#: Bytes of text in a piece of texts and in a bucket of anchors, as expected.
 PIECE, BUCKET = 4 << 20, 16 << 20
-#: An anchor of more occurrences is hot: each of its strings goes to a bucket of its own hash, equal ones of a piece once.
+#: An anchor of more occurrences is hot: each of its strings is a context of its own, by its own hash, once for a piece.
 HOT = 4096
-#: Anchors whose contexts fill more bytes are compared string by string; others share a suffix array.
-MOST = 8192
+#: Bytes of contexts of which suffix arrays are made at once, if one anchor has not more.
+CELLS = 1 << 20
 #: A string holds SIDE bytes more than its anchor on the one side or on the other.
 SIDE = (LENGTH - GRAM) // 2
 
@@ -62,9 +64,20 @@ def anchors(text: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int = 1
     low = starts[new]
     high = starts[np.append(new[1:], len(starts)) - 1] if len(starts) else low
     place = place[new]
-    h = np.concatenate(hashes)[place] * np.uint64(0x9FB21C651E98DF25)  # least hashes are small: mixed once more, they spread
+    return low, high, place, mixed(np.concatenate(hashes)[place])
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Least hashes are small; mixed once more, they spread evenly."""
+    h = h * np.uint64(0x9FB21C651E98DF25)
     h ^= h >> np.uint64(35)
-    return low, high, place, h * np.uint64(0x9E3779B97F4A7C15)
+    return h * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The q-gram's hash at each place, as `_hashes` gives it at all."""
+    words = _words(text)
+    return _hash_of(words[at], words[at + 8], words[at + GRAM - 8])
 
 
 def _hashes(text: np.ndarray, n: int) -> np.ndarray:
@@ -73,10 +86,14 @@ def _hashes(text: np.ndarray, n: int) -> np.ndarray:
     for s in range(8):
         part = eight[s::8]
         part[:] = np.frombuffer(raw.data, "<u8", len(part), s)
-    h = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= eight[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return _hash_of(eight[:n], eight[8 : 8 + n], eight[GRAM - 8 : GRAM - 8 + n])
+
+
+def _hash_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    h = a * np.uint64(0x9E3779B97F4A7C15)
+    h ^= b * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
-    h += eight[GRAM - 8 : GRAM - 8 + n] * np.uint64(0x165667B19E3779F9)
+    h += c * np.uint64(0x165667B19E3779F9)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -87,322 +104,368 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-class _Piece:
-    """The different documents of a piece, by (doc_id, th), as one text."""
-
-    def __init__(self, ids: list[int], ths: list[int], texts: list[bytes]) -> None:
-        different = sorted({(i, h): t for i, h, t in zip(ids, ths, texts, strict=True)}.items())
-        self.keys = [k for k, _ in different]
-        self.texts = [t for _, t in different]
-        self.ids = np.array([i for i, _ in self.keys], np.int64)
-        self.size = np.array([len(t) for t in self.texts], np.int64)
-        self.begin = np.cumsum(self.size) - self.size
-        self.data = b"".join(self.texts) + bytes(8)
-        self.text = np.frombuffer(self.data, np.uint8)
+def _pack(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _unpack(x: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... count[k] of them, for each k in turn."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+#: A piece: its texts' hashes, least ids, numbers of rows with that id, sizes and bytes; its anchors' numbers of starts and
+#: places; and its different anchors by bucket, each with its number of occurrences (65,535: or more) and a bit: in two texts.
+_PIECES = "piece bigint, th array<string>, least binary, k binary, size binary, text binary, starts binary, places binary, counts array<struct<bucket:bigint,h:binary,n:binary,m:binary>>"
+_SHARED = "piece bigint, bucket bigint, shared binary, hot binary"
+_CONTEXTS = "piece bigint, bucket bigint, h binary, least binary, at binary, size binary, anchor binary, text binary"
+_EQUAL = "piece bigint, first binary, last binary, at binary, low binary"
+_RESULT = "doc_id bigint, th string, k bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary"
+
+
+def _rows_of(schema: str) -> Callable[[list[dict]], pa.RecordBatch]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return lambda rows: pa.RecordBatch.from_pylist(rows, schema=arrow)
+
 
-    def anchors(self) -> tuple[np.ndarray, ...]:
-        """low, high, place, hash, document, and the order by hash with the start of each different hash in it."""
-        low, high, place, h = anchors(self.text, self.begin, self.size)
-        doc = np.searchsorted(self.begin, low, side="right") - 1
-        order = np.argsort(h, kind="stable")
-        return low, high, place, h, doc, order, np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]))
+def _mapped(df: DataFrame, make: Callable[[dict], list[dict]], schema: str) -> DataFrame:
+    """The rows that `make` gives for each row of df; a row is a piece or a bucket, so it is large."""
+    of = _rows_of(schema)
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for row in make(batch.slice(k, 1).to_pylist()[0]):
+                    yield of([row])
 
-def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema=schema)
+    return df.mapInArrow(task, schema)
 
 
-_COUNTS = pa.schema([("bucket", pa.int64()), ("piece", pa.int64()), ("h", pa.binary()), ("n", pa.binary()), ("m", pa.binary())])
-_SHARED = pa.schema([("kind", pa.int32()), ("piece", pa.int64()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-_CONTEXTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("piece", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
-_RESULT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])
+def pieces_of(texts: DataFrame, piece: int, buckets: int) -> DataFrame:
+    """Pieces of about `piece` bytes, or of one longer text, of the rows (th, least, k, text), as they come."""
+    of = _rows_of(_PIECES)
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("th", "least", "k", "text")), strict=True):
+                held.append(row)
+                size += len(row[3])
+                if size >= piece:
+                    yield of([_piece(number, held, buckets)])
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield of([_piece(number, held, buckets)])
 
-def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>"}
-    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+    return texts.select("th", "least", "k", "text").mapInArrow(task, _PIECES)
 
 
-def count_anchors(table: pa.Table, buckets: int) -> pa.Table:
-    """Of one piece: its different anchors by bucket, each with its number of occurrences (65,535: or more) and a bit: in two documents or more."""
-    piece = _Piece(*(table[n].to_pylist() for n in ("doc_id", "th", "text")))
-    _, _, _, h, doc, order, first = piece.anchors()
-    if not len(h):
-        return _table([], _COUNTS)
-    new = np.diff(doc[order], prepend=-1) != 0
+def _piece(number: int, rows: list[tuple], buckets: int) -> dict:
+    ths, least, k, texts = zip(*rows, strict=True)
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size) - size
+    text = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    low, high, place, h = anchors(text, begin, size)
+    doc = np.searchsorted(begin, low, side="right") - 1
+    order = np.argsort(h, kind="stable")
+    first = _runs(h[order])
+    new = np.append(True, np.diff(doc[order]) != 0)[: len(h)]
     new[first] = True
-    several = np.add.reduceat(new.astype(np.int64), first) > 1
+    several = np.add.reduceat(new.astype(np.int64), first) > 1 if len(h) else new
     n = np.minimum(np.diff(np.append(first, len(h))), 65535).astype(np.uint16)
-    h = h[order][first]
-    bucket = bucket_of(h, buckets)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    number = table["piece"][0].as_py()
-    return _table([{"bucket": int(bucket[s]), "piece": number, "h": h[s:e].tobytes(), "n": n[s:e].tobytes(), "m": np.packbits(several[s:e]).tobytes()} for s, e in zip(cuts, np.append(cuts[1:], len(h)), strict=True)], _COUNTS)
-
-
-def shared_anchors(table: pa.Table, hot: int) -> pa.Table:
-    """Of one bucket, back to each piece: bits of its anchors in order that two documents or more have, and of the hot ones."""
-    parts = [np.frombuffer(x, np.uint64) for x in table["h"].to_pylist()]
-    n = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint16).astype(np.int64)
-    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table["m"].to_pylist(), parts, strict=True)])
-    _, back, pieces = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    shared = ((pieces > 1) | (np.bincount(back, several) > 0))[back]
-    is_hot = (np.bincount(back, n) > hot)[back]
-    ends = np.cumsum([len(x) for x in parts])
-    bucket = table["bucket"][0].as_py()
-    pack = lambda x: np.packbits(x).tobytes()
-    return _table([{"kind": 1, "piece": p, "bucket": bucket, "a": pack(shared[e - len(x) : e]), "b": pack(is_hot[e - len(x) : e])} for p, x, e in zip(table["piece"].to_pylist(), parts, ends, strict=True)], _SHARED)
+    different = h[order][first]
+    bucket = bucket_of(different, buckets)
+    counts = []
+    for s, e in _pairs(_runs(bucket), len(bucket)):
+        counts.append({"bucket": int(bucket[s]), "h": (different[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), "n": n[s:e].tobytes(), "m": np.packbits(several[s:e]).tobytes()})
+    return {
+        "piece": number, "th": list(ths), "least": _pack(np.array(least, np.int64)), "k": _pack(np.array(k, np.int64)), "size": _pack(size), "text": _pack(text[:-8]),
+        "starts": _pack((high - low + 1).astype(np.uint8)), "places": _pack((place - low).astype(np.uint8)), "counts": counts,
+    }
 
 
-def contexts(table: pa.Table, buckets: int) -> pa.Table:
-    """Of one piece: kind 1, the different contexts of shared anchors by bucket; kind 2, where each of them occurs.
+def _pairs(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)) if len(starts) else []
 
-    A context is told by its bytes and the anchor's place in it. Its least document is that of its first occurrence.
-    """
-    import xxhash
-    import zstandard
 
-    kinds = np.array(table["kind"].to_pylist())
-    number = table["piece"][0].as_py()
-    texts, marks = table.filter(pa.array(kinds == 0)), table.filter(pa.array(kinds == 1))
-    piece = _Piece(*(texts[n].to_pylist() for n in ("doc_id", "th", "text")))
-    low, high, place, h, doc, order, first = piece.anchors()
-    if not len(h):
-        return _table([], _CONTEXTS)
-    different = h[order][first]
+class _Piece:
+    """A piece read back: text (padded), begin, size and least ids of its texts, and low, high, place, h and text of its anchors."""
+
+    def __init__(self, row: dict) -> None:
+        self.size, self.least = _unpack(row["size"], np.int64), _unpack(row["least"], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.text = np.append(_unpack(row["text"], np.uint8), np.zeros(64, np.uint8))
+        if "starts" in row:
+            starts = _unpack(row["starts"], np.uint8).astype(np.int64)
+            valid = np.maximum(self.size - LENGTH + 1, 0)  # starts of each text, one after another
+            before = np.cumsum(starts) - starts
+            self.doc = np.searchsorted(np.cumsum(valid), before, side="right")
+            self.low = before - (np.cumsum(valid) - valid)[self.doc] + self.begin[self.doc]
+            self.high = self.low + starts - 1
+            self.place = self.low + _unpack(row["places"], np.uint8)
+            self.h = mixed(_hash_at(self.text, self.place))
+
+
+def shared_anchors(parts: list[dict], hot: int) -> list[tuple[bytes, bytes]]:
+    """Of one bucket, for each part of a piece: bits of its anchors in order that two texts or more have, and of the hot ones."""
+    hs = [np.frombuffer(x["h"], np.uint32) for x in parts]
+    n = np.frombuffer(b"".join(x["n"] for x in parts), np.uint16).astype(np.int64)
+    several = np.concatenate([np.unpackbits(np.frombuffer(x["m"], np.uint8), count=len(h)) for x, h in zip(parts, hs, strict=True)])
+    _, back, pieces = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+    shared = ((pieces > 1) | (np.bincount(back, several) > 0))[back]
+    is_hot = (np.bincount(back, n) > hot)[back]
+    ends = np.cumsum([len(x) for x in hs])
+    return [(np.packbits(shared[e - len(x) : e]).tobytes(), np.packbits(is_hot[e - len(x) : e]).tobytes()) for x, e in zip(hs, ends, strict=True)]
+
+
+def contexts(row: dict, buckets: int) -> list[dict]:
+    """Of one piece with the marks of its anchors: the contexts of shared anchors, and the different strings of hot ones, by bucket."""
+    piece = _Piece(row)
+    order = np.argsort(piece.h, kind="stable")
+    first = _runs(piece.h[order])
+    different = piece.h[order][first]
     bucket = bucket_of(different, buckets)
     is_shared, is_hot = np.zeros(len(different), bool), np.zeros(len(different), bool)
-    for b, x, y in zip(*(marks[n].to_pylist() for n in ("bucket", "a", "b")), strict=True):
-        s, e = np.searchsorted(bucket, (b, b + 1))
-        is_shared[s:e], is_hot[s:e] = (np.unpackbits(np.frombuffer(z, np.uint8), count=e - s) for z in (x, y))
-    which = np.empty(len(h), np.int64)
-    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    for mark in row["marks"]:
+        s, e = np.searchsorted(bucket, (mark["bucket"], mark["bucket"] + 1))
+        is_shared[s:e], is_hot[s:e] = (np.unpackbits(np.frombuffer(mark[n], np.uint8), count=e - s) for n in ("shared", "hot"))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     take = np.flatnonzero(is_shared[which])
     hot = is_hot[which[take]]
-    known: dict[bytes, int] = {}
-    hashes, least, at, docs, number_of = [], [], [], [], []
-    data, ids = piece.data, piece.ids[doc[take]].tolist()
-    for k, (s, e, p, x, is_h, d) in enumerate(zip(low[take].tolist(), high[take].tolist(), place[take].tolist(), h[take].tolist(), hot.tolist(), doc[take].tolist(), strict=True)):
-        parts = [(s, bytes((p - s,)) + data[s : e + LENGTH], x)] if not is_h else [(w, b"\xff" + (c := data[w : w + LENGTH]), xxhash.xxh3_64_intdigest(c)) for w in range(s, e + 1)]
-        for w, key, x in parts:
-            if (j := known.get(key)) is None:
-                j = known[key] = len(known)
-                hashes.append(x)
-                least.append(ids[k])
-            at.append(w - int(piece.begin[d]))
-            docs.append(d)
-            number_of.append(j)
-    hashes = np.array(hashes, np.uint64)
-    keys = list(known)
-    to = bucket_of(hashes, buckets)
-    by = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.diff(to[by], prepend=-1))
-    least = np.array(least, np.int64)
+    cold, hot = take[~hot], take[hot]
+    at, h, size = piece.low[cold], piece.h[cold], piece.high[cold] - piece.low[cold] + LENGTH
+    least, anchor = piece.least[piece.doc[cold]], piece.place[cold] - piece.low[cold]
+    starts, one, low = hot_strings(piece, hot)
+    if len(starts):
+        at, h = np.append(at, starts[one]), np.append(h, string_hash(piece.text, starts[one]))
+        size, least, anchor = np.append(size, np.full(len(one), LENGTH)), np.append(least, low), np.append(anchor, np.full(len(one), 255))
+    order = np.argsort(h, kind="stable")
+    at, h, size, least, anchor = at[order], h[order], size[order], least[order], anchor[order]
+    to = bucket_of(h, buckets)
     rows = []
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for s, e in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
-        own = by[s:e]
-        mine = [keys[j] for j in own.tolist()]
-        rows.append({"kind": 1, "bucket": int(to[own[0]]), "piece": number, "a": hashes[own].tobytes(), "b": least[own].tobytes(), "c": own.astype(np.int32).tobytes(), "d": np.array([len(x) for x in mine], np.uint8).tobytes(), "e": pack(b"".join(mine))})
-    sizes = np.array([len(x) for x in keys], np.uint8)
-    occurs = [np.array(x, np.int32).tobytes() for x in (at, docs, number_of)]
-    rows.append({"kind": 2, "bucket": 0, "piece": number, "a": occurs[0], "b": occurs[1], "c": occurs[2], "d": sizes.tobytes(), "e": least.tobytes()})
-    return _table(rows, _CONTEXTS)
-
-
-def _bytes_at(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n bytes from each place on."""
-    h = np.zeros(len(at), np.uint64)
-    for s in range(0, n, 8):
-        s = min(s, n - 8)
-        eight = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            eight |= data[at + s + k].astype(np.uint64) << np.uint64(8 * k)
-        h = (h ^ eight) * np.uint64(0x9E3779B97F4A7C15)
+    for s, e in _pairs(_runs(to), len(to)):
+        text = piece.text[_spread(at[s:e], size[s:e])]
+        rows.append({
+            "piece": row["piece"], "bucket": int(to[s]), "h": _pack(h[s:e]), "least": _pack(least[s:e]), "at": _pack(at[s:e]),
+            "size": _pack(size[s:e].astype(np.uint8)), "anchor": _pack(anchor[s:e].astype(np.uint8)), "text": _pack(text),
+        })
+    return rows
+
+
+def hot_strings(piece: _Piece, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, one, low) of the strings of hot anchors: starts sorted by string, the first of each different one, and its least id."""
+    starts = _spread(piece.low[hot], piece.high[hot] - piece.low[hot] + 1)
+    if not len(starts):
+        return starts, starts, starts
+    h = string_hash(piece.text, starts)
+    order = np.argsort(h, kind="stable")
+    starts, h = starts[order], h[order]
+    for s, e in _pairs(_runs(h), len(h)):  # strings of one hash that differ are put in order
+        if e - s > 1 and not _same(piece.text, starts[s : e - 1], starts[s + 1 : e]).all():
+            starts[s:e] = sorted(starts[s:e].tolist(), key=lambda x: piece.text[x : x + LENGTH].tobytes())
+    one = np.flatnonzero(np.append(True, ~_same(piece.text, starts[1:], starts[:-1])))
+    ids = piece.least[np.searchsorted(piece.begin, starts, side="right") - 1]
+    return starts, one, np.minimum.reduceat(ids, one)
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of the text on, as one number."""
+    return np.ndarray(len(text) - 7, "<u8", np.ascontiguousarray(text), 0, (1,))
+
+
+def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the strings from the places a and b on are equal."""
+    words, same = _words(text), np.ones(len(a), bool)
+    left = np.arange(len(a))
+    for s in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        equal = words[a[left] + s] == words[b[left] + s]
+        same[left[~equal]] = False
+        left = left[equal]
+    return same
+
+
+def string_hash(text: np.ndarray, at: np.ndarray, size: int = LENGTH) -> np.ndarray:
+    """A hash of the `size` bytes from each place on."""
+    words, h = _words(text), np.zeros(len(at), np.uint64)
+    for s in (*range(0, size - 8, 8), size - 8):
+        h = (h ^ words[at + s]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    return h
+    return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def equal_strings(table: pa.Table, most: int) -> pa.Table:
-    """Of one bucket, back to each piece: its contexts of which a smaller document has strings, and a bit for each such string.
+def equal_strings(parts: list[dict]) -> list[dict]:
+    """Of one bucket, back to each piece: starts of strings that a text with a smaller id has, and of hot ones the least id.
 
     Contexts stay in play if another one of their anchor agrees in SIDE bytes before or after it, which equal strings imply.
     """
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
-    h = np.frombuffer(b"".join(table["a"].to_pylist()), np.uint64)
-    least = np.frombuffer(b"".join(table["b"].to_pylist()), np.int64)
-    number = np.frombuffer(b"".join(table["c"].to_pylist()), np.int32)
-    size = np.frombuffer(b"".join(table["d"].to_pylist()), np.uint8).astype(np.int64)
-    data = b"".join(unpack(x) for x in table["e"].to_pylist())
-    piece = np.repeat(table["piece"].to_numpy(), [len(x) // 4 for x in table["c"].to_pylist()])
+    column = lambda n, kind: np.concatenate([_unpack(x[n], kind) for x in parts])
+    h, least, at = column("h", np.uint64), column("least", np.int64), column("at", np.int64)
+    size, anchor = column("size", np.uint8).astype(np.int64), column("anchor", np.uint8).astype(np.int64)
+    text = np.append(column("text", np.uint8), np.zeros(64, np.uint8))
     begin = np.cumsum(size) - size
-    # equal contexts of several pieces count once, with their least document
-    known: dict[bytes, int] = {}
-    one = np.array([known.setdefault(data[s:e], len(known)) for s, e in zip(begin.tolist(), (begin + size).tolist(), strict=True)], np.int64)
-    head = np.unique(one, return_index=True)[1]
-    low = np.full(len(head), np.iinfo(np.int64).max)
-    np.minimum.at(low, one, least)
-    h, begin, size = h[head], begin[head], size[head]
-    raw = np.frombuffer(data + bytes(64), np.uint8)
-    begin, size, anchor = begin + 1, size - 1, raw[begin].astype(np.int64)
-    windows = size - LENGTH + 1
-    base = np.cumsum(windows) - windows
-    owner = np.repeat(np.arange(len(head)), windows)
-    smallest = low[owner]  # of the documents that have each string
-    agree = np.zeros(len(head), bool)
-    whole = anchor == 255
+    hot = anchor == 255
+    agree = hot.copy()
     for side in (-1, 1):
-        has = np.flatnonzero(~whole & (anchor >= SIDE if side < 0 else size - anchor - GRAM >= SIDE))
-        both = h[has] ^ (_bytes_at(raw, begin[has] + anchor[has] + (GRAM if side > 0 else -SIDE), SIDE) * np.uint64(0x165667B19E3779F9))
-        _, back, n = np.unique(both, return_inverse=True, return_counts=True)
-        agree[has] |= n[back] > 1
+        has = np.flatnonzero(~hot & (anchor >= SIDE if side < 0 else size - anchor - GRAM >= SIDE))
+        both = h[has] ^ string_hash(text, begin[has] + anchor[has] + (GRAM if side > 0 else -SIDE), SIDE)
+        order = np.argsort(both)
+        both = both[order]
+        twin = np.zeros(len(both), bool)
+        twin[1:] = both[1:] == both[:-1]
+        twin[:-1] |= twin[1:]
+        agree[has[order]] |= twin
     play = np.flatnonzero(agree)
     play = play[np.argsort(h[play], kind="stable")]
-    edges = np.flatnonzero(np.diff(h[play], prepend=~h[play][:1])) if len(play) else play
-    for group, texts in _arrays(play, edges, size, most):
-        found = _smallest_of(raw, begin, size, base, smallest, group, texts)
-        if found is not None:
-            smallest[found[0]] = np.minimum(smallest[found[0]], found[1])
-    # each piece's contexts again: strings of which a smaller document than their own least one is known
-    place = np.arange(windows.max(initial=1))
-    bits = np.zeros(len(one), np.uint32)
-    for j in place:
-        has = j < windows[one]
-        bits[has] |= (smallest[base[one[has]] + j] < least[has]).astype(np.uint32) << np.uint32(j)
-    some = np.flatnonzero(bits)
-    cuts = some[np.argsort(piece[some], kind="stable")]
+    starts = _runs(h[play])
+    count = np.diff(np.append(starts, len(play)))
+    total = np.add.reduceat(size[play] + 1, starts) if len(play) else count
+    groups = np.flatnonzero(count > 1)
+    groups = groups[np.argsort(total[groups], kind="stable")]  # texts of like length together
+    fill = np.cumsum(total[groups])
+    low = least.copy()  # of hot strings, the least id of all equal ones
+    found_piece, found_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    piece = np.repeat([x["piece"] for x in parts], [len(_unpack(x["size"], np.uint8)) for x in parts])
+    for s, e in _pairs(_runs(fill // CELLS), len(fill)):
+        some = groups[s:e]
+        group = play[_spread(starts[some], count[some])]
+        context, offset, smaller = _smaller(text, begin[group], size[group], least[group], np.cumsum(count[some]) - count[some])
+        is_hot = hot[group[context]]
+        np.minimum.at(low, group[context[is_hot]], smaller[is_hot])
+        mine = ~is_hot & (smaller < least[group[context]])
+        found_piece.append(piece[group[context[mine]]])
+        found_at.append(at[group[context[mine]]] + offset[mine])
+    order = np.lexsort((where := np.concatenate(found_at), owner := np.concatenate(found_piece)))
+    where, owner = where[order], owner[order]
+    hots = np.flatnonzero(hot)
     rows = []
-    for p in np.unique(piece[some]):
-        own = cuts[piece[cuts] == p]
-        rows.append({"kind": 1, "piece": int(p), "bucket": 0, "a": number[own].tobytes(), "b": bits[own].tobytes()})
-    return _table(rows, _SHARED)
+    for p in np.unique(np.append(owner, piece[hots])):
+        own = where[slice(*np.searchsorted(owner, (p, p + 1)))]
+        first = np.flatnonzero(np.append(True, np.diff(own) > 1))[: len(own)]
+        own_hot = hots[piece[hots] == p]
+        last = own[np.append(first[1:] - 1, len(own) - 1)] if len(own) else own
+        rows.append({"piece": int(p), "first": _pack(own[first]), "last": _pack(last), "at": _pack(at[own_hot]), "low": _pack(low[own_hot])})
+    return rows
 
 
-def _arrays(play: np.ndarray, edges: np.ndarray, size: np.ndarray, most: int, cells: int = 1 << 19):
-    """(contexts of several anchors, first context of each anchor) such that one table of texts holds them: like with like in length.
+def _smaller(text: np.ndarray, begin: np.ndarray, size: np.ndarray, least: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, offset, id) of the strings in the contexts: the least id of any equal string of the same anchor, from the suffix order.
 
-    Anchors of more than `most` bytes come alone, as (contexts, None).
+    Anchors' contexts start at `first`. Each is closed by a 2, an anchor's last one by a 1 more: neither is in a string.
     """
-    count = np.diff(np.append(edges, len(play)))
-    total = np.add.reduceat(size[play] + 1, edges) if len(play) else count
-    good = np.flatnonzero(count > 1)
-    for g in good[total[good] > most]:
-        yield play[edges[g] : edges[g] + count[g]], None
-    good = good[total[good] <= most]
-    good = good[np.argsort(total[good], kind="stable")]
-    at = 0
-    while at < len(good):
-        # rows of which the longest fits: the table has as many cells as the last row's length times the rows
-        end = at + max(1, min(len(good) - at, cells // int(total[good[at]] + 1)))
-        end = at + max(1, int(np.searchsorted(total[good[at:end]], 1.25 * total[good[at]] + 16, side="right")))
-        some = good[at:end]
-        inside = np.arange(count[some].sum()) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
-        yield play[np.repeat(edges[some], count[some]) + inside], np.cumsum(count[some]) - count[some]
-        at = end
-
-
-def _smallest_of(raw, begin, size, base, smallest, group, texts):
-    """(strings by number, the smallest document of any equal one) of the anchors' contexts."""
-    if texts is None:  # string by string, exactly
-        windows = size[group] - LENGTH + 1
-        inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        place, string = np.repeat(begin[group], windows) + inside, np.repeat(base[group], windows) + inside
-        _, back = np.unique(raw[place[:, None] + np.arange(LENGTH)].view(f"V{LENGTH}").ravel(), return_inverse=True)
-        low = np.full(back.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, back, smallest[string])
-        return string, low[back]
-    # one row for each anchor: its contexts, each closed by a 2, and a 1 at the end
-    count = np.diff(np.append(texts, len(group)))
-    row = np.repeat(np.arange(len(texts)), count)
-    closed = size[group] + 1
-    before = np.cumsum(closed) - closed
-    column = before - np.repeat(before[texts], count)
-    length = np.add.reduceat(closed, texts) + 1
-    table = np.zeros((len(texts), int(length.max())), np.int16)
-    inside = np.arange(closed.sum()) - np.repeat(before, closed)
-    values = raw[np.repeat(begin[group], closed) + inside].astype(np.int16) + 3
-    values[inside == np.repeat(size[group], closed)] = 2
-    table[np.repeat(row, closed), np.repeat(column, closed) + inside] = values
-    table[np.arange(len(texts)), length - 1] = 1
-    order = suffix_arrays(table, length)
-    string_at = np.full(table.shape, -1, np.int64)
-    windows = size[group] - LENGTH + 1
-    inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    string_at[np.repeat(row, windows), np.repeat(column, windows) + inside] = np.repeat(base[group], windows) + inside
-    # strings in the order of their suffixes: equal ones are neighbours
-    r, k = np.nonzero(order >= 0)
-    place = order[r, k]
-    string = string_at[r, place]
-    is_string = string >= 0
-    r, place, string = r[is_string], place[is_string], string[is_string]
-    flat, at = table.ravel(), r * table.shape[1] + place
-    same = np.zeros(len(at), bool)
-    same[1:] = r[1:] == r[:-1]
-    for j in range(LENGTH):
-        left = np.flatnonzero(same)
-        same[left] = flat[at[left] + j] == flat[at[left - 1] + j]
+    last = np.zeros(len(begin), np.int64)
+    last[np.append(first[1:], len(begin)) - 1] = 1
+    closed = size + 1 + last
+    put = np.cumsum(closed) - closed
+    raw = np.zeros(int(closed.sum()) + 64, np.uint8)
+    raw[_spread(put, size)] = text[_spread(begin, size)]
+    symbols = raw[:-64].astype(np.int64) + 3
+    symbols[put + size] = 2
+    symbols[(put + size + 1)[last > 0]] = 1
+    order = suffix_arrays(symbols, np.append(put[first], len(symbols)))
+    windows = size - LENGTH + 1
+    context_at = np.full(len(symbols), -1)
+    context_at[_spread(put, windows)] = np.repeat(np.arange(len(begin)), windows)
+    order = order[context_at[order] >= 0]  # strings in the order of their suffixes: equal ones are neighbours
+    context = context_at[order]
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(begin))))[context]
+    same = np.zeros(len(order), bool)
+    pair = 1 + np.flatnonzero(row[1:] == row[:-1])
+    same[pair] = _same(raw, order[pair], order[pair - 1])
     runs = np.flatnonzero(~same)
-    low = np.minimum.reduceat(smallest[string], runs)
-    return string, np.repeat(low, np.diff(np.append(runs, len(string))))
-
-
-def removals(table: pa.Table) -> pa.Table:
-    """Of one piece: per row of text the maximal runs of covered bytes, and the other bytes."""
-    kinds = np.array(table["kind"].to_pylist())
-    texts, places, marks = (table.filter(pa.array(kinds == k)) for k in (0, 2, 1))
-    ids, ths, data = (texts[n].to_pylist() for n in ("doc_id", "th", "text"))
-    piece = _Piece(ids, ths, data)
-    change = np.zeros(len(piece.data) + LENGTH + 1, np.int64)
-    for row in places.to_pylist():
-        at, doc, number = (np.frombuffer(row[n], np.int32).astype(np.int64) for n in "abc")
-        size, least = np.frombuffer(row["d"], np.uint8).astype(np.int64) - 1, np.frombuffer(row["e"], np.int64)
-        bits = np.zeros(len(size), np.uint32)
-        for mark in marks.to_pylist():
-            bits[np.frombuffer(mark["a"], np.int32)] |= np.frombuffer(mark["b"], np.uint32)
-        start = piece.begin[doc] + at
-        later = piece.ids[doc] > least[number]
-        np.add.at(change, start[later], 1)
-        np.add.at(change, start[later] + size[number[later]], -1)
-        rest = np.flatnonzero(~later & (bits[number] > 0))
-        for j in range(int(size.max(initial=LENGTH)) - LENGTH + 1):
-            hit = rest[bits[number[rest]] >> np.uint32(j) & np.uint32(1) > 0]
-            np.add.at(change, start[hit] + j, 1)
-            np.add.at(change, start[hit] + j + LENGTH, -1)
-    covered = np.cumsum(change)[: len(piece.data)] > 0
-    rows = {}
-    for key, b, n in zip(piece.keys, piece.begin.tolist(), piece.size.tolist(), strict=True):
+    low = np.minimum.reduceat(least[context], runs)
+    return context, order - put[context], np.repeat(low, np.diff(np.append(runs, len(order))))
+
+
+def removals(row: dict) -> list[dict]:
+    """Of one piece: per text the maximal runs of covered bytes, and the other bytes."""
+    hot = [x for x in row["equal"] or [] if len(_unpack(x["at"], np.int64))]
+    piece = _Piece({n: row[n] for n in ("size", "least", "text", *(("starts", "places") if hot else ()))})
+    change = np.zeros(len(piece.text) + 1, np.int64)
+    for x in row["equal"] or []:
+        np.add.at(change, _unpack(x["first"], np.int64), 1)
+        np.add.at(change, _unpack(x["last"], np.int64) + LENGTH, -1)
+    if hot:
+        # the hot strings of the piece again: all anchors that have one of the first places sent back
+        at, low = (np.concatenate([_unpack(x[n], np.int64) for x in hot]) for n in ("at", "low"))
+        anchor = np.searchsorted(piece.low, at, side="right") - 1
+        starts, one, _ = hot_strings(piece, np.flatnonzero(np.isin(piece.h, piece.h[anchor])))
+        order = np.argsort(at)
+        of = low[order][np.searchsorted(at[order], starts[one])]
+        of = np.repeat(of, np.diff(np.append(one, len(starts))))
+        mine = starts[of < piece.least[np.searchsorted(piece.begin, starts, side="right") - 1]]
+        np.add.at(change, mine, 1)
+        np.add.at(change, mine + LENGTH, -1)
+    covered = np.cumsum(change)[: len(piece.text)] > 0
+    rows = []
+    for th, k, least, b, n in zip(row["th"], _unpack(row["k"], np.int64).tolist(), piece.least.tolist(), piece.begin.tolist(), piece.size.tolist(), strict=True):
         own = covered[b : b + n]
         turn = np.flatnonzero(np.diff(own.view(np.int8), prepend=0, append=0))
-        rows[key] = {"starts": turn[::2].tolist(), "ends": turn[1::2].tolist(), "kept": piece.text[b : b + n][~own].tobytes()}
-    return _table([{"doc_id": i, "th": h, "n_bytes": len(t), **rows[i, h]} for i, h, t in zip(ids, ths, data, strict=True)], _RESULT)
+        rows.append({"doc_id": least, "th": th, "k": k, "n_bytes": n, "starts": turn[::2].tolist(), "ends": turn[1::2].tolist(), "kept": piece.text[b : b + n][~own].tobytes()})
+    return rows
 
 
-def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, bucket: int = BUCKET, hot: int = HOT, most: int = MOST) -> DataFrame:
-    """Per row of docs: doc_id, th (hash of its text), n_bytes, starts and ends of removed runs of bytes, kept (the other bytes).
+def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
+    """Per row of docs: doc_id, th (MD5 of its text), n_bytes, starts and ends of removed runs of bytes, kept (the other bytes).
 
     A byte is removed where a string of LENGTH bytes covers it that also starts in a document with a smaller id, in the texts
-    as they are. Null texts are empty. A null id is neither smaller nor larger than another: such rows are left whole and
-    take nothing from others. Rows with one id don't take from each other, and rows that repeat id and text have one result.
+    as they are. Null texts are empty. A null id, or one that is no number, is neither smaller nor larger than another: such
+    rows are left whole and take nothing from others. Rows with one id don't take from each other, and rows that repeat id
+    and text have one result each. Other columns, whatever their names, are ignored.
+
+    Rows with equal texts are one text from the first shuffle on, in which each task sends a text once, however many rows
+    repeat it. Those with a larger id than the least lose all their bytes, and don't go further.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    pieces, buckets = (math.ceil(max(total, 1) / x) for x in (piece, bucket))
-    own = rows.where("doc_id is not null").withColumn("piece", F.pmod(F.xxhash64("doc_id", "th"), F.lit(pieces)))
-    none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
-    texts = own.select(F.lit(0).alias("kind"), "piece", F.lit(0).cast("long").alias("bucket"), *none("a", "b"), "doc_id", "th", "text")
-    no_text = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("th"), F.lit(None).cast("binary").alias("text")]
-
-    counts = own.select("piece", "doc_id", "th", "text").groupBy("piece").applyInArrow(lambda t: count_anchors(t, buckets), _ddl(_COUNTS))
-    marks = keep(counts.groupBy("bucket").applyInArrow(lambda t: shared_anchors(t, hot), _ddl(_SHARED)))
-    both = texts.unionByName(marks.select("*", *no_text))
-    found = keep(both.groupBy("piece").applyInArrow(lambda t: contexts(t, buckets), _ddl(_CONTEXTS)))
-    equal = keep(found.where("kind = 1").drop("kind").groupBy("bucket").applyInArrow(lambda t: equal_strings(t, most), _ddl(_SHARED)))
-    every = texts.select("*", *none("c", "d", "e")).unionByName(equal.select("*", *none("c", "d", "e"), *no_text)).unionByName(found.where("kind = 2").select("*", *no_text))
-    out = every.groupBy("piece").applyInArrow(removals, _ddl(_RESULT))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    is_long = F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH)
+    long = rows.where(is_long)
+    ids = cut(long.groupBy("th", "doc_id").agg(F.count("*").alias("k"), F.first("n_bytes").alias("n_bytes")))
+    owner = ids.groupBy("th").agg(F.min(F.struct("doc_id", "k")).alias("o"), F.first("n_bytes").alias("n_bytes"))
+    owner = cut(owner.select("th", F.col("o.doc_id").alias("least"), F.col("o.k").alias("k"), "n_bytes"))
+    total = owner.agg(F.sum("n_bytes")).head()[0] or 0
+    buckets = math.ceil(max(total, 1) / bucket)
+    texts = long.groupBy("th").agg(F.first("text").alias("text")).join(owner.select("th", "least", "k"), "th")
+    made = keep(pieces_of(texts, piece, buckets))
+
+    def marks(row: dict) -> list[dict]:
+        found = shared_anchors(row["parts"], hot)
+        return [{"piece": x["piece"], "bucket": row["bucket"], "shared": a, "hot": b} for x, (a, b) in zip(row["parts"], found, strict=True)]
+
+    part = F.struct("piece", "c.h", "c.n", "c.m")
+    counts = made.select("piece", F.explode("counts").alias("c")).groupBy("c.bucket").agg(F.collect_list(part).alias("parts"))
+    marked = _mapped(counts, marks, _SHARED).groupBy("piece").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("marks"))
+    found = _mapped(made.select("piece", "size", "least", "text", "starts", "places").join(marked, "piece"), lambda row: contexts(row, buckets), _CONTEXTS)
+    part = F.struct(*(n for n in "piece h least at size anchor text".split()))
+    equal = _mapped(found.groupBy("bucket").agg(F.collect_list(part).alias("parts")), lambda row: equal_strings(row["parts"]), _EQUAL)
+    equal = keep(equal).groupBy("piece").agg(F.collect_list(F.struct("first", "last", "at", "low")).alias("equal"))
+    out = _mapped(made.drop("counts").join(equal, "piece", "left"), removals, _RESULT)
+
     empty = F.expr("cast(array() as array<bigint>)")
-    whole = rows.where("doc_id is null").select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), empty.alias("starts"), empty.alias("ends"), F.col("text").alias("kept"))
-    return out.unionByName(whole)
+    whole = rows.where(~is_long).select("doc_id", "th", "n_bytes", empty.alias("starts"), empty.alias("ends"), F.col("text").alias("kept"))
+    copies = ids.join(owner.select("th", "least"), "th").where("doc_id > least")
+    gone = _repeated(copies.select("k", "doc_id", "th", "n_bytes", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"), F.lit(b"").alias("kept")))
+    return _repeated(out).unionByName(gone).unionByName(whole)
+
 
+def _repeated(rows: DataFrame, block: int = 10_000) -> DataFrame:
+    """Each row k times, by blocks, so that no array is longer than `block`."""
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1, F.lit(block).cast("long"))))
+    return rows.withColumn("at", F.explode(F.sequence("at", F.least(F.col("k"), F.col("at") + block) - 1))).drop("k", "at")
