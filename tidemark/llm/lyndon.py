@@ -16,99 +16,136 @@ import numpy as np
 
 
 def suffix_arrays(text: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """The suffix arrays of the texts text[edge[k] : edge[k + 1]], each in its own part of the result, as places of `text`."""
+    """The suffix arrays of the texts text[edge[k] : edge[k + 1]], each in its own part of the result, as places of `text`.
+
+    At most 2^31 symbols: places are kept in 32 bits.
+    """
     n = len(text)
     bits = np.int64(max(1, n.bit_length()))
-    row = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    edge = edge.astype(np.int32)
+    row = np.repeat(np.arange(len(edge) - 1, dtype=np.int32), np.diff(edge))
     array, group, size = _first_groups(text, row, n, bits)
-    length = np.ones(n, np.int64)
+    length = np.ones(n, np.int32)
     _refine(array, group, size, length, row, edge, bits)
     return _emit(group, length, edge, n, bits)
 
 
 def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[k], first[k] + 1, ... count[k] of them, for each k in turn."""
-    ends = np.cumsum(count)
-    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+    ends = count.cumsum(dtype=np.int32)
+    if not len(ends):
+        return ends
+    out = (first - ends + count).repeat(count)
+    out += np.arange(ends[-1], dtype=np.int32)
+    return out
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start in x, which is not empty."""
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new.nonzero()[0].astype(np.int32)
+
+
+def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
+    out = np.empty(len(starts), np.int32)
+    np.subtract(starts[1:], starts[:-1], out=out[:-1])
+    out[-1] = n - starts[-1]
+    return out
 
 
 def _first_groups(text: np.ndarray, row: np.ndarray, n: int, bits: np.int64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes in the order of their text and first symbol; of each the first place of its group; and the groups' sizes there."""
-    key = row * (np.int64(text.max(initial=0)) + 1) + text
-    both = np.sort(key << bits | np.arange(n))
-    array, key = both & ((np.int64(1) << bits) - 1), both >> bits
-    starts = np.flatnonzero(np.diff(key, prepend=-1))
-    count = np.diff(np.append(starts, n))
-    group, size = np.empty(n, np.int64), np.zeros(n, np.int64)
-    group[array] = np.repeat(starts, count)
-    size[starts] = count
+    both = (row * (np.int64(text.max(initial=0)) + 1) + text) << bits | np.arange(n)
+    both.sort()
+    array = (both & ((np.int64(1) << bits) - 1)).astype(np.int32)
+    group, size = np.empty(n, np.int32), np.zeros(n, np.int32)
+    if n:
+        starts = _starts(both >> bits)
+        count = _sizes(starts, n)
+        group[array] = starts.repeat(count)
+        size[starts] = count
     return array, group, size
 
 
 def _refine(array: np.ndarray, group: np.ndarray, size: np.ndarray, length: np.ndarray, row: np.ndarray, edge: np.ndarray, bits: np.int64) -> None:
     """Processes the groups of all texts, one group of each text at a time, from the greatest down."""
-    place = np.empty(len(array), np.int64)
-    place[array] = np.arange(len(array))
-    before = np.arange(-1, len(array) - 1)  # leads from a processed suffix towards the nearest one before it that isn't
-    done, moved = np.zeros(len(array), bool), np.zeros(len(array), bool)
-    factor = np.zeros(len(edge) - 1, np.int64)
+    n = len(array)
+    place = np.empty(n, np.int32)
+    place[array] = np.arange(n, dtype=np.int32)
+    before = np.arange(-1, n - 1, dtype=np.int32)  # leads from a processed suffix towards the nearest one before it that isn't
+    done, moved = np.zeros(n, bool), np.zeros(n, bool)
+    factor = np.zeros(len(edge) - 1, np.int32)
     alive, top = edge[:-1][edge[1:] > edge[:-1]], edge[1:][edge[1:] > edge[:-1]]
     while len(alive):
         first = group[array[top - 1]]
-        member = array[_places(first, top - first)]
+        count = top - first
+        member = array[_places(first, count)]
         done[member] = True
         head = array[first]
         factor[row[head]] = length[head]
         at = before[member]
-        low = edge[row[member]]
-        left = np.flatnonzero((at >= low) & done[at])
+        low = alive.repeat(count)
+        left = ((at >= low) & done[at]).nonzero()[0]
         while len(left):
-            at[left] = before[at[left]]
-            left = left[(at[left] >= low[left]) & done[at[left]]]
+            to = before[at[left]]
+            at[left] = to
+            left = left[(to >= low[left]) & done[to]]
         before[member] = at
         parent = at[at >= low]
         if len(parent):
-            _raise(np.sort(parent), array, place, group, size, length, factor, row, moved, bits)
+            parent.sort()
+            _raise(parent, array, place, group, size, length, factor, row, moved, bits)
         going = first > alive
         alive, top = alive[going], first[going]
 
 
 def _raise(parent: np.ndarray, array, place, group, size, length, factor, row, moved, bits: np.int64) -> None:
     """Moves the parents, sorted and given once for each child, to new groups right above what is left of their own."""
-    starts = np.flatnonzero(np.diff(parent, prepend=-1))
-    times = np.diff(starts, append=len(parent))
+    starts = _starts(parent)
+    times = _sizes(starts, len(parent))
     parent = parent[starts]
     length[parent] += times * factor[row[parent]]
+    old = group[parent]
     if len(parent) > 1:
         few = np.int64(int(times.max()).bit_length())
         if 2 * bits + few < 63:
-            both = np.sort((group[parent] << few | times) << bits | parent)
-            parent, times = both & ((np.int64(1) << bits) - 1), both >> bits & ((np.int64(1) << few) - 1)
+            both = (old.astype(np.int64) << few | times) << bits | parent
+            both.sort()
+            parent = (both & ((np.int64(1) << bits) - 1)).astype(np.int32)
+            part_start = _starts(both >> bits)
+            old = (both >> (bits + few)).astype(np.int32)
         else:
-            order = np.lexsort((times, group[parent]))
-            parent, times = parent[order], times[order]
-    old = group[parent]
-    new_old = np.diff(old, prepend=-1) != 0
-    new_part = new_old | (np.diff(times, prepend=-1) != 0)
-    class_start, part_start = np.flatnonzero(new_old), np.flatnonzero(new_part)
-    in_class = np.diff(class_start, append=len(parent))
-    stay = size[old[class_start]] - in_class
+            order = np.lexsort((times, old))
+            parent, times, old = parent[order], times[order], old[order]
+            part_start = _starts(old.astype(np.int64) << 32 | times)
+    else:
+        part_start = np.zeros(1, np.int32)
+    class_start = _starts(old)
+    in_class = _sizes(class_start, len(parent))
+    owner = old[class_start]
+    stay = size[owner] - in_class
+    bound = owner + stay
     # the last places of each old group are the parents' now; what stood there takes the places that they leave
-    to = np.repeat(old[class_start] + stay - class_start, in_class) + np.arange(len(parent))
+    to = (bound - class_start).repeat(in_class)
+    to += np.arange(len(parent), dtype=np.int32)
     leave = place[parent]
     moved[parent] = True
     out = array[to]
     out = out[~moved[out]]
     moved[parent] = False
-    free = leave[leave < np.repeat(old[class_start] + stay, in_class)]
-    array[free] = out
-    place[out] = free
+    if len(out):
+        free = leave[leave < bound.repeat(in_class)]
+        array[free] = out
+        place[out] = free
     array[to] = parent
     place[parent] = to
-    size[old[class_start]] = stay
-    part_size = np.diff(part_start, append=len(parent))
-    size[to[part_start]] = part_size
-    group[parent] = np.repeat(to[part_start], part_size)
+    size[owner] = stay
+    part_size = _sizes(part_start, len(parent))
+    to = to[part_start]
+    size[to] = part_size
+    group[parent] = to.repeat(part_size)
 
 
 def _emit(group: np.ndarray, length: np.ndarray, edge: np.ndarray, n: int, bits: np.int64) -> np.ndarray:
@@ -119,12 +156,14 @@ def _emit(group: np.ndarray, length: np.ndarray, edge: np.ndarray, n: int, bits:
     rows = edge[1:] > edge[:-1]
     low, high = edge[:-1][rows], edge[1:][rows]
     ends[high - 1] = n
-    child = np.sort(ends << bits | np.arange(n))[: n - len(low)]
-    count = np.bincount(child >> bits, minlength=n)
-    first = np.cumsum(count) - count
-    child &= mask
-    filled = np.zeros(n, np.int64)
-    out = np.full(n, -1)
+    child = ends << bits | np.arange(n)
+    child.sort()
+    child = child[: n - len(low)]
+    count = np.bincount(child >> bits, minlength=n).astype(np.int32)
+    first = count.cumsum(dtype=np.int32) - count
+    child = (child & mask).astype(np.int32)
+    filled = np.zeros(n, np.int32)
+    out = np.full(n, -1, np.int32)
     group_at = np.sort(group)  # of each place of the result: groups stand side by side
     out[low] = high - 1
     filled[low] = 1
@@ -135,12 +174,13 @@ def _emit(group: np.ndarray, length: np.ndarray, edge: np.ndarray, n: int, bits:
         ready = out[_places(at, end - at)]
         c = child[_places(first[ready], count[ready])]
         if len(c):
-            to = group[c]
-            both = np.sort(to << bits | np.arange(len(c)))
-            c, to = c[both & mask], both >> bits
-            starts = np.flatnonzero(np.diff(to, prepend=-1))
-            many = np.diff(starts, append=len(to))
-            to = to[starts]
+            both = group[c].astype(np.int64) << bits | np.arange(len(c))
+            both.sort()
+            c = c[both & mask]
+            to = both >> bits
+            starts = _starts(to)
+            many = _sizes(starts, len(to))
+            to = to[starts].astype(np.int32)
             out[_places(to + filled[to], many)] = c
             filled[to] += many
         going = end < high

@@ -27,10 +27,12 @@ SPAN = LENGTH - GRAM + 1
 PIECE, BUCKET = 4 << 20, 16 << 20
 #: An anchor of more occurrences is hot: each of its strings is a context of its own, by its own hash, once for a piece.
 HOT = 4096
-#: Bytes of contexts of which suffix arrays are made at once, if one anchor has not more.
-CELLS = 1 << 20
-#: A string holds SIDE bytes more than its anchor on the one side or on the other.
-SIDE = (LENGTH - GRAM) // 2
+#: Suffix arrays are made at once for CELLS bytes of contexts, which a cache holds, or more, so that TEXTS anchors share a step.
+CELLS, TEXTS, MOST_CELLS = 1 << 18, 1 << 10, 1 << 21
+#: Buckets beyond this number share tasks.
+MOST_TASKS = 20_000
+#: Strings by the place of their anchor, (least, most), and the bytes that all of these hold before and after the anchor.
+CLASSES = tuple((low, high, low, LENGTH - GRAM - high) for low, high in ((0, 10), (11, 19), (20, 30)))
 
 
 def anchors(text: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,8 +153,8 @@ def _mapped(df: DataFrame, make: Callable[[dict], list[dict]], schema: str) -> D
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                for row in make(batch.slice(k, 1).to_pylist()[0]):
-                    yield of([row])
+                if made := make(batch.slice(k, 1).to_pylist()[0]):
+                    yield of(made)
 
     return df.mapInArrow(task, schema)
 
@@ -314,7 +316,8 @@ def string_hash(text: np.ndarray, at: np.ndarray, size: int = LENGTH) -> np.ndar
 def equal_strings(parts: list[dict]) -> list[dict]:
     """Of one bucket, back to each piece: starts of strings that a text with a smaller id has, and of hot ones the least id.
 
-    Contexts stay in play if another one of their anchor agrees in SIDE bytes before or after it, which equal strings imply.
+    Strings stay in play if another context of their anchor agrees with theirs in the bytes that CLASSES has for the anchor's
+    place in them, which equal strings imply.
     """
     column = lambda n, kind: np.concatenate([_unpack(x[n], kind) for x in parts])
     h, least, at = column("h", np.uint64), column("least", np.int64), column("at", np.int64)
@@ -322,29 +325,31 @@ def equal_strings(parts: list[dict]) -> list[dict]:
     text = np.append(column("text", np.uint8), np.zeros(64, np.uint8))
     begin = np.cumsum(size) - size
     hot = anchor == 255
-    agree = hot.copy()
-    for side in (-1, 1):
-        has = np.flatnonzero(~hot & (anchor >= SIDE if side < 0 else size - anchor - GRAM >= SIDE))
-        both = h[has] ^ string_hash(text, begin[has] + anchor[has] + (GRAM if side > 0 else -SIDE), SIDE)
+    # the starts that stay, from `lo` to `hi`: of the classes that have a twin
+    lo, hi = np.where(hot, 0, LENGTH), np.where(hot, 0, -1)
+    for least_place, most_place, left, right in CLASSES:
+        low_start, high_start = np.maximum(anchor - most_place, 0), np.minimum(anchor - least_place, size - LENGTH)
+        has = np.flatnonzero(~hot & (low_start <= high_start))
+        both = h[has] ^ string_hash(text, begin[has] + anchor[has] - left, GRAM + left + right)
         order = np.argsort(both)
         both = both[order]
         twin = np.zeros(len(both), bool)
         twin[1:] = both[1:] == both[:-1]
         twin[:-1] |= twin[1:]
-        agree[has[order]] |= twin
-    play = np.flatnonzero(agree)
+        has = has[order[twin]]
+        lo[has], hi[has] = np.minimum(lo[has], low_start[has]), np.maximum(hi[has], high_start[has])
+    play = np.flatnonzero(lo <= hi)
+    begin, at, size = begin + lo, at + lo, hi - lo + LENGTH
     play = play[np.argsort(h[play], kind="stable")]
     starts = _runs(h[play])
     count = np.diff(np.append(starts, len(play)))
     total = np.add.reduceat(size[play] + 1, starts) if len(play) else count
     groups = np.flatnonzero(count > 1)
     groups = groups[np.argsort(total[groups], kind="stable")]  # texts of like length together
-    fill = np.cumsum(total[groups])
     low = least.copy()  # of hot strings, the least id of all equal ones
     found_piece, found_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     piece = np.repeat([x["piece"] for x in parts], [len(_unpack(x["size"], np.uint8)) for x in parts])
-    for s, e in _pairs(_runs(fill // CELLS), len(fill)):
-        some = groups[s:e]
+    for some in _batches(groups, total[groups]):
         group = play[_spread(starts[some], count[some])]
         context, offset, smaller = _smaller(text, begin[group], size[group], least[group], np.cumsum(count[some]) - count[some])
         is_hot = hot[group[context]]
@@ -365,6 +370,14 @@ def equal_strings(parts: list[dict]) -> list[dict]:
     return rows
 
 
+def _batches(groups: np.ndarray, total: np.ndarray) -> Iterator[np.ndarray]:
+    fill, at = np.append(0, np.cumsum(total)), 0
+    while at < len(groups):
+        most = max(at + 1, int(np.searchsorted(fill, fill[at] + MOST_CELLS, side="right")) - 1)
+        end = max(int(np.searchsorted(fill, fill[at] + CELLS)), at + TEXTS)
+        yield groups[at : (at := min(end, most, len(groups)))]
+
+
 def _smaller(text: np.ndarray, begin: np.ndarray, size: np.ndarray, least: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, offset, id) of the strings in the contexts: the least id of any equal string of the same anchor, from the suffix order.
 
@@ -413,13 +426,23 @@ def removals(row: dict) -> list[dict]:
         mine = starts[of < piece.least[np.searchsorted(piece.begin, starts, side="right") - 1]]
         np.add.at(change, mine, 1)
         np.add.at(change, mine + LENGTH, -1)
-    covered = np.cumsum(change)[: len(piece.text)] > 0
-    rows = []
-    for th, k, least, b, n in zip(row["th"], _unpack(row["k"], np.int64).tolist(), piece.least.tolist(), piece.begin.tolist(), piece.size.tolist(), strict=True):
-        own = covered[b : b + n]
-        turn = np.flatnonzero(np.diff(own.view(np.int8), prepend=0, append=0))
-        rows.append({"doc_id": least, "th": th, "k": k, "n_bytes": n, "starts": turn[::2].tolist(), "ends": turn[1::2].tolist(), "kept": piece.text[b : b + n][~own].tobytes()})
-    return rows
+    covered = np.cumsum(change)[: int(piece.size.sum())] > 0
+    before = np.append(False, covered[:-1])[: len(covered)]
+    before[piece.begin] = False  # a text's first byte starts a run of its own
+    starts = np.flatnonzero(covered & ~before)
+    after = np.append(covered[1:], False)[: len(covered)]
+    after[piece.begin[1:] - 1] = False
+    ends = np.flatnonzero(covered & ~after) + 1
+    rest = np.ascontiguousarray(piece.text[: len(covered)][~covered]).data.tobytes()
+    gone = np.append(0, np.cumsum(covered))
+    edge = np.append(piece.begin, len(covered))
+    run, kept = np.searchsorted(starts, edge), (edge - gone[edge]).tolist()
+    starts, ends = starts - np.repeat(piece.begin, np.diff(run)), ends - np.repeat(piece.begin, np.diff(run))
+    columns = zip(row["th"], _unpack(row["k"], np.int64).tolist(), piece.least.tolist(), piece.size.tolist(), strict=True)
+    return [
+        {"doc_id": least, "th": th, "k": k, "n_bytes": n, "starts": starts[run[j] : run[j + 1]].tolist(), "ends": ends[run[j] : run[j + 1]].tolist(), "kept": rest[kept[j] : kept[j + 1]]}
+        for j, (th, k, least, n) in enumerate(columns)
+    ]
 
 
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
@@ -449,12 +472,13 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = shared_anchors(row["parts"], hot)
         return [{"piece": x["piece"], "bucket": row["bucket"], "shared": a, "hot": b} for x, (a, b) in zip(row["parts"], found, strict=True)]
 
-    part = F.struct("piece", "c.h", "c.n", "c.m")
-    counts = made.select("piece", F.explode("counts").alias("c")).groupBy("c.bucket").agg(F.collect_list(part).alias("parts"))
+    part = F.struct("piece", "h", "n", "m")
+    spread = max(1, min(buckets, MOST_TASKS))  # a number that is asked for is not coalesced
+    counts = made.select("piece", F.explode("counts").alias("c")).select("piece", "c.*").repartition(spread, "bucket").groupBy("bucket").agg(F.collect_list(part).alias("parts"))
     marked = _mapped(counts, marks, _SHARED).groupBy("piece").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("marks"))
     found = _mapped(made.select("piece", "size", "least", "text", "starts", "places").join(marked, "piece"), lambda row: contexts(row, buckets), _CONTEXTS)
     part = F.struct(*(n for n in "piece h least at size anchor text".split()))
-    equal = _mapped(found.groupBy("bucket").agg(F.collect_list(part).alias("parts")), lambda row: equal_strings(row["parts"]), _EQUAL)
+    equal = _mapped(found.repartition(spread, "bucket").groupBy("bucket").agg(F.collect_list(part).alias("parts")), lambda row: equal_strings(row["parts"]), _EQUAL)
     equal = keep(equal).groupBy("piece").agg(F.collect_list(F.struct("first", "last", "at", "low")).alias("equal"))
     out = _mapped(made.drop("counts").join(equal, "piece", "left"), removals, _RESULT)
 
