@@ -150,3 +150,59 @@ def test_positions_and_checks(spark):
     assert got["a"].entry_price == 100 and got["a"].days_held == 10 and got["a"].unrealized_pnl_pct == pytest.approx(10) and got["a"].closed_pnl_pct is None
     assert got["b"].entry_price == 50 and got["b"].closed_pnl_pct == pytest.approx(25) and got["b"].stop_loss == pytest.approx(50.5)
     assert got["c"].entry_price is None and got["c"].closed_pnl_pct == pytest.approx(50) and got["d"].closed_pnl_pct is None
+
+
+def test_hurst_is_the_rescaled_range(spark):
+    """Against numpy, chunk by chunk: a walk, a short series, and one that is constant."""
+    from tidemark.operators.portfolio import hurst
+
+    rng = np.random.default_rng(4)
+    walks = {"a": rng.normal(size=300).cumsum() + 50, "b": rng.normal(size=70).cumsum(), "c": np.ones(100), "d": np.arange(9.0)}
+
+    def plain(x):
+        lags, values = [], []
+        for lag in range(2, min(20, len(x) // 4)):
+            found = []
+            for k in range(len(x) // lag):
+                r = np.diff(x[k * lag : (k + 1) * lag])
+                if len(r) > 1 and r.std(ddof=1) > 0:
+                    run = (r - r.mean()).cumsum()
+                    found.append((run.max() - run.min()) / r.std(ddof=1))
+            if found:
+                lags.append(lag)
+                values.append(np.mean(found))
+        return float(np.clip(np.polyfit(np.log(lags), np.log(values), 1)[0], 0, 1)) if len(lags) >= 3 else 0.5
+
+    rows = [(k, i, float(v)) for k, x in walks.items() for i, v in enumerate(x)]
+    got = {r.key: r.hurst for r in hurst(spark.createDataFrame(rows, "key string, i int, x double"), "key", "i", "x").collect()}
+    assert got == pytest.approx({k: plain(x) for k, x in walks.items()})
+
+
+def test_ordered_passes_carry_their_state(spark):
+    """Batches of few rows: fractional differences, exponential means with gaps and expanding quantiles against pandas and numpy."""
+    from tidemark.operators import timeseries as ts
+
+    rng = np.random.default_rng(5)
+    rows = [(k, i, None if i % 17 == 3 else float(v)) for k in "ab" for i, v in enumerate(rng.normal(size=900))]
+    pdf = pd.DataFrame(rows, columns=["pair", "ts_ms", "x"]).astype({"x": float})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        df = spark.createDataFrame(rows, "pair string, ts_ms long, x double")
+        df = ts.with_fractional_differences(df.withColumn("y", F.coalesce("x", F.lit(1.0))), {"fd": "y"}, most=50)
+        df = ts.with_expanding_quantiles(df, "x", {"p5": 0.05})
+        df = ts.with_ewm(ts.with_macd(df, "e", "g", "x", 2 / 13, 2 / 27, 0.2), "m", "s", F.col("x"), 0.25)
+        got = df.toPandas().sort_values(["pair", "ts_ms"]).reset_index(drop=True)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    w = ts.difference_weights(most=50)
+    for _, part in pdf.groupby("pair"):
+        mine = got.loc[part.index]
+        y = part["x"].fillna(1.0).to_numpy()
+        want = np.concatenate([np.full(len(w) - 1, np.nan), np.convolve(y, w, "valid")])
+        assert np.allclose(mine["fd"], want, equal_nan=True)
+        assert np.allclose(mine["p5"], part["x"].expanding().quantile(0.05))
+        known = part["x"].dropna()
+        line = known.ewm(alpha=2 / 13, adjust=False).mean() - known.ewm(alpha=2 / 27, adjust=False).mean()
+        for name, series in (("e", line), ("g", line.ewm(alpha=0.2, adjust=False).mean()), ("m", known.ewm(alpha=0.25).mean()), ("s", known.ewm(alpha=0.25).std())):
+            assert np.allclose(mine[name], series.reindex(part.index).ffill(), equal_nan=True), name

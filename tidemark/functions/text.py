@@ -66,9 +66,8 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_\s.,!?:$%-]", ""), r"\s+", " "))
 
 
-def events(text: Column) -> Column:
-    """Names of the events of which a keyword is in the text, in their order."""
-    low = F.lower(text)
+def events(low: Column) -> Column:
+    """Names of the events of which a keyword is in the lower-case text, a column of its own, in their order."""
     return F.array_compact(F.array(*(F.when(_any(low, words), F.lit(name)) for name, words in EVENTS.items())))
 
 

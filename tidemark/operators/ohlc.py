@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .timeseries import change, ema, ewm, fractional_difference, kurt, percentile_rank, rolling, series, skew
+from .timeseries import change, kurt, percentile_rank, rolling, series, skew, with_ewm, with_fractional_differences, with_macd
 
 #: Column order of the standard features.
 STANDARD = (
@@ -35,16 +35,18 @@ def standard_features(bars: DataFrame, horizon: int = 3, scaling: float = 1.0, a
     c, o, h, l, v = (F.col(n) for n in ("close", "open", "high", "low", "volume"))
     before = F.lag(c).over(w)
     span = F.when(h != l, h - l)
-    df = bars.withColumns({
+    df = with_macd(bars, "macd_line", "macd_signal", "close", 2 / 13, 2 / 27, 0.2).withColumns({
         "body_ratio": F.abs(c - o) / span, "price_position": (c - l) / span, "hl_spread": h - l,
         "log_ret": _log(c, before), "__tr": F.greatest(h - l, F.abs(h - before), F.abs(l - before)),
         "__up": h - F.lag(h).over(w), "__down": F.lag(l).over(w) - l,
         "sma_fast": rolling(F.avg, c, w, 10), "sma_slow": rolling(F.avg, c, w, 50), "__sma20": rolling(F.avg, c, w, 20),
-        "__fast": ema(c, w, 2 / 13), "__slow": ema(c, w, 2 / 27), "rsi": _rsi(c, w),
+        "rsi": _rsi(c, w),
         **{f"roc_{k}": change(c, w, k) for k in (3, 5, 10)},
-        "volume_ewma": ewm(v, w, alpha)["mean"], "volume_change": v - F.lag(v).over(w),
+        "volume_change": v - F.lag(v).over(w),
         "target": _log(F.lead(c, horizon).over(w), c) * scaling,
     })
+    df = with_ewm(df, "volume_ewma", None, v, alpha)
+    df = with_ewm(df, "ewma_ret", "ewma_vol", F.col("log_ret"), alpha)
     up, down, r = F.col("__up"), F.col("__down"), F.col("log_ret")
     atr = rolling(F.avg, F.col("__tr"), w, 14)
     di = lambda x: 100 * F.try_divide(rolling(F.avg, x, w, 14), atr)
@@ -54,14 +56,14 @@ def standard_features(bars: DataFrame, horizon: int = 3, scaling: float = 1.0, a
     df = df.withColumns({
         **{f"log_ret_lag_{k}": F.lag(r, k).over(w) for k in range(1, 11)},
         "sma_spread": F.col("sma_fast") - F.col("sma_slow"), "sma_slope_10": change(F.col("sma_fast"), w), "sma_slope_20": change(F.col("__sma20"), w),
-        "macd_line": F.col("__fast") - F.col("__slow"), "atr": atr,
+        "atr": atr,
         "plus_di": di(F.when((up > down) & (up > 0), up).otherwise(0.0)), "minus_di": di(F.when((down > up) & (down > 0), down).otherwise(0.0)),
         "rv_10": rolling(F.stddev_samp, r, w, 10) * math.sqrt(10), "rv_60": rolling(F.stddev_samp, r, w, 60) * math.sqrt(60),
-        "__ewm": ewm(r, w, alpha), "rolling_skew": F.when(full, skew(r, last20, 20)), "rolling_kurt": F.when(full, kurt(r, last20, 20)),
+        "rolling_skew": F.when(full, skew(r, last20, 20)), "rolling_kurt": F.when(full, kurt(r, last20, 20)),
         "dow_sin": F.sin(2 * math.pi * day / 7), "dow_cos": F.cos(2 * math.pi * day / 7),
     })
     dx = 100 * F.try_divide(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di"))
-    df = df.withColumns({"macd_signal": ema(F.col("macd_line"), w, 0.2), "adx": rolling(F.avg, dx, w, 14), "rv_ratio": F.try_divide("rv_10", "rv_60"), "ewma_ret": F.col("__ewm.mean"), "ewma_vol": F.col("__ewm.std")})
+    df = df.withColumns({"adx": rolling(F.avg, dx, w, 14), "rv_ratio": F.try_divide("rv_10", "rv_60")})
     df = df.withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal"))
     return df.select(*bars.columns, *STANDARD)
 
@@ -120,8 +122,8 @@ def _proxy_rsi(x: Column, w, n: int = 14) -> Column:
 
 def fractional_features(bars: DataFrame) -> DataFrame:
     """bars with fractional differences of close, its logarithm and volume."""
-    w = series()
-    return bars.withColumns({"close_frac_diff": fractional_difference(F.col("close"), w), "log_close_frac_diff": fractional_difference(F.ln("close"), w), "volume_frac_diff": fractional_difference(F.col("volume"), w)})
+    names = {"close_frac_diff": "close", "log_close_frac_diff": "__log", "volume_frac_diff": "volume"}
+    return with_fractional_differences(bars.withColumn("__log", F.ln("close")), names).drop("__log")
 
 
 def clean(features: DataFrame, names: list[str], min_history: int = 60, key: str = "pair", order: str = "ts_ms") -> DataFrame:

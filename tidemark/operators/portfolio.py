@@ -101,13 +101,29 @@ def streaks(rows: DataFrame, key: str, order: list[str], x: str) -> DataFrame:
     return r.groupBy(key).agg(F.max("__s").cast("int").alias("sign"), F.count("*").alias("length"))
 
 
-def hurst(prices: DataFrame, key: str, order: str, x: str, lags: range = range(2, 21)) -> DataFrame:
-    """(key, hurst): slope of ln of the standard deviation of x[t + lag] - x[t] over ln lag, within [0, 1]; 0.5 if it has none."""
+def hurst(prices: DataFrame, key: str, order: str, x: str, most: int = 20) -> DataFrame:
+    """(key, hurst): the exponent of the rescaled range, within [0, 1]; 0.5 if under three lags have one.
+
+    For each lag from 2 to under min(most, a quarter of the key's rows), whole chunks of so many rows, one after another,
+    give the range of the running sum of their changes about the mean, by the changes' standard deviation. The slope of
+    the logarithm of the chunks' mean over that of the lag is the exponent. A chunk is one array of under `most` numbers.
+    """
     w = Window.partitionBy(key).orderBy(order)
-    wide = prices.select(key, *((F.lead(x, k).over(w) - F.col(x)).alias(f"d{k}") for k in lags))
-    std = wide.groupBy(key).agg(*(F.stddev_pop(f"d{k}").alias(f"s{k}") for k in lags))
-    long = std.select(key, F.explode(F.array(*(F.struct(F.lit(float(k)).alias("k"), F.col(f"s{k}").alias("s")) for k in lags))).alias("p")).where("p.s > 0")
-    fit = long.groupBy(key).agg(F.regr_slope(F.ln("p.s"), F.ln("p.k")).alias("h"))
+    rows = prices.select(key, F.col(x).alias("x"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n"))
+    rows = rows.withColumn("lag", F.explode(F.array(*(F.lit(k) for k in range(2, most))))).where("lag < n div 4 and i div lag < n div lag")
+    chunks = rows.groupBy(key, "lag", F.expr("i div lag").alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+    chunks = chunks.where("lag > 2").withColumn("r", F.zip_with(F.slice("v", 2, most), F.slice("v", 1, F.size("v") - 1), lambda a, b: a - b))
+    chunks = chunks.withColumn("m", F.aggregate("r", F.lit(0.0), lambda a, v: a + v) / F.size("r"))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(0.0).alias("q"))
+
+    def step(a: Column, v: Column) -> Column:
+        s = a["s"] + (v - F.col("m"))
+        return F.struct(s.alias("s"), F.least(a["low"], s).alias("low"), F.greatest(a["high"], s).alias("high"), (a["q"] + (v - F.col("m")) * (v - F.col("m"))).alias("q"))
+
+    chunks = chunks.withColumn("f", F.aggregate("r", start, step)).withColumn("std", F.sqrt(F.col("f.q") / (F.size("r") - 1)))
+    lags = chunks.where("std > 0").groupBy(key, "lag").agg(F.avg((F.col("f.high") - F.col("f.low")) / F.col("std")).alias("rs"))
+    fit = lags.groupBy(key).agg(F.when(F.count("*") >= 3, F.regr_slope(F.ln("rs"), F.ln("lag"))).alias("h"))
+    fit = prices.select(key).distinct().join(fit, key, "left")
     return fit.select(key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("h", F.lit(0.5)))).alias("hurst"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -34,36 +36,44 @@ def change(x: Column, w: WindowSpec, k: int = 1) -> Column:
     return F.try_divide(x - F.lag(x, k).over(w), F.lag(x, k).over(w))
 
 
-def reach(alpha: float, tiny: float = 1e-13) -> int:
-    """Rows after which a weight (1 - alpha)^k is under `tiny`: exponential windows look back so far and no further."""
+def reach(alpha: float, tiny: float = 1e-18) -> int:
+    """Rows after which a weight (1 - alpha)^k is under `tiny`, which no sum of doubles shows."""
     return math.ceil(math.log(tiny) / math.log(1 - alpha))
 
 
-def ema(x: Column, w: WindowSpec, alpha: float) -> Column:
-    """y = (1 - alpha) * y before + alpha * x, from the first value on."""
-    past = F.collect_list(x).over(w.rowsBetween(-reach(alpha), 0))
-    return F.aggregate(past, F.lit(None).cast("double"), lambda y, v: F.when(y.isNull(), v).otherwise(y * (1 - alpha) + v * alpha))
+def _decayed(df: DataFrame, sums: dict[str, Column], seen: Column, alpha: float, key: str, order: str) -> DataFrame:
+    """df with sums of values, each times (1 - alpha)^k where k values came after it; seen counts the values up to a row.
 
-
-def ewm(x: Column, w: WindowSpec, alpha: float) -> Column:
-    """struct(mean, std) with weights (1 - alpha)^i over i rows back, normalised; std corrected for bias, null for one value.
-
-    Values are those that are not null; weights count rows from the first value on, so only leading nulls may be missing.
+    Values are cut into blocks as long as weights last. A row's sum is that of its block so far and of the block before,
+    each a plain window sum of values scaled by their place in the block, so no row carries a list of its past.
     """
-    past = F.collect_list(x).over(w.rowsBetween(-reach(alpha), 0))
-    keep = 1 - alpha
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("n2"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("dev"))
+    keep, block = 1 - alpha, reach(alpha)
+    df = df.withColumn("__n", (seen - 1).cast("long"))
+    at = F.pmod("__n", F.lit(block)).cast("double")
+    df = df.withColumns({"__b": F.floor(F.col("__n") / block), "__j": at, **{f"__v_{n}": x * F.pow(F.lit(1 / keep), at) for n, x in sums.items()}})
+    own = Window.partitionBy(key, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy(key).orderBy("__b").rangeBetween(-1, -1)
+    scale = F.pow(F.lit(keep), F.col("__j"))
+    out = {n: scale * (F.coalesce(F.sum(f"__v_{n}").over(own), F.lit(0.0)) + keep**block * F.coalesce(F.sum(f"__v_{n}").over(past), F.lit(0.0))) for n in sums}
+    return df.withColumns(out).drop("__b", "__j", *(f"__v_{n}" for n in sums))
 
-    def step(a: Column, v: Column) -> Column:
-        n, n2 = a["n"] * keep + 1, a["n2"] * keep * keep + 1
-        mean = a["mean"] + (v - a["mean"]) / n
-        return F.struct(n.alias("n"), n2.alias("n2"), mean.alias("mean"), (a["dev"] * keep + (v - a["mean"]) * (v - mean)).alias("dev"))
 
-    def end(a: Column) -> Column:
-        rest = a["n"] - a["n2"] / a["n"]
-        return F.struct(F.when(a["n"] > 0, a["mean"]).alias("mean"), F.when(a["n"] > 1.0000001, F.sqrt(F.try_divide(a["dev"], rest))).alias("std"))
+def with_ewm(df: DataFrame, mean: str, std: str | None, x: Column, alpha: float, key: str = "pair", order: str = "ts_ms") -> DataFrame:
+    """df with mean and std under weights (1 - alpha)^i over i values back, normalised; std corrected for bias, null for one value.
 
-    return F.aggregate(past, start, step, end)
+    Nulls are no values. Squares are taken around the key's first value, so that a large level costs no digits.
+    """
+    w = series(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__x", x.cast("double")).withColumns({"__seen": F.count("__x").over(w), "__first": F.first("__x", ignorenulls=True).over(w)})
+    z = F.col("__x") - F.col("__first")
+    df = _decayed(df, {"__s1": z, "__s2": z * z}, F.col("__seen"), alpha, key, order)
+    keep = 1 - alpha
+    n, n2 = ((1 - F.pow(F.lit(q), F.col("__seen"))) / (1 - q) for q in (keep, keep * keep))
+    m = F.col("__s1") / n
+    out = {mean: F.when(F.col("__seen") > 0, F.col("__first") + m)}
+    if std:
+        out[std] = F.when(F.col("__seen") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("__s2") - n * m * m) / (n - n2 / n)))
+    return df.withColumns(out).drop("__x", "__n", "__seen", "__first", "__s1", "__s2")
 
 
 def skew(x: Column, frame: WindowSpec, n: int) -> Column:
@@ -84,12 +94,104 @@ def difference_weights(d: float = 0.4, tiny: float = 1e-5, most: int = 500) -> l
     return w
 
 
-def fractional_difference(x: Column, w: WindowSpec, d: float = 0.4, tiny: float = 1e-5, most: int = 500) -> Column:
-    """Weighted sum over the last rows; null until there are as many as weights."""
-    weights = difference_weights(d, tiny, most)
-    past = F.collect_list(x).over(w.rowsBetween(-(len(weights) - 1), 0))
-    oldest_first = F.array(*(F.lit(v) for v in reversed(weights)))
-    return F.when(F.size(past) == len(weights), F.aggregate(F.zip_with(past, oldest_first, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v))
+def ordered_pass(df: DataFrame, key: str, order: str, make: Callable, schema: str) -> DataFrame:
+    """df's rows, in order within each key, through make(pandas frame of one key's next rows, state) -> (frame, state).
+
+    Rows are dealt by key and sorted, and stream through in Arrow batches; only the state, None at a key's start, is carried
+    from batch to batch, so that a key of any length needs the memory of a batch.
+    """
+
+    def task(frames):
+        key_now, state = None, None
+        for pdf in frames:
+            pdf = pdf.reset_index(drop=True)
+            new = (pdf[key] != pdf[key].shift()) & ~(pdf[key].isna() & pdf[key].shift().isna())
+            new[:1] = True
+            starts = [*new.to_numpy().nonzero()[0].tolist(), len(pdf)]
+            for s, e in itertools.pairwise(starts):
+                part = pdf.iloc[s:e].reset_index(drop=True)
+                name = (part[key].iloc[0],) if part[key].notna().iloc[0] else ()
+                if s > 0 or name != key_now:
+                    state = None
+                key_now = name
+                out, state = make(part, state)
+                yield out
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(task, schema)
+
+
+def with_macd(df: DataFrame, line: str, signal: str, x: str, fast: float, slow: float, smooth: float, key: str = "pair", order: str = "ts_ms") -> DataFrame:
+    """df with the difference of two exponential means of x and that difference's own mean, in one pass that carries three numbers.
+
+    A mean is y = y before * (1 - alpha) + x * alpha, from the first value on; a row without a value keeps what was.
+    """
+
+    def make(pdf, state):
+        f, s, m = state or (None, None, None)
+        lines, signals = [], []
+        for v in pdf[x].tolist():
+            if v is not None and v == v:
+                f = v if f is None else f * (1 - fast) + v * fast
+                s = v if s is None else s * (1 - slow) + v * slow
+                m = f - s if m is None else m * (1 - smooth) + (f - s) * smooth
+            lines.append(None if f is None else f - s)
+            signals.append(m)
+        return pdf.assign(**{line: lines, signal: signals}), (f, s, m)
+
+    return ordered_pass(df, key, order, make, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{line}` double, `{signal}` double"]))
+
+
+def with_fractional_differences(df: DataFrame, columns: dict[str, str], key: str = "pair", order: str = "ts_ms", d: float = 0.4, tiny: float = 1e-5, most: int = 500) -> DataFrame:
+    """df with, for each {out: column}, the weighted sum over its last rows; null until there are as many as weights.
+
+    One pass in order: what is carried is the last rows of each column. A null makes the sums that hold it null.
+    """
+    import numpy as np
+
+    weights = np.array(difference_weights(d, tiny, most))
+
+    def make(pdf, state):
+        last = state or {}
+        out, now = pdf.copy(), {}
+        for name, column in columns.items():
+            x = np.concatenate([last.get(name, np.zeros(0)), pdf[column].to_numpy("float64", na_value=np.nan)])
+            full = np.convolve(x, weights, "valid") if len(x) >= len(weights) else np.zeros(0)
+            if np.isnan(full).any():
+                holes = np.convolve(np.isnan(x), np.ones(len(weights)), "valid") > 0.5
+                full = np.where(holes, np.nan, np.convolve(np.nan_to_num(x), weights, "valid"))
+            out[name] = np.concatenate([np.full(max(0, len(pdf) - len(full)), np.nan), full[-len(pdf) :] if len(full) else full])
+            now[name] = x[-(len(weights) - 1) :]
+        return out, now
+
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), *(f"`{n}` double" for n in columns)])
+    made = ordered_pass(df, key, order, make, schema)
+    return made.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in columns})
+
+
+def with_expanding_quantiles(df: DataFrame, x: str, quantiles: dict[str, float], key: str = "pair", order: str = "ts_ms") -> DataFrame:
+    """df with exact quantiles, linear between neighbours, of all values of x up to each row; nulls are no values.
+
+    One pass in order that carries the key's values, sorted: exact quantiles of a growing past need all of it.
+    """
+    import bisect
+
+    def make(pdf, state):
+        past = state or []
+        out = pdf.copy()
+        found = {n: [] for n in quantiles}
+        for v in pdf[x].tolist():
+            if v is not None and v == v:
+                bisect.insort(past, v)
+            for n, q in quantiles.items():
+                at = q * (len(past) - 1)
+                low = int(at)
+                found[n].append(past[low] + (past[min(low + 1, len(past) - 1)] - past[low]) * (at - low) if past else None)
+        for n, values in found.items():
+            out[n] = values
+        return out, past
+
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), *(f"`{n}` double" for n in quantiles)])
+    return ordered_pass(df, key, order, make, schema)
 
 
 def percentile_rank(x: Column, w: WindowSpec, n: int = 120, least: int = 20) -> Column:
@@ -113,8 +215,11 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     """left with the values of the latest right row of its key at or before its time; null if there is none.
 
     Both sides meet in one window per key, a shuffle of the union, with no join and no pairs. At equal times a right row
-    comes first; of right rows with equal times, the greatest values count.
+    comes first; of right rows with equal times, the greatest values count. Without a key the whole table would be one
+    window, so that is refused.
     """
+    if not on:
+        raise ValueError("an as-of join needs a key")
     names = left.columns
     value = F.struct(*(F.col(v) for v in values))
     l = left.select(F.struct(*names).alias("__row"), *(F.col(k) for k in on), F.col(left_time).alias("__t"), F.lit(1).alias("__side"))

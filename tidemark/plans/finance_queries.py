@@ -196,12 +196,12 @@ def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.streaks(returns(spark, sf_dir).where("ret != 0"), "pair", ["day"], "ret")
 
 
-_LAGS = range(2, 21)
-
-
 @query(
-    f"""WITH {BARS_SQL}, d AS (SELECT pair, {', '.join(f'lead(close, {k}) OVER (PARTITION BY pair ORDER BY day) - close AS d{k}' for k in _LAGS)} FROM bars), s AS (SELECT pair, {', '.join(f'stddev_pop(d{k}) AS s{k}' for k in _LAGS)} FROM d GROUP BY pair),
-    l AS ({' UNION ALL '.join(f'SELECT pair, {k} AS k, s{k} AS s FROM s' for k in _LAGS)}) SELECT pair, round(greatest(0.0, least(1.0, regr_slope(ln(s), ln(k)))), 6) AS hurst FROM l WHERE s > 0 GROUP BY pair"""
+    f"""WITH {BARS_SQL}, n AS (SELECT pair, close, row_number() OVER (PARTITION BY pair ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY pair) AS n FROM bars),
+    l AS (SELECT pair, k, i // k AS c, i, close - lag(close) OVER (PARTITION BY pair, k, i // k ORDER BY i) AS ret FROM n, range(2, 20) t(k) WHERE k < n // 4 AND i // k < n // k),
+    d AS (SELECT *, ret - avg(ret) OVER (PARTITION BY pair, k, c) AS dev FROM l WHERE ret IS NOT NULL), s AS (SELECT *, sum(dev) OVER (PARTITION BY pair, k, c ORDER BY i) AS cum FROM d),
+    r AS (SELECT pair, k, c, (max(cum) - min(cum)) / nullif(stddev_samp(ret), 0) AS rs FROM s GROUP BY ALL), m AS (SELECT pair, k, avg(rs) AS rs FROM r WHERE rs IS NOT NULL GROUP BY ALL)
+    SELECT pair, round(greatest(0.0, least(1.0, CASE WHEN count(*) >= 3 THEN regr_slope(ln(rs), ln(k)) ELSE 0.5 END)), 6) AS hurst FROM m GROUP BY pair"""
 )
 def hurst_exponents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.hurst(daily_bars(spark, sf_dir), "pair", "day", "close"))

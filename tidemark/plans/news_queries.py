@@ -57,7 +57,8 @@ _HAS = lambda words: " OR ".join(f"contains(low, '{w.lower()}')" for w in words)
 )
 def article_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by keyword, liquidity impact and decisions."""
-    a = articles(spark, sf_dir).withColumns({"ev": tx.events(F.concat_ws(" ", "title", "content")), "impact": tx.liquidity_impact(F.col("label"), F.col("score"))})
+    a = articles(spark, sf_dir).withColumn("low", F.lower(F.concat_ws(" ", "title", "content")))
+    a = a.withColumns({"ev": tx.events(F.col("low")), "impact": tx.liquidity_impact(F.col("label"), F.col("score"))})
     d = tx.decisions(F.col("label"), F.col("score"), F.col("impact"), F.col("ev"), F.col("factor"))
     return a.select("id", F.array_join("ev", ",").alias("critical_events"), F.col("impact").alias("liquidity_impact"), F.array_join(d, ",").alias("decisions"))
 

@@ -154,15 +154,18 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_BONDS}, curve AS (SELECT day, y FROM (SELECT CAST(ts AS DATE) AS day, 0.03 + avg(value) / 10000 AS y FROM events WHERE value IS NOT NULL GROUP BY 1)) SELECT day, p_brand AS desk, count(*) AS bonds, round(avg(coupon_rate - y) * 10000, 4) + 0.0 AS spread_bps FROM bond CROSS JOIN curve GROUP BY ALL"""
+    f"""WITH {_BONDS}, curve AS (SELECT day, y FROM (SELECT CAST(ts AS DATE) AS day, 0.03 + avg(value) / 10000 AS y FROM events WHERE value IS NOT NULL GROUP BY 1)) SELECT day, p_brand AS desk, count(*) AS bonds, round((avg(coupon_rate) - avg(y)) * 10000 + 1e-8, 4) + 0.0 AS spread_bps FROM bond CROSS JOIN curve GROUP BY ALL"""
 )
 def curve_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every day's level against every desk's bonds: desks are aggregated first, so days meet desks and not bonds."""
+    """Every day's level against every desk's bonds: desks are aggregated first, so days meet desks and not bonds.
+
+    Means of a few decimals end in exact halves of the last digit; 1e-8 more, here and in the SQL, rounds them alike.
+    """
     days = table(spark, sf_dir, "events").where("value is not null").groupBy(F.to_date("ts").alias("day")).agg((0.03 + F.avg("value") / 10000).alias("y"))
     desks = bond_table(spark, sf_dir).groupBy(F.col("p_brand").alias("desk")).agg(F.count("*").alias("bonds"), F.avg("coupon_rate").alias("c"))
     every = desks.agg(F.collect_list(F.struct("desk", "bonds", "c")).alias("d"))  # one row: desks are a fixed dimension
     out = days.join(F.broadcast(every)).select("day", "y", F.explode("d").alias("d"))
-    return rounded(out.select("day", "d.desk", "d.bonds", ((F.col("d.c") - F.col("y")) * 10000).alias("spread_bps")), 4)
+    return rounded(out.select("day", "d.desk", "d.bonds", ((F.col("d.c") - F.col("y")) * 10000 + 1e-8).alias("spread_bps")), 4)
 
 
 @query()

@@ -22,8 +22,8 @@ def _roll(agg: str, x: str, n: int, least: int | None = None) -> str:
     return f"CASE WHEN count({x}) {frame} >= {least or n} THEN {agg.replace('@', x)} {frame} END"
 
 
-def _ema_sql(x: str, alpha: str, back: int) -> str:
-    return f"list_reduce(list({x}) OVER ({_W} ROWS BETWEEN {back} PRECEDING AND CURRENT ROW), lambda a, v: a * (1 - {alpha}) + v * {alpha})"
+def _ema_sql(x: str, alpha: str) -> str:
+    return f"list_reduce(list({x}) OVER ({_W} ROWS UNBOUNDED PRECEDING), lambda a, v: a * (1 - {alpha}) + v * {alpha})"
 
 
 _F1 = f"""{BARS_SQL}, f1 AS (SELECT *,
@@ -33,7 +33,7 @@ _F1 = f"""{BARS_SQL}, f1 AS (SELECT *,
     greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr,
     high - lag(high) OVER w AS up, lag(low) OVER w - low AS down, close - lag(close) OVER w AS d,
     {_roll('avg(@)', 'close', 10)} AS sma_fast, {_roll('avg(@)', 'close', 50)} AS sma_slow, {_roll('avg(@)', 'close', 20)} AS sma20,
-    {_ema_sql('close', '(2.0::DOUBLE / 13)', 180)} AS fast, {_ema_sql('close', '(2.0::DOUBLE / 27)', 389)} AS slow,
+    {_ema_sql('close', '(2.0::DOUBLE / 13)')} AS fast, {_ema_sql('close', '(2.0::DOUBLE / 27)')} AS slow,
     {', '.join(f'(close - lag(close, {k}) OVER w) / nullif(lag(close, {k}) OVER w, 0) AS roc_{k}' for k in (3, 5, 10))},
     list(volume) OVER ({_W} ROWS BETWEEN 105 PRECEDING AND CURRENT ROW) AS vl, volume - lag(volume) OVER w AS volume_change,
     ln(lead(close, 3) OVER w / close) AS target
@@ -47,7 +47,7 @@ _F1 = f"""{BARS_SQL}, f1 AS (SELECT *,
     list(log_ret) FILTER (log_ret IS NOT NULL) OVER ({_W} ROWS BETWEEN 105 PRECEDING AND CURRENT ROW) AS rl
   FROM f1 WINDOW w AS ({_W})), f3 AS (SELECT *, {_roll('avg(@)', 'g', 14)} AS gain, {_roll('avg(@)', 'ls', 14)} AS loss,
     100 * ({_roll('avg(@)', 'pdm', 14)}) / atr AS plus_di, 100 * ({_roll('avg(@)', 'mdm', 14)}) / atr AS minus_di,
-    {_ema_sql('macd_line', '0.2::DOUBLE', 135)} AS macd_signal,
+    {_ema_sql('macd_line', '0.2::DOUBLE')} AS macd_signal,
     list_sum(list_transform(vl, lambda x, i: x * pow(0.75::DOUBLE, len(vl) - i))) / list_sum(list_transform(vl, lambda x, i: pow(0.75::DOUBLE, len(vl) - i))) AS volume_ewma,
     list_sum(list_transform(rl, lambda x, i: x * pow(0.75::DOUBLE, len(rl) - i))) / list_sum(list_transform(rl, lambda x, i: pow(0.75::DOUBLE, len(rl) - i))) AS ewma_ret,
     list_sum(list_transform(rl, lambda x, i: pow(0.75::DOUBLE, len(rl) - i))) AS sw, list_sum(list_transform(rl, lambda x, i: pow(0.75::DOUBLE, 2 * (len(rl) - i)))) AS sw2
@@ -138,7 +138,8 @@ def expanding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = daily_bars(spark, sf_dir).withColumn("ret", ts.change(F.col("close"), w))
     df = df.withColumns({"growth": F.exp(F.sum(F.ln(1 + F.col("ret"))).over(past)), "total": F.sum("ret").over(past)})
     peak = F.max("growth").over(past)
-    return rounded(df.select("pair", "day", "ret", "growth", "total", peak.alias("peak"), (F.col("growth") / peak - 1).alias("drawdown"), F.percentile("ret", 0.05).over(past).alias("p5"), F.percentile("ret", 0.95).over(past).alias("p95")))
+    df = df.select("pair", "day", "ret", "growth", "total", peak.alias("peak"), (F.col("growth") / peak - 1).alias("drawdown"))
+    return rounded(ts.with_expanding_quantiles(df, "ret", {"p5": 0.05, "p95": 0.95}, order="day"))
 
 
 @query(
