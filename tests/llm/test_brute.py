@@ -92,6 +92,30 @@ def least_edits(unit: bytes, text: bytes) -> np.ndarray:
     return row
 
 
+@needs_tables
+def test_op2_query_against_sql(spark, docs, tmp_path):
+    """Every column of every document on the table's hosts, and on two hosts with planted lines of which some go."""
+    import duckdb
+
+    footer = F.when(F.col("doc_id") % 3 == 0, F.lit("\nRead Page 12 of our long footer, which says the same on every page,  again and again")).otherwise("")
+    docs.select("doc_id", F.concat("text", footer, F.when(F.col("doc_id") % 9 == 0, F.repeat(footer, 40)).otherwise("")).alias("text"), F.when(F.col("doc_id") < 20, "few").otherwise("many").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    for sf, planted in ((SF, False), (str(tmp_path), True)):
+        con = duckdb.connect()
+        con.sql(f"create view documents as select * from '{sf}/documents.parquet{'/*.parquet' if planted else ''}'")
+        want = con.sql(queries.oracle_sql()["op2_quality_rules"])
+        got = queries.op2_quality_rules(spark, sf).select(*want.columns).collect()
+        assert sorted(map(tuple, got)) == sorted(want.fetchall())
+        if planted:
+            assert sum(r.n_frequent_lines > 0 for r in got) > 50 and any(not r.kept and not r.base_failed for r in got) or any(r.frequent_chars > 0.7 * r.word_chars for r in got)
+
+
+def test_op2_depleted_on_a_small_host(spark):
+    same = "this footer stands under every page of the small host and fills most of what there is to read on it"
+    rows = [(k, "small", f"one short line of its own {'abcdefghij'[k % 10]} {k}\n{same} {same[k:]}\n{same}\n{same}") for k in range(12)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert all(r.n_frequent_lines == 2 for r in got)
+
+
 @needs_tables
 def test_op3_query_against_full_alignment(spark, tmp_path):
     """Whole texts through the query, with every fifth unit; texts with as many edits as a unit allows are added."""

@@ -56,15 +56,17 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_docs: int = 20, min_left: float = 0.3, broadcast_rows: int = 200_000) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_docs: int = 20, max_share: float = 0.1, least_docs: int = 3, min_left: float = 0.3, broadcast_rows: int = 200_000) -> DataFrame:
     """Per row of docs: doc_id, the base rules, and kept, the verdict after lines that many documents of a host share are removed.
 
     Lines are normalised (lower case, runs of digits to 0, runs of spaces to one) and hashed; lines without a word don't
-    count. A line that more than max_docs different documents of a host carry is removed; a document of which less than
-    min_left of its words' characters remain is depleted and not kept. Also returns n_frequent_lines and frequent_chars.
+    count. A line is removed if more than max_docs different documents of a host carry it, or, on a small host, more than
+    max_share of its documents (of those with a line) and more than least_docs; a document of which less than min_left of
+    its words' characters remain is depleted and not kept. Also returns n_frequent_lines and frequent_chars.
     Each document's different lines are counted once before any shuffle; the frequent ones are joined by a broadcast if
     they are few, and by a shuffle of the lines otherwise. A null host is a host; null texts are empty and fail the base
-    rules; rows that repeat an id and text are judged alike and count as one document.
+    rules; rows that repeat an id and text are judged alike and count as one document, and so do rows with one id in the
+    counts of documents. Other columns, whatever their names, are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("text")).withColumn("th", F.xxhash64("text"))
@@ -74,7 +76,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sour
     lines = lines.select("doc_id", "host", "th", normal.alias("n"), _without(F.col("line"), SPACES).alias("chars")).where("chars > 0")
     lines = lines.groupBy("host", F.xxhash64("n").alias("h"), "doc_id", "th").agg(F.sum("chars").alias("chars"), F.count("*").alias("k"))
     lines = cut(lines)
-    frequent = cut(lines.select("host", "h", "doc_id").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "h"))
+    often = lines.select("host", "h", "doc_id").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > least_docs)
+    small = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") * max_share < max_docs)
+    small = small.select(F.col("host").alias("__host"), (F.col("all") * max_share).alias("limit"))
+    often = often.join(small, F.col("host").eqNullSafe(F.col("__host")), "left")
+    frequent = cut(often.where(F.col("docs") > F.coalesce("limit", F.lit(max_docs))).select("host", "h"))
     few = frequent.limit(broadcast_rows + 1).count() <= broadcast_rows
     on = [lines["host"].eqNullSafe(frequent["host"]), lines["h"] == frequent["h"]]
     removed = lines.join(F.broadcast(frequent) if few else frequent, on, "left_semi")

@@ -73,5 +73,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_decontamination, op4_suffix_array_dedup, op5_license_scan, op6_quality_classifier, op7_simhash, op8_mixing, op9_chunk_dedup, op10_pii)}
 
 
+#: Lines and windows are grouped by their text here, where the operator groups by hashes.
+_QUALITY = r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+  w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split(text, chr(10)) AS l, text FROM d),
+  p AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+  g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM p),
+  t AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+  r AS (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM t),
+  n AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat_words FROM r GROUP BY 1),
+  l AS (SELECT d.doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+  k AS (SELECT doc_id, source, line, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS n,
+    length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+  h AS (SELECT source, count(DISTINCT doc_id) AS docs FROM k GROUP BY 1),
+  f AS (SELECT source, n FROM (SELECT source, n, count(DISTINCT doc_id) AS docs FROM k GROUP BY ALL) c JOIN h USING (source)
+    WHERE c.docs > 3 AND c.docs > CASE WHEN h.docs * 0.1::DOUBLE < 20 THEN h.docs * 0.1::DOUBLE ELSE 20 END),
+  x AS (SELECT doc_id, count(*) AS lines, sum(chars)::BIGINT AS chars FROM k SEMI JOIN f USING (source, n) GROUP BY 1),
+  u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM k GROUP BY 1),
+  o AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lines, 0)::BIGINT AS n_frequent_lines, coalesce(chars, 0)::BIGINT AS frequent_chars
+    FROM w LEFT JOIN u USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN x USING (doc_id))
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND word_chars - frequent_chars >= 0.3::DOUBLE * word_chars AS kept FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can say; the others have plain Python in tests/llm."""
+    return {"op2_quality_rules": _QUALITY}
