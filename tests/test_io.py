@@ -78,3 +78,19 @@ def test_exact_layers(spark):
     rows = [(1, "http://a.com/1?utm_source=z", body), (2, "http://A.com/1", "y" * 200), (3, "http://a.com/3", body), (4, None, "short"), (5, None, "short"), (6, "http://a.com/3", body)]
     got = {r.id: r.duplicate for r in news.exact_duplicates(spark.createDataFrame(rows, "id long, url string, content string")).collect()}
     assert got == {1: "", 2: "url", 3: "content", 4: "", 5: "", 6: "url"}
+
+
+def test_page_metadata_tables_and_feeds(spark):
+    html = """<head><meta property="og:site_name" content="The &amp; Paper"><meta content="Ann Lee" name="author"><link rel="shortcut icon" href="/f.ico">
+    <script type="application/ld+json">{"datePublished": "2024-02-03T04:05:06Z", "author": {"@type": "Person", "name": "Bob"}}</script></head>
+    <table><tr><th>Day</th><th>Rate</th></tr><tr><td>1</td><td><b>7.5%</b></td></tr><tr></tr></table>"""
+    h = F.col("h")
+    r = spark.createDataFrame([(html,), (None,), ("",)], "h string").select(
+        tx.html_meta(h, "og:site_name").alias("site"), tx.html_author(h).alias("author"), tx.html_published(h).alias("published"), tx.html_icon(h).alias("icon"), tx.html_rows(h).alias("rows")
+    ).collect()
+    assert tuple(r[0]) == ("The & Paper", "Ann Lee", "2024-02-03T04:05:06Z", "/f.ico", [["Day", "Rate"], ["1", "7.5%"]])
+    assert tuple(r[1]) == (None,) * 5 and tuple(r[2]) == (None, None, None, None, [])
+    item = "<item><title><![CDATA[{}]]></title><link>{}</link><pubDate>{}</pubDate><source url='x'>S</source></item>"
+    xml = "<rss><channel>" + item.format("A & B", "https://a/1", "Tue, 02 Jan 2024 10:00:00 GMT") + item.format("old", "https://a/2", "Mon, 01 Jan 2024 10:00:00 GMT") + item.format("no link", "", "") + item.format("undated", "http://a/3", "soon") + "</channel></rss>"
+    got = news.feed_articles(spark.createDataFrame([("co", xml), ("none", None)], "company string, xml string"), F.lit("2024-01-02").cast("timestamp")).collect()
+    assert [(x.company, x.title, x.link, x.source) for x in got] == [("co", "A & B", "https://a/1", "S"), ("co", "undated", "http://a/3", "S")]

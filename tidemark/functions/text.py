@@ -117,6 +117,62 @@ def html_text(html: Column, most: int | None = None) -> Column:
     return F.left(t, F.lit(most)) if most else t
 
 
+def decoded(text: Column) -> Column:
+    """Without CDATA marks; common entities decoded; trimmed."""
+    text = F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    for name, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(c))
+    return F.trim(text)
+
+
+def html_meta(html: Column, *names: str) -> Column:
+    """The content of the first meta tag that has one of the names, tried in order, as its name or property; null for none."""
+    found = []
+    for name in names:
+        key = rf"""(?:name|property)\s*=\s*["']{re.escape(name)}["']"""
+        content = r"""content\s*=\s*["']([^"']*)["']"""
+        found += [F.regexp_extract(html, rf"(?is)<meta\b[^>]*{key}[^>]*{content}", 1), F.regexp_extract(html, rf"(?is)<meta\b[^>]*{content}[^>]*{key}", 1)]
+    return F.coalesce(*(F.when(x != "", decoded(x)) for x in found))
+
+
+def html_published(html: Column) -> Column:
+    """When a page was published, as text: of a meta tag, of JSON-LD, or of a time tag."""
+    first = html_meta(html, "article:published_time", "publishdate", "pubdate", "date", "DC.date.issued")
+    others = (F.regexp_extract(html, r, 1) for r in (r'(?is)"datePublished"\s*:\s*"([^"]*)"', r"""(?is)<time\b[^>]*datetime\s*=\s*["']([^"']*)["']"""))
+    return F.coalesce(first, *(F.when(x != "", x) for x in others))
+
+
+def html_author(html: Column) -> Column:
+    """A page's author, of a meta tag or of JSON-LD."""
+    x = F.regexp_extract(html, r'(?is)"author"\s*:\s*[\[{\s]*[^}\]]*?"name"\s*:\s*"([^"]*)"', 1)
+    return F.coalesce(html_meta(html, "author", "article:author", "byl"), F.when(x != "", x))
+
+
+def html_icon(html: Column) -> Column:
+    """The address of a page's icon, as it is written."""
+    tag = F.regexp_extract(html, r"""(?is)(<link\b[^>]*rel\s*=\s*["'][^"']*icon[^"']*["'][^>]*>)""", 1)
+    x = F.regexp_extract(tag, r"""(?is)href\s*=\s*["']([^"']*)["']""", 1)
+    return F.when(x != "", x)
+
+
+def html_rows(html: Column) -> Column:
+    """The rows of a page's tables, each an array of its cells' text."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    cells = lambda row: F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
+    return F.filter(F.transform(rows, lambda row: F.transform(cells(row), lambda c: html_text(c))), lambda row: F.size(row) > 0)
+
+
+def rss_items(xml: Column) -> Column:
+    """array<struct<title, link, published, source>> of a feed's items that have a title and an http link, in their order."""
+    part = lambda item, tag: decoded(F.regexp_extract(item, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
+    published = lambda item: F.try_to_timestamp(F.regexp_extract(part(item, "pubDate"), r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
+    items = F.transform(
+        F.regexp_extract_all(xml, F.lit(r"(?is)<item\b[^>]*>(.*?)</item>"), F.lit(1)),
+        lambda i: F.struct(part(i, "title").alias("title"), part(i, "link").alias("link"), published(i).alias("published"), part(i, "source").alias("source")),
+    )
+    return F.filter(items, lambda i: (i["title"] != "") & i["link"].rlike("^https?://"))
+
+
 def number(text: Column) -> Column:
     """'1,234.5%' as 1234.5; null if it is no number."""
     return F.regexp_replace(text, "[,% ]", "").try_cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, normal_title, normal_url, similarity
+from ..functions.text import content_hash, normal_title, normal_url, rss_items, similarity
 from .timeseries import keep_latest
 
 
@@ -81,6 +81,13 @@ def search(articles: DataFrame, equal: dict[str, str] | None = None, pattern: di
     return articles.where(keep)
 
 
+def feed_articles(feeds: DataFrame, since: Column, xml: str = "xml") -> DataFrame:
+    """A row per item of the feeds published at or after `since`, with the feeds' other columns; items without a date stay."""
+    rest = [n for n in feeds.columns if n != xml]
+    rows = feeds.select(*rest, F.explode(rss_items(F.col(xml))).alias("__i"))
+    return rows.where(F.col("__i.published").isNull() | (F.col("__i.published") >= since)).select(*rest, "__i.*")
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of both, one a key: the latest by `order`, a new one before a stored one."""
     both = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
