@@ -129,7 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) per row; whole texts, null as empty. An empty text has measures 0."""
+    """(doc_id, score) per row; whole texts, null as empty. An empty text has measures 0.
+
+    Rows that repeat an id or a text are scored each for itself, a null id too; other columns, whatever their names, are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(cols):

@@ -210,7 +210,9 @@ def decide(key_to_p: dict[str, float], threshold: float = 0.9) -> Callable[[bool
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9) -> DataFrame:
     """Per row: doc_id, the number of base spans of each kind, base_sha256, spans (all, as kind:start:end by start and kind), n_added.
 
-    Places are code points, ends exclusive. Null and empty texts have no spans, and the hash of the empty string.
+    Places are code points, ends exclusive. Null and empty texts have no spans, and the hash of the empty string. Spans of
+    one start are in the order of their kinds. Rows that repeat an id or a text have a result each, and each counts in the
+    fit; other columns, whatever their names, are ignored.
     """
     found, model = find_spans(docs, id_col, text_col, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(model)
