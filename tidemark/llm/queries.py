@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, classifier, decontaminate, licenses, mixing, pii, quality, simhash, suffix, warc
+from . import chunks, classifier, decontaminate, divergence, fim, licenses, mixing, pii, quality, simhash, suffix, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,8 +69,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle forms of all documents; the second hash is of the text rebuilt from output and form."""
+    found = fim.fill_in_middle(_read(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of all documents, as the operator gives it."""
+    return divergence.divergence(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_decontamination, op4_suffix_array_dedup, op5_license_scan, op6_quality_classifier, op7_simhash, op8_mixing, op9_chunk_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_decontamination, op4_suffix_array_dedup, op5_license_scan, op6_quality_classifier, op7_simhash, op8_mixing, op9_chunk_dedup, op10_pii, op11_fill_in_middle, op12_source_divergence)}
 
 
 #: Lines and windows are grouped by their text here, where the operator groups by hashes.
@@ -97,6 +109,35 @@ _QUALITY = r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM
     NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND word_chars - frequent_chars >= 0.3::DOUBLE * word_chars AS kept FROM o"""
 
 
+_FIM = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+  u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+  c AS (SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+  p AS (SELECT *, coalesce(array_to_string(u[1 : a], ''), '') AS p, coalesce(array_to_string(u[a + 1 : b], ''), '') AS m, coalesce(array_to_string(u[b + 1 : ], ''), '') AS s FROM c),
+  o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM p),
+  x AS (SELECT *, string_split_regex(output, '<[PSM]>') AS x FROM o)
+  SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form != 'plain' THEN length(m) END AS middle_chars, sha256(output) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN x[2] || x[4] || x[3] ELSE x[3] || x[4] || x[2] END) AS restored_sha256 FROM x"""
+
+#: Every kept term of every group is a row here, zeros included, where the operator tallies pairs of counts.
+_DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+  t AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  k AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+  v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+  m AS (SELECT lang, source, term, coalesce(c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+  a AS (SELECT lang, source, term, c, sum(c) OVER (PARTITION BY lang, source) AS n, sum(c) OVER (PARTITION BY lang, term) AS lc, sum(c) OVER (PARTITION BY lang) AS ln FROM m),
+  p AS (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v) AS p, 1 + (1000000000::HUGEINT * (lc + 5)) // (ln + 5 * v) AS q FROM a JOIN v USING (lang)),
+  s AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source != y.source GROUP BY ALL),
+  e AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source != y.source
+    LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+  w AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE c > 0 AND p > q),
+  r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM e UNION ALL FROM w))
+  SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can say; the others have plain Python in tests/llm."""
-    return {"op2_quality_rules": _QUALITY}
+    return {"op2_quality_rules": _QUALITY, "op11_fill_in_middle": _FIM, "op12_source_divergence": _DIVERGENCE}
