@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, classifier, decontaminate, divergence, fim, licenses, mixing, pii, quality, simhash, suffix, warc
+from . import chunks, classifier, decontaminate, divergence, fim, licenses, mixing, ngram_join, pii, quality, simhash, suffix, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,8 +81,13 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_read(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under the Jaccard join of their five-word shingles."""
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_decontamination, op4_suffix_array_dedup, op5_license_scan, op6_quality_classifier, op7_simhash, op8_mixing, op9_chunk_dedup, op10_pii, op11_fill_in_middle, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_decontamination, op4_suffix_array_dedup, op5_license_scan, op6_quality_classifier, op7_simhash, op8_mixing, op9_chunk_dedup, op10_pii, op11_fill_in_middle, op12_source_divergence, op13_ngram_join)}
 
 
 #: Lines and windows are grouped by their text here, where the operator groups by hashes.
@@ -137,7 +142,20 @@ _DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, ''
   r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM e UNION ALL FROM w))
   SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50"""
 
+#: Sets are compared member by member here, and links followed from each set.
+_NGRAMS = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS g FROM w),
+  d AS (SELECT doc_id, len(g)::BIGINT AS n, CASE WHEN len(g) > 0 THEN md5(array_to_string(g, chr(10))) END AS node, g FROM g),
+  c AS (SELECT node, min(doc_id) AS least, any_value(n) AS n, any_value(g) AS g FROM d WHERE node IS NOT NULL GROUP BY node),
+  m AS (SELECT least, n, unnest(g) AS x FROM c),
+  l AS (SELECT a.least AS u, b.least AS v FROM m a JOIN m b ON a.x = b.x AND a.least != b.least AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+    GROUP BY a.least, a.n, b.least, b.n HAVING 180 * count(*) >= 80 * (a.n + b.n)),
+  r AS (SELECT least AS u, least AS v FROM c UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+  k AS (SELECT u, min(v) AS component_id FROM r GROUP BY u)
+  SELECT d.doc_id, d.n AS n_shingles, coalesce(k.component_id, d.doc_id) AS component_id FROM d LEFT JOIN c USING (node) LEFT JOIN k ON c.least = k.u"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can say; the others have plain Python in tests/llm."""
-    return {"op2_quality_rules": _QUALITY, "op11_fill_in_middle": _FIM, "op12_source_divergence": _DIVERGENCE}
+    return {"op2_quality_rules": _QUALITY, "op11_fill_in_middle": _FIM, "op12_source_divergence": _DIVERGENCE, "op13_ngram_join": _NGRAMS}
