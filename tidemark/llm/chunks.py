@@ -104,7 +104,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         return {"doc_id": cols["doc_id"].take(pick), "th": cols["th"].take(pick), "start": starts, "size": sizes, "a": pa.array(halves[:, 0]), "b": pa.array(halves[:, 1])}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col).cast("binary")).alias("th"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col).cast("binary")).alias("th"))
     return in_arrow(rows, make, "doc_id long, th long, start long, size int, a long, b long")
 
 
@@ -118,9 +118,10 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id, or one that is no number, neither gives nor loses chunks; rows that repeat id and text have the same result and
     don't repeat each other. Other columns, whatever their names, are ignored.
     """
-    found = keep(chunks(docs.where(F.col(id_col).cast("long").isNotNull()), id_col, text_col))
+    found = keep(chunks(docs.where(F.col(id_col).try_cast("long").isNotNull()), id_col, text_col))
     first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
     later = found.join(first, ["a", "b"]).where("doc_id != first_doc or start != first_start")
+    later = later.dropDuplicates(["doc_id", "th", "start"])  # tasks merge repeated rows before they meet
     end = F.col("start") + F.col("size")
     before = Window.partitionBy("doc_id", "th").orderBy("start", "size")
     far = F.max(end).over(before.rowsBetween(Window.unboundedPreceding, -1))
@@ -130,7 +131,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     later = later.withColumn("long", F.max(end).over(one) - F.min("start").over(one)).where(F.col("long") >= run)
     by = later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "size", F.col("first_doc").alias("doc_id")))).alias("repeats"))
     text = F.col(text_col).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     none = F.expr("cast(array() as array<struct<start:bigint,size:int,doc_id:bigint>>)")
     return rows.join(by, ["doc_id", "th"], "left").select("doc_id", "th", "n_bytes", F.coalesce("repeats", none).alias("repeats"))
 
@@ -141,7 +142,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = repeated_chunks(docs, id_col, text_col).where("size(repeats) > 0")
     names, at = docs.columns, docs.columns.index(text_col)
     found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), F.col("repeats").alias("__repeats")).distinct()
-    same = (F.col(id_col).cast("long") == F.col("__id")) & (th == F.col("__h"))
+    same = (F.col(id_col).try_cast("long") == F.col("__id")) & (th == F.col("__h"))
     wide = docs.join(found, same, "left").select(*(docs[n] for n in names), "__repeats")
     schema = ", ".join(f"`c{k}` {t}" for k, (_, t) in enumerate(docs.dtypes))
 

@@ -179,7 +179,7 @@ def search(texts: list[bytes], against: Units) -> list[tuple[int, int, int]]:
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shortest: int = SHORTEST) -> Iterator[Units]:
     """The benchmark's units in blocks of about block_bytes of text, one at a time: the driver holds the block in use alone."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(id_col).try_cast("long").alias("item"), F.col(text_col).cast("binary").alias("text")).where("item is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = math.ceil(total / block_bytes)
     if n > 1:

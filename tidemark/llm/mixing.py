@@ -108,7 +108,7 @@ def shares(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """
     size = n_words(F.col(text_col)) if size is None else size
     th = F.xxhash64(F.col(text_col)) if text_col in docs.columns else F.lit(0).cast("long")
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), th.alias("th"), size.alias("size"))
+    sized = docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), th.alias("th"), size.alias("size"))
     sized = cut(sized.groupBy("id", "source", "th", "size").agg(F.count("*").alias("k")))
     by = cut(targets(sized, weights, share, cap))
     sources, most = by.agg(F.count("*"), F.max("docs")).head()

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classifier import logistic
-from .common import cut, in_arrow
+from .common import cut, in_arrow, pieces
 
 # The kinds in their order, and the base patterns. Digit runs are entered at their start only and never
 # given back, which finds the same matches in linear time.
@@ -24,6 +26,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Wider candidates, which the votes decide on: written-out addresses, eight-group addresses, numbers without a plus sign.
 LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({](?:dot|DOT)[\])}] ?)[A-Za-z0-9-]{1,63}){1,8}")
+AT = re.compile(r"[\[({](?:at|AT)[\])}]")  # what any written-out address holds
 LOOSE_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 
@@ -92,26 +95,19 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, str]]:
     """(start, kind, end, base, key) in order: base spans, and wider candidates that overlap none; key is what votes on it say."""
     base, failed = base_spans(text)
     more = [(s, 2, e) for s, e in failed]
-    if "(at)" in text or "[at]" in text or "{at}" in text or "AT" in text:
+    if AT.search(text):
         more += [(m.start(), 0, m.end()) for m in LOOSE_EMAIL.finditer(text)]
     if ":" in text:
         more += [(m.start(), 1, m.end()) for m in LOOSE_IP.finditer(text)]
     more += [(m.start(), 3, m.end()) for m in LOOSE_PHONE.finditer(text)]
     out = [(s, k, e, True) for s, k, e in base]
-    taken = sorted((s, e) for s, _, e in base)
+    starts, far = [s for s, _, _ in base], [0, *accumulate((e for _, _, e in base), max)]
     for s, k, e in sorted(more):
-        if not _overlaps(taken, s, e):
+        if far[bisect_left(starts, e)] <= s:  # no base span that begins before e ends after s
             out.append((s, k, e, False))
     return [(s, k, e, b, _key(text, s, k, e)) for s, k, e, b in sorted(out)]
 
 
-def _overlaps(spans: list[tuple[int, int]], s: int, e: int) -> bool:
-    from bisect import bisect_left
-
-    at = bisect_left(spans, (e, -1))
-    return any(b > s for _, b in spans[max(0, at - 4) : at])
-
-
 def _key(text: str, s: int, k: int, e: int) -> str:
     """The kind, the labelers' votes and two shapes (length, share of digits), one character each."""
     span, kind = text[s:e], KINDS[k]
@@ -124,7 +120,7 @@ def _key(text: str, s: int, k: int, e: int) -> str:
         votes = [yes(end.isalpha() and len(end) >= 2), yes(".." not in span and not span.startswith(".")), yes(end in ENDINGS)]
     elif kind == "ip":
         parts = span.split(".")
-        votes = [yes(len(parts) == 4 and all(p == str(int(p)) for p in parts) if ":" not in span else "::" not in span), yes(s == 0 or text[s - 1] not in "vV.")]
+        votes = [yes(len(parts) == 4 and all(p == "0" or p[0] != "0" for p in parts) if ":" not in span else "::" not in span), yes(s == 0 or text[s - 1] not in "vV.")]
         votes.append(NO if span.startswith(("0.", "1.0.", "1.1.1", "1.2.3")) else ABSTAIN)
     elif kind == "card":
         groups = re.split("[ -]", span)
@@ -256,11 +252,11 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.9) -> D
         import pyarrow as pa
 
         take = decide(shared.value, threshold)
-        for batch in batches:
-            texts = [None if (t := x.as_py()) is None else rewritten(t, take) for x in batch.column(at)]
-            arrays = list(batch.columns)
-            arrays[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+        for piece in (p for batch in batches for p in pieces(batch)):
+            texts = [None if (t := x.as_py()) is None else rewritten(t, take) for x in piece.column(at)]
+            arrays = list(piece.columns)
+            arrays[at] = pa.array(texts, piece.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(arrays, schema=piece.schema)
 
     return docs.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(task, schema).toDF(*names)
 

@@ -64,7 +64,7 @@ def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
         return {"doc_id": cols["doc_id"], "th": cols["th"], "node": pa.array(node), "n": [len(s) for s in sets], "sketch": [sketch(s).tolist() for s in sets], "keys": [band_keys(s).tolist() for s in sets]}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
     return in_arrow(rows, make, "doc_id long, th long, node long, n int, sketch array<long>, keys array<long>")
 
 
@@ -140,6 +140,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     classes = cut(classes.join(least, "root").select("node", "root", "component_id"))
     found = rows.select("doc_id", "th", "node").join(classes, "node").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = found.groupBy("root").agg(F.min(F.struct("th", F.col("doc_id").alias("id"))).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
+    same = F.col(id_col).try_cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
     kept = docs.join(chosen, same).dropDuplicates(["__id", "__th"])
     return kept.select(*(F.col(f"`{n}`") for n in docs.columns))

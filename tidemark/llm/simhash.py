@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         prints = np.array([fingerprint(t) for t in cols["text"].to_pylist()], np.uint64)
         return {"doc_id": cols["doc_id"], "th": cols["th"], "fp": pa.array(prints.view(np.int64))}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
     return in_arrow(rows, make, "doc_id long, th long, fp long")
 
 
@@ -115,8 +115,8 @@ def links(prints: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) ->
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
     """(doc_id, fp, component_id) per row: component_id is the least id reachable over links between fingerprints.
 
-    Null and empty texts have fingerprint 0 and link like others. Repeated rows give repeated result rows. A null id is
-    never the least one: a component of null ids alone has a null component_id. Other columns are ignored.
+    Null and empty texts have fingerprint 0 and link like others. Repeated rows give repeated result rows. A null id, or one
+    that is no number, is null and never the least one: a component of null ids alone has a null component_id. Other columns are ignored.
     """
     return _grouped(docs, id_col, text_col, radius, pairwise).select("doc_id", "fp", "component_id")
 
@@ -139,7 +139,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = _grouped(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = found.groupBy("root").agg(F.min(F.struct("th", F.col("doc_id").alias("id"))).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
+    same = F.col(id_col).try_cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
     kept = docs.join(keep, same).dropDuplicates(["__id", "__th"])
     return kept.select(*(F.col(f"`{n}`") for n in docs.columns))
 

@@ -457,7 +457,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeat it. Those with a larger id than the least lose all their bytes, and don't go further.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.md5(text).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     is_long = F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH)
     long = rows.where(is_long)
     ids = cut(long.groupBy("th", "doc_id").agg(F.count("*").alias("k"), F.first("n_bytes").alias("n_bytes")))

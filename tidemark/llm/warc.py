@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
+    rows = pages.select(F.col(id_col).try_cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
     last = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("sha", "last")
     to = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     rows = rows.join(last, "sha", "left").select("page_id", "url", F.unhex("sha").alias("digest"), F.octet_length("payload").cast("long").alias("size"), to.alias("refers_to"), F.when(to.isNull(), F.col("payload")).alias("payload"))
