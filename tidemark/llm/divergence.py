@@ -21,7 +21,8 @@ ENTRIES = 500_000
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", entries: int = ENTRIES) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term of a group; a row with an empty term for every group.
 
-    Tasks count before the shuffle, so a group or a term that most rows hold costs a row a task.
+    Tasks count before the shuffle, so a group or a term that most rows hold costs a row a task. Rows are dealt by language
+    and term, which also serves those who group by these two.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,11 +30,9 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
 
         def rows() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, in_docs) in counts.items():
-                terms = [b"", *n]
-                for at in range(0, len(terms), 1 << 16):
-                    part = terms[at : at + (1 << 16)]
-                    arrays = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()), pa.array([n[t] for t in part], pa.int64()), pa.array([in_docs[t] for t in part], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "n", "docs"])
+                n[b""] = in_docs[b""] = 0
+                batch = [pa.array([lang] * len(n)), pa.array([source] * len(n)), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array(list(map(in_docs.__getitem__, n)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(batch, ["lang", "source", "term", "n", "docs"])
             counts.clear()
 
         for batch in batches:
@@ -49,8 +48,8 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
 
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(filled(lang_col).alias("lang"), filled(source_col).alias("source"), filled(text_col).cast("binary").alias("text"))
-    found = rows.mapInArrow(task, "lang string, source string, term binary, n long, docs long")
-    return found.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    found = rows.mapInArrow(task, "lang string, source string, term binary, n long, docs long").withColumn("term", F.col("term").cast("string"))
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -68,8 +67,9 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     without kept terms has shares from zero counts, and a language without kept terms pairs of value 0 and no term rows. An
     empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    by_term = term_counts(docs, lang_col, source_col, text_col).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("cells"))
-    kept = keep(by_term.where((F.col("docs") >= least_docs) | (F.col("term") == "")))
+    counts = term_counts(docs, lang_col, source_col, text_col).withColumn("all", F.sum("docs").over(Window.partitionBy("lang", "term")))
+    counts = counts.where((F.col("all") >= least_docs) | (F.col("term") == ""))
+    kept = keep(counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("cells")))
     terms = kept.where("term != ''")
     cells = terms.select("lang", "term", "total", F.explode("cells").alias("x")).select("lang", "x.source", "term", "total", F.col("x.n").alias("c"))
     of_lang = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
