@@ -109,6 +109,6 @@ def test_common_ngrams_come_last(spark):
     rows = [(k, "the same five words everywhere " + f"x{k} y{k} z{k} q{k} r{k}") for k in range(50)]
     common = ngram_join.common_ngrams(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), most=4)
     words = ngram_join.Words()
-    assert common[-1] == ngram_join.ngrams(b"the same five words everywhere", words)[0]
-    keys = ngram_join.Order(common).keys(ngram_join.ngrams(rows[3][1].encode(), words))
+    assert common[-1] == ngram_join.ngrams([b"the same five words everywhere"], words)[0][0]
+    keys = ngram_join.Order(common).keys(ngram_join.ngrams([rows[3][1].encode()], words)[0])
     assert keys[-1] == ngram_join.LAST | np.uint64(len(common) - 1)

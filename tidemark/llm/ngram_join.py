@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_arrow, keep, pieces
@@ -20,37 +21,55 @@ SHINGLE, PERCENT, SEED = 5, 80, 42
 COMMON = 1 << 16
 #: Sets and n-grams of a trie, about.
 SETS, GRAMS = 256, 1 << 21
+#: Up to so many texts to compare, their ids are broadcast to find them; more are found by a shuffle of the texts.
+BROADCAST = 500_000
 LAST = np.uint64(1 << 63)
 
 
 class Words(dict):
     """64-bit hashes of words, remembered until there are a million of them."""
 
-    def __missing__(self, word: bytes) -> int:
+    def learn(self, words: set[bytes]) -> None:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) > 1_000_000:
             self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
-        return found
-
-
-def ngrams(text: bytes | None, words: Words, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted different 63-bit hashes of the word n-grams of a UTF-8 text; a shorter text is one n-gram, none without words."""
-    found = (text or b"").lower().split()  # on bytes: lowers A-Z only, splits at the six ASCII spaces
-    if not found:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    size = min(shingle, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
+        self.update((w, xxhash.xxh64_intdigest(w, SEED)) for w in words.difference(self))
+
+
+def windows(texts: list[bytes | None], words: Words, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """63-bit hashes of the word n-grams of each UTF-8 text, repeats included; a shorter text is one n-gram, none without words."""
+    found = [(t or b"").lower().split() for t in texts]  # on bytes: lowers A-Z only, splits at the six ASCII spaces
+    flat = list(chain.from_iterable(found))
+    words.learn(set(flat))
+    w = np.fromiter(map(words.__getitem__, flat), np.uint64, len(flat))
+    full, out, at = _mixed(w, shingle), [], 0
+    for n in map(len, found):
+        out.append(full[at : at + n - shingle + 1] if n >= shingle else _mixed(w[at : at + n], n))
+        at += n
+    return out
+
+
+def _mixed(w: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` neighbours in w."""
+    n = max(0, len(w) - size + 1) if size else 0
+    h = np.full(n, size, np.uint64)
     for k in range(size):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique((h ^ (h >> np.uint64(32))) >> np.uint64(1))
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += w[k : n + k]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h >> np.uint64(1)
+
+
+def ngrams(texts: list[bytes | None], words: Words, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted different n-grams of each text."""
+    return [np.unique(g) for g in windows(texts, words, shingle)]
 
 
 def common_ngrams(docs: DataFrame, text_col: str = "text", most: int = COMMON, shingle: int = SHINGLE) -> np.ndarray:
-    """Up to `most` n-grams that most documents hold, the commonest last, by counts of all documents.
+    """Up to `most` n-grams that occur most often, the commonest last, by counts over all documents.
 
     A task counts an n-gram of a batch only if it meets it twice there; that may put a rare one in another's place.
     """
@@ -59,8 +78,7 @@ def common_ngrams(docs: DataFrame, text_col: str = "text", most: int = COMMON, s
         words = Words()
         for batch in batches:
             for piece in pieces(batch):
-                sets = [ngrams(t, words, shingle) for t in set(piece.column(0).to_pylist()) if t]
-                grams, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+                grams, n = np.unique(np.concatenate(windows(piece.column(0).to_pylist(), words, shingle)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(grams[n > 1].view(np.int64)), pa.array(n[n > 1])], ["gram", "n"])
 
     counts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -137,8 +155,7 @@ def sets(docs: DataFrame, order: Broadcast, id_col: str = "doc_id", text_col: st
 
     def make(cols):
         out = {"node": [], "n": [], "sketch": [], "prefix": []}
-        for t in cols["text"].to_pylist():
-            grams = ngrams(t, words, shingle)
+        for grams in ngrams(cols["text"].to_pylist(), words, shingle):
             keys = order.value.keys(grams)
             out["node"].append(xxhash.xxh64_intdigest(keys.tobytes(), SEED) - (1 << 63) if len(keys) else None)
             out["n"].append(len(keys))
@@ -165,10 +182,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadca
     words = Words()
 
     def hashed(cols):
-        return {"node": cols["node"], "set": [order.value.keys(ngrams(t, words, shingle)).tobytes() for t in cols["text"].to_pylist()]}
+        return {"node": cols["node"], "set": [order.value.keys(g).tobytes() for g in ngrams(cols["text"].to_pylist(), words, shingle)]}
 
     pairs = keep(pairs)
     need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "rep.*"), "node").select("node", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    need = keep(need)
+    need = F.broadcast(need) if need.limit(BROADCAST + 1).count() <= BROADCAST else need
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
     texts = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text")).join(need, same).dropDuplicates(["node"])
     found = keep(in_arrow(texts.select("node", "text"), hashed, "node long, set binary"))
@@ -200,32 +219,44 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadca
     return keep(rows.mapInArrow(task, "u long, v long"))
 
 
-def links(nodes: DataFrame, docs: DataFrame, order: Broadcast, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+def met(rows: DataFrame) -> DataFrame:
+    """(gram, node, pivot, other): the sets of each n-gram that prefixes of different sets share, with the least and greatest of them.
+
+    An n-gram that is not among the common ones has fewer rows than the least of those, of which there are many, so it comes
+    to one task; the common ones are combined before the shuffle and joined with their two pivots.
+    """
+    keyed = rows.select("node", F.explode("prefix").alias("gram"))
+    one = Window.partitionBy("gram")
+    rare = keyed.where("gram >= 0").withColumns({"pivot": F.min("node").over(one), "other": F.max("node").over(one)}).where("pivot != other")
+    common = keyed.where("gram < 0").distinct()
+    ends = common.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other")
+    return keep(rare.select("gram", "node", "pivot", "other").distinct().unionByName(common.join(ends, "gram").select("gram", "node", "pivot", "other")))
+
+
+def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadcast, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Edges (u, v) between sets that connect exactly what pairs that are similar enough connect.
 
     Similar sets share an n-gram of both prefixes. The sets of an n-gram are compared with two pivots of it; what is then
     outside the first pivot's component is compared with those of other components whose size and sketch allow it.
     """
     rest = (nodes, docs, order, id_col, text_col, shingle, percent)
-    keyed = nodes.select("node", F.explode("prefix").alias("gram"))
-    shared = keep(keyed.join(keyed.groupBy("gram").count().where("count > 1").select("gram"), "gram"))
-    pivots = keep(shared.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("other")))
+    shared = met(rows)
     known = nodes.select("node", "n", "sketch")
-    stars = shared.join(pivots, "gram").select(F.explode(F.array("pivot", "other")).alias("u"), F.col("node").alias("v")).where("u != v")
+    stars = shared.select(F.explode(F.array("pivot", "other")).alias("u"), F.col("node").alias("v")).where("u != v")
     stars = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     stars = stars.join(known.alias("a"), F.col("u") == F.col("a.node")).join(known.alias("b"), (F.col("v") == F.col("b.node")) & _alike("a", "b", percent))
     edges = verified(stars.select("u", "v", "b.n"), *rest)
     roots = keep(components(edges))
-    rooted = shared.join(roots, "node", "left").select("gram", "node", F.coalesce("root", "node").alias("root"))
-    to = pivots.join(roots, F.col("pivot") == F.col("node"), "left").select("gram", "pivot", "other", F.coalesce("root", "pivot").alias("to"))
-    rooted = rooted.join(to, "gram")
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    to = roots.select(F.col("node").alias("pivot"), F.col("root").alias("to"))
+    rooted = keep(rooted.join(to, "pivot", "left").withColumn("to", F.coalesce("to", "pivot")))
     strays = rooted.where("root != to")
     sizes = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).alias("class")
     members = keep(rooted.join(strays.select("gram").distinct(), "gram").where("node != pivot and node != other").join(known, "node").select("gram", sizes, "node", "n", "sketch", "root", "to"))
     strays = members.where("root != to").withColumn("class", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))))
     first = (F.col("b.root") == F.col("b.to")) | (F.col("a.node") < F.col("b.node"))  # else the pair comes from the other side, too
-    met = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & first & _alike("a", "b", percent)
-    more = strays.alias("a").join(members.alias("b"), met)
+    near = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & first & _alike("a", "b", percent)
+    more = strays.alias("a").join(members.alias("b"), near)
     more = keep(more.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), "b.n").distinct())
     return edges if more.isEmpty() else edges.unionByName(verified(more, *rest))
 
@@ -240,14 +271,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     63 bits of hash, sets by 64.
     """
     order = docs.sparkSession.sparkContext.broadcast(Order(common_ngrams(docs, text_col, common, shingle)))
-    rows = keep(sets(docs, order, id_col, text_col, shingle, percent))
-    reps = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"))
-    rep = (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("th") == F.col("rep.th"))
-    nodes = rows.join(reps.withColumnRenamed("node", "__node"), rep).select("node", "rep", "least", "n", "sketch", "prefix").dropDuplicates(["node"])
-    nodes = keep(nodes)
-    roots = components(links(nodes, docs, order, id_col, text_col, shingle, percent))
+    found = keep(sets(docs, order, id_col, text_col, shingle, percent))
+    rows = found.where("node is not null")
+    nodes = keep(rows.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    roots = components(links(rows, nodes, docs, order, id_col, text_col, shingle, percent))
     classes = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = keep(classes.join(least, "root").select("node", "component_id"))
-    found = rows.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(classes, "node", "left")
+    found = found.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(classes, "node", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
