@@ -112,3 +112,15 @@ def test_common_ngrams_come_last(spark):
     assert common[-1] == ngram_join.ngrams([b"the same five words everywhere"], words)[0][0]
     keys = ngram_join.Order(common).keys(ngram_join.ngrams([rows[3][1].encode()], words)[0])
     assert keys[-1] == ngram_join.LAST | np.uint64(len(common) - 1)
+
+
+def test_sketches_and_first_keys():
+    rng = np.random.default_rng(4)
+    order = ngram_join.Order(rng.choice(1 << 40, 500, replace=False).astype(np.uint64))
+    for size in (1, 5, 400, 3000):
+        base = np.unique(np.concatenate((rng.integers(0, 1 << 62, size).astype(np.uint64), rng.choice(order.common, min(size, 300)))))
+        for most in (1, 7, size):
+            assert order.first(base, most).tolist() == order.keys(base)[:most].tolist()
+        for share in (0.1, 0.5, 0.99):
+            other = np.unique(np.concatenate((base[rng.random(len(base)) < share], rng.integers(0, 1 << 62, 3).astype(np.uint64))))
+            assert ngram_join.apart(ngram_join.wide_sketch(base), ngram_join.wide_sketch(other)) <= len(np.setxor1d(base, other))

@@ -100,6 +100,14 @@ class Order:
             grams = np.sort(np.where(self.common[at] == grams, LAST | self.rank[at].astype(np.uint64), grams))
         return grams
 
+    def first(self, grams: np.ndarray, most: int) -> np.ndarray:
+        """The first `most` of a set's keys."""
+        if not len(self.common):
+            return grams[:most]
+        some = grams[: 2 * most]
+        uncommon = some[self.common[np.minimum(np.searchsorted(self.common, some), len(self.common) - 1)] != some]
+        return uncommon[:most] if len(uncommon) >= most else self.keys(grams)[:most]
+
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     """Of a set of n in order, any set that is similar enough shares one of so many first members: it shares percent % of n at least."""
@@ -147,24 +155,38 @@ def similar(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -
     return out
 
 
+def wide_sketch(grams: np.ndarray) -> bytes:
+    """As `sketch`, with a power of two of bits, twice the set's size at least; of two sizes the larger folds into the smaller."""
+    bits = max(64 * SKETCH, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ: never more than the n-grams that one of the sets has alone."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def sets(docs: DataFrame, order: Broadcast, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, th, node, n, sketch, prefix): th hashes the text, node its set of n members; all but doc_id and th are empty without words."""
+    """(doc_id, th, node, n, sketch, wide, prefix): th hashes the text, node its set of n members; node is null without words."""
     import xxhash
 
     words = Words()
 
     def make(cols):
-        out = {"node": [], "n": [], "sketch": [], "prefix": []}
+        out = {"node": [], "n": [], "sketch": [], "wide": [], "prefix": []}
         for grams in ngrams(cols["text"].to_pylist(), words, shingle):
-            keys = order.value.keys(grams)
-            out["node"].append(xxhash.xxh64_intdigest(keys.tobytes(), SEED) - (1 << 63) if len(keys) else None)
-            out["n"].append(len(keys))
+            n = len(grams)
+            out["node"].append(xxhash.xxh64_intdigest(grams.tobytes(), SEED) - (1 << 63) if n else None)
+            out["n"].append(n)
             out["sketch"].append(sketch(grams))
-            out["prefix"].append(keys[: prefix_length(len(keys), percent) if len(keys) else 0].view(np.int64))
+            out["wide"].append(wide_sketch(grams))
+            out["prefix"].append(order.value.first(grams, prefix_length(n, percent) if n else 0).view(np.int64))
         return {"doc_id": cols["doc_id"], "th": cols["th"], **out}
 
     rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    return in_arrow(rows, make, "doc_id long, th long, node long, n int, sketch array<long>, prefix array<long>")
+    return in_arrow(rows, make, "doc_id long, th long, node long, n int, sketch array<long>, wide binary, prefix array<long>")
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -174,45 +196,53 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (100 * low >= percent * high) & ((100 + percent) * apart <= (100 - percent) * (low + high))
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(u, v, n) of the pairs (u, v) of which the wide sketches allow the similarity; n is the size of v."""
+
+    def close(cols):
+        both = zip(*(cols[c].to_pylist() for c in ("a", "b", "m", "n")), strict=True)
+        keep_ = pa.array([(100 + percent) * apart(a, b) <= (100 - percent) * (m + n) for a, b, m, n in both], pa.bool_())
+        return {c: cols[c].filter(keep_) for c in ("u", "v", "n")}
+
+    side = lambda c, wide, n: nodes.select(F.col("node").alias(c), F.col("wide").alias(wide), F.col("n").alias(n))
+    return in_arrow(pairs.select("u", "v").join(side("u", "a", "m"), "u").join(side("v", "b", "n"), "v").select("u", "v", "n", "a", "b", "m"), close, "u long, v long, n int")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadcast, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v, n), n the size of v, that are similar enough.
 
     The partners of one set are dealt over tries of bounded size, each of which comes to a task with that set as its query.
+    Texts travel, which are smaller than their sets; the ids that say where a text goes are broadcast if they are few.
     """
-    words = Words()
-
-    def hashed(cols):
-        return {"node": cols["node"], "set": [order.value.keys(g).tobytes() for g in ngrams(cols["text"].to_pylist(), words, shingle)]}
-
     pairs = keep(pairs)
-    need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "rep.*"), "node").select("node", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    need = keep(need)
-    need = F.broadcast(need) if need.limit(BROADCAST + 1).count() <= BROADCAST else need
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
-    texts = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text")).join(need, same).dropDuplicates(["node"])
-    found = keep(in_arrow(texts.select("node", "text"), hashed, "node long, set binary"))
     parts = pairs.groupBy("u").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / GRAMS)).alias("parts"))
     dealt = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v")
     asked = parts.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"))
-    rows = dealt.unionByName(asked).withColumn("node", F.coalesce("v", "u")).join(found, "node").select("u", "part", "v", "set")
+    where = nodes.select("node", F.col("rep.doc_id").alias("__id"), F.col("rep.th").alias("__th"))
+    dealt = keep(dealt.unionByName(asked).withColumn("node", F.coalesce("v", "u")).join(where, "node").drop("node"))
+    few = F.broadcast(dealt) if dealt.limit(BROADCAST + 1).count() <= BROADCAST else dealt
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    texts = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    rows = texts.join(few, same).select("u", "part", "v", "text").dropDuplicates(["u", "part", "v"])
     rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, query, names, members = None, None, [], []
+        words, key, query, names, members = Words(), None, None, [], []
 
         def close() -> pa.RecordBatch:
             hits = [names[k] for k in similar(query, members, percent)]
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(hits), pa.int64()), pa.array(hits, pa.int64())], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(hits), pa.int64()), pa.array(hits, pa.int64())], ["u", "v"])
 
-        for batch in batches:
-            for u, part, v, one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for piece in (p for batch in batches for p in pieces(batch)):
+            found = map(order.value.keys, ngrams(piece.column(3).to_pylist(), words, shingle))
+            for u, v, keys in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), found, strict=True):
                 if v is None:
                     if members:
                         yield close()
-                    key, query, names, members = (u, part), np.frombuffer(one, np.uint64), [], []
+                    key, query, names, members = u, keys, [], []
                 else:
                     names.append(v)
-                    members.append(np.frombuffer(one, np.uint64))
+                    members.append(keys)
         if members:
             yield close()
 
@@ -236,8 +266,9 @@ def met(rows: DataFrame) -> DataFrame:
 def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadcast, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Edges (u, v) between sets that connect exactly what pairs that are similar enough connect.
 
-    Similar sets share an n-gram of both prefixes. The sets of an n-gram are compared with two pivots of it; what is then
-    outside the first pivot's component is compared with those of other components whose size and sketch allow it.
+    Similar sets share an n-gram of both prefixes. The sets of an n-gram are compared with two pivots of it: first each with
+    one pivot alone, then with those that are still in another component. What is then outside the first pivot's component is
+    compared with those of other components whose size and sketches allow it.
     """
     rest = (nodes, docs, order, id_col, text_col, shingle, percent)
     shared = met(rows)
@@ -245,7 +276,12 @@ def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadcast,
     stars = shared.select(F.explode(F.array("pivot", "other")).alias("u"), F.col("node").alias("v")).where("u != v")
     stars = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     stars = stars.join(known.alias("a"), F.col("u") == F.col("a.node")).join(known.alias("b"), (F.col("v") == F.col("b.node")) & _alike("a", "b", percent))
-    edges = verified(stars.select("u", "v", "b.n"), *rest)
+    stars = keep(possible(stars, nodes, percent))
+    edges = verified(stars.groupBy("v").agg(F.min("u").alias("u"), F.first("n").alias("n")).select("u", "v", "n"), *rest)
+    roots = keep(components(edges))
+    of = lambda c, to: roots.select(F.col("node").alias(c), F.col("root").alias(to))
+    left = stars.join(of("u", "x"), "u", "left").join(of("v", "y"), "v", "left").where(F.coalesce("x", "u") != F.coalesce("y", "v")).select("u", "v", "n")
+    edges = edges.unionByName(verified(left, *rest))
     roots = keep(components(edges))
     rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     to = roots.select(F.col("node").alias("pivot"), F.col("root").alias("to"))
@@ -257,7 +293,7 @@ def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadcast,
     first = (F.col("b.root") == F.col("b.to")) | (F.col("a.node") < F.col("b.node"))  # else the pair comes from the other side, too
     near = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & first & _alike("a", "b", percent)
     more = strays.alias("a").join(members.alias("b"), near)
-    more = keep(more.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), "b.n").distinct())
+    more = keep(possible(more.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), nodes, percent))
     return edges if more.isEmpty() else edges.unionByName(verified(more, *rest))
 
 
@@ -273,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = docs.sparkSession.sparkContext.broadcast(Order(common_ngrams(docs, text_col, common, shingle)))
     found = keep(sets(docs, order, id_col, text_col, shingle, percent))
     rows = found.where("node is not null")
-    nodes = keep(rows.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    nodes = keep(rows.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
     roots = components(links(rows, nodes, docs, order, id_col, text_col, shingle, percent))
     classes = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
