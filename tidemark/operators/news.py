@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,32 +29,77 @@ def exact_duplicates(articles: DataFrame, seen: DataFrame | None = None) -> Data
     return a.withColumn("duplicate", F.when(F.col("__url"), "url").when(same, "content").otherwise("")).drop("__url", "__first")
 
 
-def fuzzy_clusters(articles: DataFrame, least: float = 0.65, most: int = 200) -> DataFrame:
+class Titles:
+    """The registered titles of a block in their order, at most `most`, each for ttl_ms from when it was added (None: for good)."""
+
+    def __init__(self, least: float, most: int, ttl_ms: int | None = None):
+        self.least, self.most, self.ttl_ms = least, most, ttl_ms
+        self.titles: list[str] = []
+        self.clusters: list[int] = []
+        self.added: list[int] = []
+        self.counts = np.zeros((most, 64), np.uint16)
+
+    def load(self, titles: list[str], clusters: list[int], added: list[int]) -> None:
+        self.titles, self.clusters, self.added = list(titles), list(clusters), list(added)
+        for k, t in enumerate(self.titles):
+            self.counts[k] = self._count(t)
+
+    def dump(self) -> tuple[list[str], list[int], list[int]]:
+        return self.titles, self.clusters, self.added
+
+    def last(self) -> int:
+        return max(self.added)
+
+    def expire(self, now: int) -> None:
+        if self.ttl_ms is not None and any(at + self.ttl_ms <= now for at in self.added):
+            live = [k for k, at in enumerate(self.added) if at + self.ttl_ms > now]
+            self.counts[: len(live)] = self.counts[live]
+            self.titles, self.clusters, self.added = ([x[k] for k in live] for x in (self.titles, self.clusters, self.added))
+
+    def place(self, number: int, title: str | None, now: int = 0) -> int:
+        """The cluster of an article's normalised title: that of the first similar one, else its own number.
+
+        Titles that share too few characters, counted in 64 classes, can't be similar and are not compared.
+        """
+        if not title or len(title) < 10:
+            return number
+        self.expire(now)
+        count, n = self._count(title), len(self.titles)
+        length = np.fromiter(map(len, self.titles), np.int64, n) + len(title)
+        shared = np.minimum(self.counts[:n], count).sum(axis=1, dtype=np.int64)
+        for k in np.flatnonzero(2 * shared >= self.least * length - 1e-9):
+            if similarity(title, self.titles[k]) >= self.least:
+                return self.clusters[k]
+        if n < self.most:
+            self.counts[n] = count
+            self.titles.append(title)
+            self.clusters.append(number)
+            self.added.append(now)
+        return number
+
+    @staticmethod
+    def _count(title: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(title.encode("utf-32-le"), np.uint32) % 64, minlength=64)
+
+
+def fuzzy_clusters(articles: DataFrame, least: float = 0.65, most: int = 200, ttl_ms: int | None = None) -> DataFrame:
     """(id, cluster): articles (id, company, day, title) join the earliest registered title of their company and day with similarity `least`.
 
-    In order of id within a block; only articles that match none register, and `most` registered titles are looked at, as
-    the blocks' index is bounded by definition. Titles under 10 characters stand alone. One block is one company's day.
+    In order of id within a block, or of `seen` (a time) and id where titles expire after ttl_ms; only articles that match
+    none register, and `most` titles are kept, as the blocks' index is bounded by definition. Titles under 10 characters
+    stand alone. One block is one company's day.
     """
 
     def block(pdf):
         import pandas as pd
 
-        known: list[tuple[str, int]] = []
-        out = []
-        for i, t in zip(pdf["id"], pdf["t"], strict=True):
-            hit = None
-            if t and len(t) >= 10:
-                for other, c in known[:most]:
-                    if 2 * min(len(t), len(other)) >= least * (len(t) + len(other)) and similarity(t, other) >= least:
-                        hit = c
-                        break
-                else:
-                    known.append((t, i))
-            out.append(i if hit is None else hit)
-        return pd.DataFrame({"id": pdf["id"], "cluster": out})
-
-    rows = articles.select("id", "company", "day", normal_title(F.col("title")).alias("t"))
-    return rows.groupBy("company", "day").applyInPandas(lambda pdf: block(pdf.sort_values("id")), "id long, cluster long")
+        known = Titles(least, most, ttl_ms)
+        clusters = [known.place(int(i), t, int(at)) for i, t, at in zip(pdf["id"], pdf["t"], pdf["at"], strict=True)]
+        return pd.DataFrame({"id": pdf["id"], "cluster": clusters})
+
+    at = F.lit(0).cast("long") if ttl_ms is None else F.unix_millis("seen")
+    rows = articles.select("id", "company", "day", normal_title(F.col("title")).alias("t"), at.alias("at"))
+    return rows.groupBy("company", "day").applyInPandas(lambda pdf: block(pdf.sort_values(["at", "id"])), "id long, cluster long")
 
 
 def stories(articles: DataFrame) -> DataFrame:

@@ -35,7 +35,11 @@ def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as news: the source is the company, days come from the id, the title is the first line."""
-    d = table(spark, sf_dir, "documents")
+    return as_articles(table(spark, sf_dir, "documents"))
+
+
+def as_articles(d: DataFrame) -> DataFrame:
+    """Documents, of a table or a stream, as news."""
     k = F.col("doc_id")
     label = F.element_at(F.array(F.lit("positive"), F.lit("negative"), F.lit("neutral")), (k % 3 + 1).cast("int"))
     return d.select(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import models
 from ..sources.tables import table
-from ..streaming import streams
+from ..streaming import stateful, streams
 from .market_queries import _TX, _WIN, as_transactions
+from .news_queries import as_articles
 from .registry import query, rounded
 
 
@@ -47,6 +48,30 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(streams.sessions(event_stream(spark, sf_dir), "ts", "user_id", "6 hours"))
 
 
+@query()
+def stream_title_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories by similar titles of a company's day on a stream, titles expiring after a day."""
+    docs = streams.files(spark, f"{sf_dir}/document[s].parquet", table(spark, sf_dir, "documents").schema)
+    return streams.drain(stateful.title_clusters(as_articles(docs).withColumn("seen", F.col("published")))).select("id", "cluster")
+
+
+@query(
+    """SELECT user_id, ts, n, round(mean, 6) AS mean, round(std, 6) AS std, round(low, 6) AS low, round(high, 6) AS high
+    FROM (SELECT user_id, ts::TIMESTAMP AS ts, count(value) OVER w AS n, avg(value) OVER w AS mean, stddev(value) OVER w AS std, min(value) OVER w AS low, max(value) OVER w AS high FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW)) WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 DAY"""
+)
+def stream_interval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the three days before each event, by user, once the watermark has reached it."""
+    return rounded(streams.drain(stateful.interval_windows(event_stream(spark, sf_dir), "user_id", "ts", "value", 3 * stateful.DAY_MS)))
+
+
+@query("SELECT user_id, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR DESC) = 1")
+def stream_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user as the sums of a log of changes give it."""
+    log = streams.drain(stateful.changes(event_stream(spark, sf_dir).select("user_id", "ts", "event_id", "value"), ["user_id"], "ts"))
+    return rounded(stateful.table_at(log).select("user_id", "event_id", "value"))
+
+
 def yield_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily open, high, low and close per maturity from the events."""
     at = F.struct("ts", "event_id")
