@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cashflow, market, timeseries as ts
+from ..operators import bloom, cashflow, market, timeseries as ts
 from ..operators.ranking import page, top_per_key
 from ..sources.tables import BARS_SQL, daily_bars, table
 from .registry import query, rounded
@@ -228,6 +228,20 @@ def seen_and_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, "c_custkey", "left_semi").join(o.where("o_totalprice > 400000"), "c_custkey", "left_anti").select(F.col("c_custkey").alias("customer"), F.col("c_name").alias("name"))
 
 
+@query(
+    """WITH a AS (SELECT c_custkey AS id, md5('https://shop.example.com/c/' || (c_custkey // 2)) AS url_hash FROM customer), o AS (SELECT md5('https://shop.example.com/c/' || (o_custkey // 3)) AS url_hash, CAST(o_orderdate AS DATE) AS seen FROM orders),
+    n AS (SELECT max(seen) AS now FROM o), c AS (SELECT DISTINCT url_hash FROM o, n WHERE seen >= now - INTERVAL 30 DAY), r AS (SELECT DISTINCT url_hash FROM o)
+    SELECT id, url_hash, CASE WHEN c.url_hash IS NOT NULL THEN 'cache' WHEN r.url_hash IS NOT NULL THEN 'registry' WHEN id > min(id) OVER (PARTITION BY a.url_hash) THEN 'batch' ELSE 'new' END AS layer FROM a LEFT JOIN c USING (url_hash) LEFT JOIN r USING (url_hash)"""
+)
+def url_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New addresses by a Bloom filter, a cache of 30 days and a registry: pages of customers against those of orders."""
+    address = lambda k: F.md5(F.concat(F.lit("https://shop.example.com/c/"), F.expr(k).cast("string")))
+    seen = table(spark, sf_dir, "orders").select(address("o_custkey div 3").alias("url_hash"), F.to_date("o_orderdate").alias("seen_at"))
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), address("c_custkey div 2").alias("url_hash"))
+    now = F.lit(seen.agg(F.max("seen_at")).head()[0])
+    return bloom.url_layers(new, bloom.bloom_filter(seen, "url_hash"), seen, seen, now).drop("maybe")
+
+
 @query(
     """SELECT n_name AS nation, c_mktsegment AS segment, grouping_id(n_name, c_mktsegment)::BIGINT AS level, count(*) AS customers, round(sum(c_acctbal), 2) AS balance, count(DISTINCT r_name) AS regions FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (n_name, c_mktsegment)"""
 )
