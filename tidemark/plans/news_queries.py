@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..functions import pages as pg, text as tx
 from ..operators import news, vectors
 from ..operators.ranking import top_per_key
 from ..sources.tables import table
@@ -114,6 +114,21 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.html_title(h).alias("title"), tx.html_text(h).alias("text"))
 
 
+_NODES = lambda x: rf"array_to_string([n FOR n IN [regexp_replace(m, '^\s+|\s+$', '', 'g') FOR m IN regexp_split_to_array({x}, '<[^>]*>')] IF n <> ''], ' ')"
+
+
+@query(
+    rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), 'www\.', '', 'g') AS site, regexp_extract(url, '^[^:]*://[^/?#]*') || '/favicon.ico' AS icon, {_NODES("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS article,
+      {_NODES("regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>', '', 'g')")} AS body FROM pages),
+    d AS (SELECT page_id, site, icon, replace(replace(article, '&quot;', '"'), '&amp;', '&') AS article, replace(replace(body, '&quot;', '"'), '&amp;', '&') AS body FROM a),
+    s AS (SELECT page_id, site, icon, CASE WHEN length(article) > 100 THEN 'article' ELSE 'body' END AS selector, CASE WHEN length(article) > 100 THEN article ELSE body END AS t FROM d)
+    SELECT page_id, site, icon, selector, left(trim(regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s.,!?:$%-]', '', 'g'), 'http\S+|www\S+', '', 'g')), 5000) AS content FROM s"""
+)
+def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site, icon and main text of pages by their tree."""
+    return pg.with_structure(table(spark, sf_dir, "pages")).select("page_id", "page.site", "page.icon", "page.selector", "page.content")
+
+
 @query("SELECT doc_id, length(text) >= 100 AND len([w FOR w IN regexp_split_to_array(text, '\\s+') IF w <> '']) >= 50 AND NOT regexp_matches(text, '(?i)(404 not found|access denied|page not found|enable javascript|captcha)') AS valid FROM documents")
 def article_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.valid_article(F.col("text"), F.lit(None).cast("string")).alias("valid"))
