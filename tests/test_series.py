@@ -70,12 +70,62 @@ def test_bond_at_par_and_its_yield(spark):
     assert y == pytest.approx(0.06, abs=1e-9)
 
 
-def test_spline_passes_through_knots_and_fit_is_close():
-    m, y = np.array([1.0, 2, 5, 7, 10]), np.array([0.05, 0.055, 0.06, 0.062, 0.063])
-    assert [bonds.natural_spline(m, y, t) for t in m] == pytest.approx(y.tolist())
-    b0, b1, b2, k = bonds.nelson_siegel_fit(m, y, 5.0, ridge=1e-6)
-    e = np.exp(-k * m)
-    assert np.abs(b0 + b1 * (1 - e) / (k * m) + b2 * ((1 - e) / (k * m) - e) - y).max() < 2e-3
+def test_splines_pass_through_knots_and_fits_are_close():
+    m, y = np.array([[1.0, 2, 5, 7, 10], [0.5, 1, 3, 9, 30]]), np.array([[0.05, 0.055, 0.06, 0.062, 0.063], [0.01, 0.03, 0.02, 0.05, 0.04]])
+    assert bonds.natural_splines(m, y, m) == pytest.approx(y)
+    b, k, _ = bonds.nelson_siegel_fit(m[:1], y[:1], np.array([[5.0]]), ridge=1e-6)
+    (b0, b1, b2), k = b[0, 0], k[0, 0]
+    e = np.exp(-k * m[0])
+    assert np.abs(b0 + b1 * (1 - e) / (k * m[0]) + b2 * ((1 - e) / (k * m[0]) - e) - y[0]).max() < 2e-3
+
+
+def test_bounded_least_squares_is_the_minimum_of_the_box():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 8, 3))
+    a, c = np.einsum("rki,rkj->rij", x, x) + 0.01 * np.eye(3), rng.normal(size=(60, 3)) * 8
+    low, high = np.array([-1.0, -0.2, 0.1]), np.array([0.5, 0.3, 0.4])
+    got = bonds.box_least_squares(a, c, low, high)
+    assert ((got >= low) & (got <= high)).all()
+    grid = np.stack(np.meshgrid(*(np.linspace(s, e, 25) for s, e in zip(low, high, strict=True))), -1).reshape(-1, 3)
+    loss = lambda b: np.einsum("...i,rij,...j->r...", b, a, b) if b.ndim == 2 and len(b) != len(a) else np.einsum("ri,rij,rj->r", b, a, b)
+    best = (loss(grid) - 2 * np.einsum("gi,ri->rg", grid, c)).min(1)
+    assert (loss(got) - 2 * (got * c).sum(1) <= best + 1e-9).all() and (got == low).any() and (got == high).any()
+
+
+def test_curve_fits_are_never_above_a_fine_grid_within_bounds():
+    rng = np.random.default_rng(2)
+    m, y, t = np.array([[1.0, 2, 5, 7, 10]] * 6), rng.uniform(-0.1, 0.4, (6, 5)), np.array([[0.5, 3.0, 20.0]] * 6)
+    b, decay, loss = bonds.nelson_siegel_fit(m, y, t)
+    assert ((b >= bonds.LOW) & (b <= bonds.HIGH)).all() and ((decay >= 0.1) & (decay <= 3)).all()
+    coefficients = np.stack(np.meshgrid(*(np.linspace(s, e, 21) for s, e in zip(bonds.LOW, bonds.HIGH, strict=True))), -1).reshape(-1, 3)
+    for r in range(6):
+        for k in range(3):
+            w = 1 / (1 + np.abs(m[r] - t[r, k]))
+            w /= w.sum()
+            for d in np.linspace(0.1, 3, 117):
+                e = np.exp(-d * m[r])
+                x = np.stack((np.ones(5), (1 - e) / (d * m[r]), (1 - e) / (d * m[r]) - e), 1)
+                plain = (w * (y[r] - coefficients @ x.T) ** 2).sum(1) + 0.01 * (coefficients[:, 1:] ** 2).sum(1)
+                assert loss[r, k] <= plain.min() + 1e-6
+
+
+def test_curves_of_any_length_and_nulls(spark):
+    rows = [(1, [1.0, 2.0, 5.0], [0.01, 0.02, 0.03], [0.1, 3.0]), (2, [1.0], [0.01], [4.0]), (3, None, [0.1], [1.0]), (4, [], [], [1.0]), (5, [1.0, 3.0, 4.0, 9.0], [0.3, 0.1, 0.2, 0.0], []), (6, [1.0, 2.0, 5.0], [0.01, 0.02, 0.03], [0.1, 3.0])]
+    got = {r.id: r.curve_yield for r in bonds.curve_yields(spark.createDataFrame(rows, "id int, m array<double>, y array<double>, t array<double>"), "m", "y", "t").collect()}
+    assert got[3] is None and got[4] is None and got[5] == [] and got[2] == [0.01] and got[1] == got[6] and got[1][0] == 0.01 and 0.015 < got[1][1] < 0.03
+
+
+def test_prices_on_the_curve_of_the_day(spark):
+    known = spark.createDataFrame([(1, 100.0, 0.06, "2034-01-15"), (2, 100.0, 0.0, "2025-01-15")], "bond int, face_value double, coupon_rate double, maturity string").withColumn("maturity", F.col("maturity").cast("date"))
+    curves = spark.createDataFrame([("2024-01-15", [1.0, 10.0], [0.05, 0.05]), ("2024-01-16", [1.0], [0.05]), ("2024-01-17", [0.5, 2.0, 3.0], [-0.1, -0.1, 0.1])], "day string, ms array<double>, ys array<double>").withColumn("day", F.col("day").cast("date"))
+    trades = spark.createDataFrame([(1, 1, "2024-01-15"), (2, 2, "2024-01-15"), (3, 1, "2024-01-16"), (4, 2, "2024-01-17"), (5, 2, "2025-01-15"), (6, 9, "2024-01-15"), (7, 1, None)], "trade int, bond int, day string").withColumn("day", F.col("day").cast("date"))
+    got = {r.trade: r.price for r in bonds.priced_on_days(trades, known, curves, ["trade"]).collect()}
+    flat = bonds.priced(bonds.cash_flows(known, F.lit("2024-01-15").cast("date")), ["bond"], F.lit(0.05)).collect()
+    assert [got[1], got[2]] == pytest.approx([r.price for r in sorted(flat, key=lambda r: r.bond)])
+    assert got[4] == pytest.approx(100 / 1.01 ** (364 / 365.25)) and [got[k] for k in (3, 5, 6, 7)] == [None] * 4
+    at = spark.createDataFrame([(t,) for t in (0.1, 1.0, 1.5, 2.0, 9.0)], "t double").select("t", bonds.curve_at(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)), F.array(F.lit(1.0), F.lit(3.0), F.lit(4.0)), F.col("t")).alias("y"))
+    assert {r.t: r.y for r in at.collect()} == {0.1: 1.0, 1.0: 1.0, 1.5: 2.0, 2.0: 3.0, 9.0: 4.0}
+    assert "NestedLoop" not in bonds.priced_on_days(trades, known, curves, ["trade"])._jdf.queryExecution().toString()
 
 
 def test_indel_similarity():

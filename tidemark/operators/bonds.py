@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,43 +131,116 @@ def linear(curve: Column, t: Column) -> Column:
     return F.when(F.size(F.filter(curve, lambda p: p["m"] <= t)) == 0, F.get(curve, F.lit(0))["y"]).when(F.size(F.filter(curve, lambda p: p["m"] >= t)) == 0, F.element_at(curve, -1)["y"]).otherwise(inside)
 
 
-def natural_spline(m: np.ndarray, y: np.ndarray, t: float) -> float:
-    """Natural cubic spline through (m, y); the end cubics continue outside."""
-    n, h = len(m), np.diff(m)
-    if n < 3:
-        return float(np.interp(t, m, y))
-    a = np.zeros((n, n))
-    b = np.zeros(n)
-    a[0, 0] = a[-1, -1] = 1
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 3 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-    c = np.linalg.solve(a, b)
-    i = int(np.clip(np.searchsorted(m, t) - 1, 0, n - 2))
-    d, x = (c[i + 1] - c[i]) / (3 * h[i]), t - m[i]
-    return float(y[i] + ((y[i + 1] - y[i]) / h[i] - h[i] * (2 * c[i] + c[i + 1]) / 3) * x + c[i] * x * x + d * x**3)
-
-
-def nelson_siegel_fit(m: np.ndarray, y: np.ndarray, t: float, ridge: float = 0.01) -> tuple[float, float, float, float]:
-    """(b0, b1, b2, decay) of the weighted, ridge-regularised fit around t: for each decay of a grid the model is linear."""
-    w = 1 / (1 + np.abs(m - t))
-    w = w / w.sum()
-    best, least = (float(y.mean()), 0.0, 0.0, 0.6), np.inf
-    for decay in np.linspace(0.1, 3, 59):
-        e = np.exp(-decay * m)
-        x = np.column_stack([np.ones(len(m)), (1 - e) / (decay * m), (1 - e) / (decay * m) - e])
-        b = np.linalg.solve(x.T @ (w[:, None] * x) + np.diag([1e-12, ridge, ridge]), x.T @ (w * y))
-        b = np.clip(b, [0, -0.15, -0.15], [0.20, 0.15, 0.15])
-        loss = float((w * (y - x @ b) ** 2).sum() + ridge * (b[1] ** 2 + b[2] ** 2))
-        if loss < least:
-            best, least = (*map(float, b), float(decay)), loss
+def curve_at(ms: Column, ys: Column, t: Column) -> Column:
+    """Linear interpolation of t between the knots ms (rising) with the yields ys; flat outside. The knot is found by halving."""
+    ends = F.struct(F.lit(-1).alias("lo"), F.size(ms).alias("hi"))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        over = F.get(ms, mid) > t
+        return F.when(a["hi"] - a["lo"] <= 1, a).otherwise(F.struct(F.when(over, a["lo"]).otherwise(mid).alias("lo"), F.when(over, mid).otherwise(a["hi"]).alias("hi")))
+
+    lo = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(ms) + 1)).cast("int")), ends, halve, lambda a: a["lo"])
+    return F.transform(F.array(lo), lambda k: _between(ms, ys, k, t))[0]
+
+
+def _between(ms: Column, ys: Column, k: Column, t: Column) -> Column:
+    m1, m2, y1, y2 = F.get(ms, k), F.get(ms, k + 1), F.get(ys, k), F.get(ys, k + 1)
+    return F.when(k < 0, F.get(ys, F.lit(0))).when(m2.isNull(), y1).otherwise(y1 + (y2 - y1) * (t - m1) / (m2 - m1))
+
+
+def priced_on_days(trades: DataFrame, bonds: DataFrame, curves: DataFrame, key: list[str], frequency: int = 2) -> DataFrame:
+    """trades (key, bond, day) with price: the payments of the bond after the day, discounted on the day's curve.
+
+    bonds has bond, face_value, coupon_rate and maturity; curves a row a day: day, ms and ys, the sorted knots and their
+    yields. A day's curve comes to its trades whole, by day, and each payment finds its place in it by halving: trades never
+    meet knots, nor days bonds. A yield of 0 or less counts as 1 %. No price where the bond has ended, the day has no curve,
+    or the curve under two knots.
+    """
+    flows = cash_flows(trades.join(bonds, "bond").join(curves.where(F.size("ms") > 1), "day"), F.col("day"), frequency)
+    y = curve_at(F.col("ms"), F.col("ys"), F.col("years"))
+    flows = flows.select(*key, "amount", "years", y.alias("y")).withColumn("y", F.when(F.col("y") > 0, F.col("y")).otherwise(0.01))
+    value = flows.groupBy(*key).agg(F.sum(F.col("amount") / F.pow(1 + F.col("y"), F.col("years"))).alias("price"))
+    return trades.join(value, key, "left")
+
+
+# The bounds of level, slope, curvature and decay, and the weight of the ridge.
+LOW, HIGH, DECAYS, RIDGE = np.array([0.0, -0.15, -0.15]), np.array([0.20, 0.15, 0.15]), (0.1, 3.0), 0.01
+
+
+def box_least_squares(a: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The minimum of b'ab - 2b'c over the box, for stacks of positive matrices a (..., n, n) and vectors c (..., n).
+
+    Where the free minimum lies outside, each choice of variables on a lower or upper bound is solved for the others; the
+    least of those inside the box is the minimum, as the sum is convex.
+    """
+    n = c.shape[-1]
+    b = np.linalg.solve(a, c[..., None])[..., 0]
+    out = ((b < low) | (b > high)).any(-1)
+    if out.any():
+        a, c = a[out], c[out]
+        best, least = np.zeros(c.shape), np.full(len(c), np.inf)
+        for states in product((0, 1, 2), repeat=n):
+            free = [k for k in range(n) if states[k] == 0]
+            x = np.broadcast_to(np.array([0.0 if s == 0 else low[k] if s == 1 else high[k] for k, s in enumerate(states)]), c.shape).copy()
+            if free:
+                rest = c[:, free] - np.einsum("rij,rj->ri", a, x)[:, free]
+                x[:, free] = np.linalg.solve(a[:, free][:, :, free], rest[..., None])[..., 0]
+            loss = np.einsum("ri,rij,rj->r", x, a, x) - 2 * (x * c).sum(-1)
+            loss[((x < low - 1e-12) | (x > high + 1e-12)).any(-1)] = np.inf
+            better = loss < least
+            best[better], least[better] = x[better], loss[better]
+        b[out] = np.clip(best, low, high)
+    return b
+
+
+def nelson_siegel_fit(m: np.ndarray, y: np.ndarray, t: np.ndarray, ridge: float = RIDGE, steps: int = 59, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(b, decay, loss) of the weighted ridge fits of curves (rows of m and y) around each target (rows of t), within bounds.
+
+    For a given decay the model is linear and its best coefficients in the box are exact; decays are a grid, made finer
+    around its best point `rounds` times. All curves and targets are one array program.
+    """
+    w = 1 / (1 + np.abs(m[:, None, :] - t[:, :, None]))
+    w = w / w.sum(-1, keepdims=True)
+    total = np.einsum("rtk,rk->rt", w, y * y)
+    rows, targets = np.arange(len(m))[:, None], np.arange(t.shape[1])[None, :]
+    decay = np.broadcast_to(np.linspace(*DECAYS, steps), (*t.shape, steps))
+    for k in range(rounds + 1):
+        z = decay[..., None] * m[:, None, None, :]
+        e = np.exp(-z)
+        x = np.stack((np.ones_like(z), (1 - e) / z, (1 - e) / z - e), axis=-1)
+        a = np.einsum("rtk,rtgki,rtgkj->rtgij", w, x, x) + np.diag([1e-12, ridge, ridge])
+        c = np.einsum("rtk,rtgki,rk->rtgi", w, x, y)
+        b = box_least_squares(a, c, LOW, HIGH)
+        loss = total[..., None] - 2 * (b * c).sum(-1) + np.einsum("rtgi,rtgij,rtgj->rtg", b, a, b)
+        at = loss.argmin(-1)
+        best = b[rows, targets, at], decay[rows, targets, at], loss[rows, targets, at]
+        half = (DECAYS[1] - DECAYS[0]) / (steps - 1) / 5**k
+        decay = np.clip(best[1][..., None] + np.linspace(-half, half, 11), *DECAYS)
     return best
 
 
+def natural_splines(m: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Natural cubic splines through curves (rows of m and y) at the targets (rows of t); the end cubics continue outside."""
+    n, h = m.shape[1], np.diff(m, axis=1)
+    a, b = np.zeros((len(m), n, n)), np.zeros(m.shape)
+    a[:, 0, 0] = a[:, -1, -1] = 1
+    for i in range(1, n - 1):
+        a[:, i, i - 1], a[:, i, i], a[:, i, i + 1] = h[:, i - 1], 2 * (h[:, i - 1] + h[:, i]), h[:, i]
+        b[:, i] = 3 * ((y[:, i + 1] - y[:, i]) / h[:, i] - (y[:, i] - y[:, i - 1]) / h[:, i - 1])
+    c = np.linalg.solve(a, b[..., None])[..., 0]
+    i = np.clip((m[:, None, :] < t[:, :, None]).sum(-1) - 1, 0, n - 2)
+    at = lambda v, k: np.take_along_axis(v, k, axis=1)
+    step, c0, c1, y0, y1 = at(h, i), at(c, i), at(c, i + 1), at(y, i), at(y, i + 1)
+    x = t - at(m, i)
+    return y0 + ((y1 - y0) / step - step * (2 * c0 + c1) / 3) * x + c0 * x * x + (c1 - c0) / (3 * step) * x**3
+
+
 def curve_yields(df: DataFrame, maturities: str, yields: str, targets: str) -> DataFrame:
     """df with `curve_yield`: array<double>, for each target 0.4 Nelson-Siegel + 0.4 spline + 0.2 linear (linear alone under a quarter year).
 
-    maturities, yields and targets are array columns of a row; rows are independent, so the kernel runs in Arrow batches.
+    maturities, yields and targets are array columns of a row, the maturities rising; curves of one or two points are linear.
+    Rows of an Arrow batch with equally long curves and targets are fitted together, in blocks of bounded size.
     """
     from pyspark.sql.functions import pandas_udf
 
@@ -173,26 +248,33 @@ def curve_yields(df: DataFrame, maturities: str, yields: str, targets: str) -> D
     def kernel(m, y, t):
         import pandas as pd
 
-        def one(m, y, t):
-            if m is None or y is None or t is None or not len(m):
-                return None
-            m, y = np.asarray(m, float), np.asarray(y, float)
-            out = []
-            for x in t:
-                flat = float(np.interp(x, m, y))
-                if x >= 0.25 and len(m) > 2:
-                    b0, b1, b2, k = nelson_siegel_fit(m, y, x)
-                    e = np.exp(-k * x)
-                    ns = b0 + b1 * (1 - e) / (k * x) + b2 * ((1 - e) / (k * x) - e)
-                    flat = 0.4 * ns + 0.4 * natural_spline(m, y, x) + 0.2 * flat
-                out.append(flat)
-            return out
-
-        return pd.Series([one(*x) for x in zip(m, y, t, strict=True)])
+        out: list = [None] * len(m)
+        groups: dict[tuple[int, int], list[int]] = {}
+        for k, (a, b, c) in enumerate(zip(m, y, t, strict=True)):
+            if a is not None and b is not None and c is not None and len(a):
+                groups.setdefault((len(a), len(c)), []).append(k)
+        block = {size: max(1, 100_000 // (size[0] * max(1, size[1]))) // 8 + 1 for size in groups}
+        for rows in (rows[at : at + block[size]] for size, rows in groups.items() for at in range(0, len(rows), block[size])):
+            x = [np.array([v.iloc[k] for k in rows], float) for v in (m, y, t)]
+            for k, found in zip(rows, ensemble(*x), strict=True):
+                out[k] = found
+        return pd.Series(out)
 
     return df.withColumn("curve_yield", kernel(F.col(maturities), F.col(yields), F.col(targets)))
 
 
+def ensemble(m: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Combined yields of curves (rows of m and y) at the targets (rows of t)."""
+    flat = np.array([np.interp(*x) for x in zip(t, m, y, strict=True)]).reshape(t.shape)
+    if m.shape[1] < 3 or not t.shape[1]:
+        return flat
+    later = np.maximum(t, 1e-9)
+    b, decay, _ = nelson_siegel_fit(m, y, later)
+    e = np.exp(-decay * later)
+    ns = b[..., 0] + b[..., 1] * (1 - e) / (decay * later) + b[..., 2] * ((1 - e) / (decay * later) - e)
+    return np.where(t >= 0.25, 0.4 * ns + 0.4 * natural_splines(m, y, later) + 0.2 * flat, flat)
+
+
 def liquidity_score(bid: Column, ask: Column, volume: Column, widest: float = 2.0, largest: float = 1e9) -> Column:
     """0.6 for a tight spread and 0.4 for volume; 0.3 without quotes."""
     spread = (ask - bid) / ((bid + ask) / 2) * 100

@@ -120,6 +120,27 @@ def curve_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bonds.curve_yields(c, "m", "y", "t").select("curve", F.posexplode("curve_yield").alias("at", "y")), 8)
 
 
+_KNOTS = (1.0, 2.0, 5.0, 10.0, 30.0)
+
+
+@query(
+    f"""WITH {_BONDS}, o AS (SELECT o_orderkey AS trade, o_custkey AS bond, CAST(CAST(o_orderdate AS DATE) + to_months(336) AS DATE) AS day, o_totalprice FROM orders),
+    c AS (SELECT day, {', '.join(f"0.01::DOUBLE + avg(o_totalprice) / 10000000.0::DOUBLE + 0.004::DOUBLE * ln(1 + {m}::DOUBLE) AS y{k}" for k, m in enumerate(_KNOTS))} FROM o GROUP BY day),
+    f AS (SELECT trade, face_value * coupon_rate / 2 + CASE WHEN k = 0 THEN face_value ELSE 0 END AS amount, (CAST(maturity - to_months((6 * k)::INT) AS DATE) - o.day) / 365.25::DOUBLE AS t, c.* FROM o JOIN bond USING (bond) JOIN c USING (day), range(0, 70) r(k)
+      WHERE maturity > o.day AND CAST(maturity - to_months((6 * k)::INT) AS DATE) > o.day),
+    v AS (SELECT trade, amount, t, CASE WHEN t < {_KNOTS[0]} THEN y0 {' '.join(f"WHEN t < {b} THEN y{k} + (y{k + 1} - y{k}) * (t - {a}::DOUBLE) / {b - a}::DOUBLE" for k, (a, b) in enumerate(zip(_KNOTS, _KNOTS[1:])))} ELSE y{len(_KNOTS) - 1} END AS y FROM f),
+    p AS (SELECT trade, sum(amount / pow(1 + CASE WHEN y > 0 THEN y ELSE 0.01 END, t)) AS price FROM v GROUP BY 1) SELECT trade, bond, o.day, round(p.price, 6) AS price FROM o JOIN bond USING (bond) LEFT JOIN p USING (trade)"""
+)
+def trade_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bonds of trades priced on the curve of each trade's day."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trade"), F.col("o_custkey").alias("bond"), F.add_months(F.to_date("o_orderdate"), 336).alias("day"), "o_totalprice")
+    level = F.lit(0.01) + F.avg("o_totalprice") / 10000000.0
+    curves = o.groupBy("day").agg(level.alias("level")).select("day", F.array(*(F.lit(m) for m in _KNOTS)).alias("ms"), F.array(*(F.col("level") + 0.004 * F.log(F.lit(1 + m)) for m in _KNOTS)).alias("ys"))
+    known = bond_table(spark, sf_dir).select("bond", "face_value", "coupon_rate", "maturity")
+    trades = o.join(known.select("bond"), "bond").select("trade", "bond", "day")
+    return rounded(bonds.priced_on_days(trades, known, curves, ["trade"]))
+
+
 _TR = f"{BARS_SQL}, tr AS (SELECT pair, day, close / lag(close) OVER (PARTITION BY pair ORDER BY day) - 1 AS ret FROM bars)"
 
 
