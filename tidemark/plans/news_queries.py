@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pages as pg, text as tx
-from ..operators import news, vectors
+from ..operators import news, search, vectors
 from ..operators.ranking import top_per_key
 from ..sources.tables import table
 from .registry import query, rounded
@@ -96,6 +96,23 @@ def news_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "company", "factor", "day")
 
 
+@query(
+    """WITH q AS (SELECT item_id AS request, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[2:4] AS words FROM benchmark), n AS (SELECT request, len(words) AS n, words FROM q WHERE len(words) > 0),
+    a AS (SELECT doc_id AS id, regexp_extract_all(lower(left(split_part(text, chr(10), 1), 80)), '[\\p{L}\\p{N}]+') AS t, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS c, (['in', 'us', 'gb', 'fr'])[doc_id % 4 + 1] AS country, (['business', 'sports', 'world'])[doc_id % 3 + 1] AS category, source FROM documents),
+    i AS (SELECT DISTINCT id, unnest(list_concat(t, c)) AS token FROM a), k AS (SELECT i.id, token, list_contains(t, token) AS in_title FROM i JOIN a USING (id)), w AS (SELECT request, n, generate_subscripts(words, 1) AS term, unnest(words) AS token FROM n),
+    m AS (SELECT request, n, id, count(DISTINCT term) AS anywhere, count(DISTINCT term) FILTER (in_title) AS titled FROM w JOIN k USING (token) GROUP BY ALL),
+    l AS (SELECT request, id, CASE WHEN titled = n AND country = 'in' AND category = 'business' AND source IN ('src0', 'src4') THEN 0 WHEN titled = n AND country = 'in' AND category = 'business' THEN 1
+      WHEN anywhere = n AND country IN ('in', 'us', 'gb', 'sg') AND category = 'business' THEN 2 WHEN country IN ('in', 'us', 'gb', 'sg') THEN 3 WHEN category = 'business' THEN 4 END AS level FROM m JOIN a USING (id))
+    SELECT request, id, level::INTEGER AS level FROM l WHERE level IS NOT NULL QUALIFY level = min(level) OVER (PARTITION BY request)"""
+)
+def search_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's second to fourth words searched in all documents, each at its least level with a hit."""
+    at = lambda values, k: F.element_at(F.array(*(F.lit(v) for v in values)), (F.col("id") % k + 1).cast("int"))
+    a = articles(spark, sf_dir).select("id", "title", "content", at(("in", "us", "gb", "fr"), 4).alias("country"), at(("business", "sports", "world"), 3).alias("category"), F.col("source").alias("domain"))
+    requests = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request"), F.transform(F.slice(search.tokens(F.col("text")), 2, 3), lambda w: F.array(w)).alias("terms"))
+    return search.search_levels(requests, a, ["src0", "src4"])
+
+
 @query(f"WITH {_ART} SELECT company, factor, label, count(*) AS articles, round(avg(score), 6) AS score, CASE WHEN avg(CASE label WHEN 'positive' THEN score WHEN 'negative' THEN -score ELSE 0 END) > 0.1 THEN 'BULLISH' WHEN avg(CASE label WHEN 'positive' THEN score WHEN 'negative' THEN -score ELSE 0 END) < -0.1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS mood FROM art GROUP BY ALL")
 def news_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = F.when(F.col("label") == "positive", F.col("score")).when(F.col("label") == "negative", -F.col("score")).otherwise(0.0)
