@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import models
-from ..sources.tables import table
+from ..operators import models, walkforward
+from ..sources.tables import daily_bars, table
 from ..streaming import stateful, streams
 from .market_queries import _TX, _WIN, as_transactions
 from .news_queries import as_articles
@@ -85,18 +85,29 @@ def online_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.forecast(models.train_online(models.samples(yield_levels(spark, sf_dir)))))
 
 
+def bar_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily bars as levels; a bar's pair is its maturity."""
+    return daily_bars(spark, sf_dir).withColumn("maturity", F.ascii("pair").cast("long"))
+
+
 @query()
 def elastic_net_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elastic net of the next close per maturity and its recursive forecast of 14 business days, from 30 samples on."""
-    return rounded(models.forecast_levels(models.elastic_net(models.level_samples(yield_levels(spark, sf_dir)))))
+    """Elastic net of the next close per pair and its recursive forecast of 14 business days, from 30 samples on."""
+    return rounded(models.forecast_levels(models.elastic_net(models.level_samples(bar_samples(spark, sf_dir)))))
 
 
 @query()
 def boosted_tree_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.tables import daily_bars
+    """Boosted trees of the next return on the last fifth of each pair's days."""
+    return rounded(models.boosted_trees(models.samples(bar_samples(spark, sf_dir)))[0])
 
-    bars = daily_bars(spark, sf_dir).withColumn("maturity", F.ascii("pair").cast("long"))
-    return rounded(models.boosted_trees(models.samples(bars))[0])
+
+@query()
+def walk_forward_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next returns of each pair's bars by a model of each walk-forward fold, and what each feature has to do with them."""
+    found = walkforward.walk_forward(models.samples(bar_samples(spark, sf_dir)), list(models.FEATURES))
+    shares = [F.round(F.col("importance")[k], 6).alias(f"by_{f}") for k, f in enumerate(models.FEATURES)]
+    return rounded(found.select("pair", "fold", "day", "train_end", "actual", "predicted", *shares))
 
 
 @query()
