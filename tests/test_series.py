@@ -256,3 +256,28 @@ def test_ordered_passes_carry_their_state(spark):
         line = known.ewm(alpha=2 / 13, adjust=False).mean() - known.ewm(alpha=2 / 27, adjust=False).mean()
         for name, series in (("e", line), ("g", line.ewm(alpha=0.2, adjust=False).mean()), ("m", known.ewm(alpha=0.25).mean()), ("s", known.ewm(alpha=0.25).std())):
             assert np.allclose(mine[name], series.reindex(part.index).ffill(), equal_nan=True), name
+
+
+def test_growth_keeps_every_return(spark):
+    rows = [("a", 1, 0.1), ("a", 2, -1.5), ("a", 3, 0.2), ("b", 1, 0.5), ("b", 2, -1.0), ("b", 3, 0.3), ("c", 1, -2.0), ("c", 2, -3.0), ("c", 3, None)]
+    got = {r.pair: r for r in portfolio.performance(spark.createDataFrame(rows, "pair string, day int, ret double"), ["pair"], "day").collect()}
+    assert got["a"].n == 3 and got["a"].annual_return is None and got["a"].max_drawdown == pytest.approx(-0.66 / 1.1 - 1)
+    assert got["b"].max_drawdown == -1 and got["b"].annual_return == -1 and got["b"].shortfall_5 == -1.0 and got["c"].n == 2
+    df = spark.createDataFrame([("a", k, s, m, p) for k, (s, m, p) in enumerate([(0.1, 0.1, 1), (-0.2, 0.2, -1), (0.0, 0.1, 0), (None, 0.1, 1)])], "pair string, day int, strategy double, actual double, position int")
+    r = portfolio.strategy_metrics(df, ["pair"], "day").head()
+    excess = np.array([0.0, -0.4, -0.1])
+    assert (r.n, r.turnover, r.long_pct) == (3, 1.0, pytest.approx(100 / 3)) and r.information_ratio == pytest.approx(excess.mean() / excess.std(ddof=1) * 252**0.5)
+    assert r.total_profit == pytest.approx(1.1 * 0.8 - 1) and r.buy_and_hold == pytest.approx(1.1 * 1.2 * 1.1 - 1)
+
+
+def test_ordered_passes_leave_other_columns_alone(spark):
+    rows = [("a", k, None if k == 1 else 9007199254740993 + k, [k], float(k)) for k in range(5)] + [(None, 1, 7, None, None), (None, 2, None, [1], 3.0)]
+    df = spark.createDataFrame(rows, "pair string, ts_ms long, big long, list array<int>, x double")
+    got = ts.with_macd(df, "line", "signal", "x", 0.5, 0.25, 0.2)
+    assert sorted((tuple(r) for r in got.select(df.columns).collect()), key=str) == sorted(rows, key=str)
+    assert got.where("pair is null").orderBy("ts_ms").select("line").collect()[0].line is None
+
+
+def test_hurst_labels(spark):
+    df = spark.createDataFrame([(0.7,), (0.3,), (0.5,), (None,)], "h double")
+    assert [r[0] for r in df.select(market.hurst_label(F.col("h"))).collect()] == ["TRENDING", "MEAN_REVERTING", "RANDOM_WALK", None]

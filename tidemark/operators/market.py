@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,45 @@ def breadth(changes: DataFrame, change: str = "change", volume: str = "volume")
     ]
 
 
+def with_extremes(bars: DataFrame, near: float = 0.05, days: int = 364) -> DataFrame:
+    """bars (pair, ts_ms, close, high, low) with near_52w_high and near_52w_low: whether the close is within `near` of the extreme of the last `days` days."""
+    from .timeseries import rolling_range
+
+    high, low = (rolling_range(f, F.col(c), "pair", "ts_ms", days) for f, c in ((F.max, "high"), (F.min, "low")))
+    return bars.withColumns({"near_52w_high": F.col("close") >= (1 - near) * high, "near_52w_low": F.col("close") <= (1 + near) * low})
+
+
+def extremes() -> list[Column]:
+    """Aggregates: how many are near their 52-week high and low."""
+    return [F.count_if(F.col("near_52w_high")).alias("near_52w_high"), F.count_if(F.col("near_52w_low")).alias("near_52w_low")]
+
+
+# Fixed values of the labels: the change of 60 bars and the yearly volatility, both in percent, and the Hurst exponent.
+def trend_label(change: Column) -> Column:
+    return F.when(change > 2, "BULLISH").when(change < -2, "BEARISH").when(change.isNotNull(), "SIDEWAYS")
+
+
+def volatility_label(volatility: Column) -> Column:
+    return F.when(volatility > 15, "HIGH").when(volatility > 8, "MODERATE").when(volatility.isNotNull(), "LOW")
+
+
+def hurst_label(hurst: Column) -> Column:
+    return F.when(hurst > 0.6, "TRENDING").when(hurst < 0.4, "MEAN_REVERTING").when(hurst.isNotNull(), "RANDOM_WALK")
+
+
+def trends(bars: DataFrame, bars_kept: int = 252, recent: int = 60) -> DataFrame:
+    """Per pair of bars (pair, day, close): change over the last `recent` of its last `bars_kept` bars, the yearly volatility of their log returns, and labels."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("pair").orderBy("day")
+    k = F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("day")))
+    r = F.ln(F.try_divide("close", F.lag("close").over(w))) * 100
+    b = bars.select("pair", "day", "close", r.alias("r"), k.alias("k")).where(F.col("k") <= bars_kept)
+    g = b.groupBy("pair").agg(F.count("*").alias("bars"), F.max_by("close", "day").alias("last"), F.min_by("close", F.when(F.col("k") <= recent, F.col("day"))).alias("first"), (F.stddev_pop(F.when(F.col("k") < F.lit(bars_kept), F.col("r"))) * math.sqrt(252)).alias("volatility"))
+    g = g.withColumn("change", F.try_divide(F.col("last") - F.col("first"), F.col("first")) * 100)
+    return g.select("pair", "bars", "change", trend_label(F.col("change")).alias("trend"), "volatility", volatility_label(F.col("volatility")).alias("level"))
+
+
 def percentile_of(x: Column, current: Column) -> Column:
     """Aggregate: percentage of x at or under `current`."""
     return F.avg((x <= current).cast("double")) * 100

@@ -114,6 +114,20 @@ def volatility_features(bars: DataFrame) -> DataFrame:
     return df.select(*bars.columns, *VOLATILITY)
 
 
+#: The contract's columns in their order.
+CONTRACT = (
+    "body_ratio price_position hl_spread log_ret " + " ".join(f"log_ret_lag_{k}" for k in range(1, 11)) + " sma_fast sma_slow sma_spread sma_slope_10 sma_slope_20 macd_line macd_signal macd_hist rsi atr plus_di minus_di adx "
+    "roc_3 roc_5 roc_10 volume_ewma volume_change rv_10 rv_60 rv_ratio vol_10 vol_20 vol_60 vol_ratio_10_60 vol_ratio_20_60 vol_of_vol log_vol_20 vol_ewma ewma_ret ewma_vol rolling_skew rolling_kurt dow_sin dow_cos "
+    "vol_gk_20 vol_gk_60 vol_parkinson_20 vol_yang_zhang_20 vix_proxy"
+).split()
+
+
+def contract_features(bars: DataFrame) -> DataFrame:
+    """bars with the contract's columns in their order; vol_ewma is the deviation of log returns with a span of 20."""
+    df = with_ewm(standard_features(bars), "__m", "vol_ewma", F.col("log_ret"), 2 / 21)
+    return volatility_features(df).select(*bars.columns, *CONTRACT)
+
+
 def _proxy_rsi(x: Column, w, n: int = 14) -> Column:
     d = x - F.lag(x).over(w)
     gain, loss = (rolling(F.avg, F.when(s, F.abs(d)).otherwise(0.0), w, n) for s in (d > 0, d < 0))

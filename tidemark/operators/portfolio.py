@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 YEAR = 252
@@ -20,21 +20,54 @@ def trade_statistics(pnl: Column) -> list[Column]:
     ]
 
 
+def product(x: Column, w: WindowSpec | None = None) -> Column:
+    """The product of x as an aggregate, or over a window; nulls are no factors."""
+    over = (lambda a: a.over(w)) if w is not None else (lambda a: a)
+    size = F.exp(over(F.sum(F.when(x != 0, F.ln(F.abs(x))))))
+    sign = F.when(over(F.count_if(x < 0)) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(over(F.count_if(x == 0)) > 0, 0.0).otherwise(sign * size)
+
+
 def performance(returns: DataFrame, key: list[str], order: str, ret: str = "ret") -> DataFrame:
-    """Per key: annual return, volatility, Sharpe, Sortino, Calmar, worst drawdown, 5 % value at risk and its expected shortfall."""
+    """Per key: annual return, volatility, Sharpe, Sortino, Calmar, worst drawdown, 5 % value at risk and its expected shortfall.
+
+    Null returns are none. Growth is the product of 1 + return also where that is 0 or less; a negative one has no annual return.
+    """
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    r = returns.where(F.col(ret).isNotNull() & (F.col(ret) > -1)).withColumn("__g", F.exp(F.sum(F.ln(1 + F.col(ret))).over(w)))
-    r = r.withColumn("__dd", F.col("__g") / F.max("__g").over(w) - 1)
+    r = returns.where(F.col(ret).isNotNull())
+    r = r.withColumn("__g", product(1 + F.col(ret), w))
+    r = r.withColumn("__dd", F.try_divide("__g", F.max("__g").over(w)) - 1)
     down = F.when(F.col(ret) < 0, F.col(ret))
-    g = r.groupBy(*key).agg(F.count("*").alias("n"), F.avg(ret).alias("m"), F.stddev_samp(ret).alias("s"), F.stddev_samp(down).alias("d"), F.min("__dd").alias("max_drawdown"), F.exp(F.sum(F.ln(1 + F.col(ret)))).alias("growth"), F.percentile(ret, 0.05).alias("var_5"))
+    g = r.groupBy(*key).agg(F.count("*").alias("n"), F.avg(ret).alias("m"), F.stddev_samp(ret).alias("s"), F.stddev_samp(down).alias("d"), F.min("__dd").alias("max_drawdown"), product(1 + F.col(ret)).alias("growth"), F.percentile(ret, 0.05).alias("var_5"))
+    tail = returns.select(*(F.col(k).alias(f"__{k}") for k in key), F.col(ret).alias("__r"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    worst = tail.join(g.select(*key, "var_5"), same & (F.col("__r") <= F.col("var_5"))).groupBy(*(f"__{k}" for k in key)).agg(F.avg("__r").alias("shortfall_5"))
+    g = g.join(worst, same, "left")
     excess = F.col("m") - RISK_FREE / YEAR
-    annual = F.pow("growth", F.lit(float(YEAR)) / F.col("n")) - 1
+    annual = F.when(F.col("growth") >= 0, F.pow("growth", F.lit(float(YEAR)) / F.col("n")) - 1)
     root = math.sqrt(YEAR)
     return g.select(
-        *key, "n", annual.alias("annual_return"), (F.col("s") * root).alias("volatility"), (F.try_divide(excess, F.col("s")) * root).alias("sharpe"), (F.try_divide(excess, F.col("d")) * root).alias("sortino"), F.try_divide(annual, -F.col("max_drawdown")).alias("calmar"), "max_drawdown", "var_5",
+        *key, "n", annual.alias("annual_return"), (F.col("s") * root).alias("volatility"), (F.try_divide(excess, F.col("s")) * root).alias("sharpe"), (F.try_divide(excess, F.col("d")) * root).alias("sortino"), F.try_divide(annual, -F.col("max_drawdown")).alias("calmar"), "max_drawdown", "var_5", "shortfall_5",
     )
 
 
+def strategy_metrics(days: DataFrame, key: list[str], order: str, strategy: str = "strategy", actual: str = "actual", position: str = "position") -> DataFrame:
+    """Per key of strategies' and markets' returns and positions: both growths, information ratio, turnover and shares of positions.
+
+    The information ratio is of the yearly excess over the market, 0 without deviation; turnover is the mean change of the
+    position, the first one no change. Rows without a return of either are none.
+    """
+    w = Window.partitionBy(*key).orderBy(order)
+    d = days.where(F.col(strategy).isNotNull() & F.col(actual).isNotNull())
+    d = d.withColumns({"__x": F.col(strategy) - F.col(actual), "__t": F.coalesce(F.abs(F.col(position) - F.lag(position).over(w)), F.lit(0.0))})
+    grown = lambda c: product(1 + F.col(c)) - 1
+    share = lambda v: (F.avg((F.signum(position) == v).cast("double")) * 100)
+    ratio = F.when(F.stddev_samp("__x") > 0, F.avg("__x") / F.stddev_samp("__x") * math.sqrt(YEAR)).otherwise(0.0)
+    return d.groupBy(*key).agg(F.count("*").alias("n"), grown(strategy).alias("total_profit"), grown(actual).alias("buy_and_hold"), ratio.alias("information_ratio"), F.avg("__t").alias("turnover"), share(1).alias("long_pct"), share(-1).alias("short_pct"), share(0).alias("flat_pct"))
+
+
 def kelly(returns: DataFrame, key: list[str], ret: str = "ret", fraction: float = 0.5, least: float = 0.01, most: float = 0.25) -> DataFrame:
     """Per key: discrete and continuous Kelly fractions, their mean times `fraction` within [least, most]; 0 without wins or losses."""
     r = F.col(ret)

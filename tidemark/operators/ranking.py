@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with 1, 2, ... by `order`. Rows are sorted in range partitions; each needs the number of rows before it, one number a partition."""
-    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).persist()
+    """df with 1, 2, ... by `order`. Rows are dealt to range partitions and written, as a second sampling of the ranges could
+    deal them otherwise; each partition needs the number of rows before it, one number a partition."""
+    folder = shared_folder(df.sparkSession, "ranked")
+    df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).write.parquet(folder)
+    parts = df.sparkSession.read.parquet(folder)
     counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
     inner = F.row_number().over(Window.partitionBy("__p").orderBy(*order))

@@ -94,30 +94,37 @@ def difference_weights(d: float = 0.4, tiny: float = 1e-5, most: int = 500) -> l
     return w
 
 
-def ordered_pass(df: DataFrame, key: str, order: str, make: Callable, schema: str) -> DataFrame:
-    """df's rows, in order within each key, through make(pandas frame of one key's next rows, state) -> (frame, state).
+def ordered_pass(df: DataFrame, key: str, order: str, reads: list[str], adds: list[str], make: Callable) -> DataFrame:
+    """df with the doubles `adds`, by make(arrays of the columns `reads` of one key's next rows, state) -> (arrays, state).
 
-    Rows are dealt by key and sorted, and stream through in Arrow batches; only the state, None at a key's start, is carried
-    from batch to batch, so that a key of any length needs the memory of a batch.
+    Rows are dealt by key and sorted by `order`, and stream through in Arrow batches; the state, None at a key's start, is
+    carried from batch to batch, so a key needs the memory of a batch and of its state. Only key and `reads` are looked at:
+    the other columns pass as they are. Nulls are read as NaN, and NaN is written as null.
     """
-
-    def task(frames):
-        key_now, state = None, None
-        for pdf in frames:
-            pdf = pdf.reset_index(drop=True)
-            new = (pdf[key] != pdf[key].shift()) & ~(pdf[key].isna() & pdf[key].shift().isna())
-            new[:1] = True
-            starts = [*new.to_numpy().nonzero()[0].tolist(), len(pdf)]
+    names = df.columns
+    at, key_at = [names.index(n) for n in reads], names.index(key)
+
+    def task(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last, state = None, None
+        for batch in batches:
+            keys = batch.column(key_at).to_pylist()
+            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)] if keys else []
+            columns = [batch.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in at]
+            made = [[] for _ in adds]
             for s, e in itertools.pairwise(starts):
-                part = pdf.iloc[s:e].reset_index(drop=True)
-                name = (part[key].iloc[0],) if part[key].notna().iloc[0] else ()
-                if s > 0 or name != key_now:
-                    state = None
-                key_now = name
-                out, state = make(part, state)
-                yield out
+                state = state if s == 0 and last == (keys[0],) else None
+                last = (keys[s],)
+                found, state = make([c[s:e] for c in columns], state)
+                for out, x in zip(made, found, strict=True):
+                    out.append(np.asarray(x, float))
+            arrays = [pa.array(np.concatenate(x) if x else np.zeros(0), pa.float64(), from_pandas=True) for x in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *adds])
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(task, schema)
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), *(f"`{n}` double" for n in adds)])
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(task, schema)
 
 
 def with_macd(df: DataFrame, line: str, signal: str, x: str, fast: float, slow: float, smooth: float, key: str = "pair", order: str = "ts_ms") -> DataFrame:
@@ -126,19 +133,19 @@ def with_macd(df: DataFrame, line: str, signal: str, x: str, fast: float, slow:
     A mean is y = y before * (1 - alpha) + x * alpha, from the first value on; a row without a value keeps what was.
     """
 
-    def make(pdf, state):
-        f, s, m = state or (None, None, None)
+    def make(columns, state):
+        f, s, m = state or (math.nan, math.nan, math.nan)
         lines, signals = [], []
-        for v in pdf[x].tolist():
-            if v is not None and v == v:
-                f = v if f is None else f * (1 - fast) + v * fast
-                s = v if s is None else s * (1 - slow) + v * slow
-                m = f - s if m is None else m * (1 - smooth) + (f - s) * smooth
-            lines.append(None if f is None else f - s)
+        for v in columns[0].tolist():
+            if v == v:
+                f = v if f != f else f * (1 - fast) + v * fast
+                s = v if s != s else s * (1 - slow) + v * slow
+                m = f - s if m != m else m * (1 - smooth) + (f - s) * smooth
+            lines.append(f - s)
             signals.append(m)
-        return pdf.assign(**{line: lines, signal: signals}), (f, s, m)
+        return [lines, signals], (f, s, m)
 
-    return ordered_pass(df, key, order, make, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{line}` double, `{signal}` double"]))
+    return ordered_pass(df, key, order, [x], [line, signal], make)
 
 
 def with_fractional_differences(df: DataFrame, columns: dict[str, str], key: str = "pair", order: str = "ts_ms", d: float = 0.4, tiny: float = 1e-5, most: int = 500) -> DataFrame:
@@ -150,48 +157,43 @@ def with_fractional_differences(df: DataFrame, columns: dict[str, str], key: str
 
     weights = np.array(difference_weights(d, tiny, most))
 
-    def make(pdf, state):
-        last = state or {}
-        out, now = pdf.copy(), {}
-        for name, column in columns.items():
-            x = np.concatenate([last.get(name, np.zeros(0)), pdf[column].to_numpy("float64", na_value=np.nan)])
+    def make(arrays, state):
+        last = state or [np.zeros(0)] * len(arrays)
+        out, now = [], []
+        for before, new in zip(last, arrays, strict=True):
+            x = np.concatenate([before, new])
             full = np.convolve(x, weights, "valid") if len(x) >= len(weights) else np.zeros(0)
             if np.isnan(full).any():
                 holes = np.convolve(np.isnan(x), np.ones(len(weights)), "valid") > 0.5
                 full = np.where(holes, np.nan, np.convolve(np.nan_to_num(x), weights, "valid"))
-            out[name] = np.concatenate([np.full(max(0, len(pdf) - len(full)), np.nan), full[-len(pdf) :] if len(full) else full])
-            now[name] = x[-(len(weights) - 1) :]
+            out.append(np.concatenate([np.full(max(0, len(new) - len(full)), np.nan), full[-len(new) :] if len(full) else full]))
+            now.append(x[-(len(weights) - 1) :])
         return out, now
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), *(f"`{n}` double" for n in columns)])
-    made = ordered_pass(df, key, order, make, schema)
-    return made.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in columns})
+    return ordered_pass(df, key, order, list(columns.values()), list(columns), make)
 
 
 def with_expanding_quantiles(df: DataFrame, x: str, quantiles: dict[str, float], key: str = "pair", order: str = "ts_ms") -> DataFrame:
     """df with exact quantiles, linear between neighbours, of all values of x up to each row; nulls are no values.
 
-    One pass in order that carries the key's values, sorted: exact quantiles of a growing past need all of it.
+    One pass in order that carries the key's values, sorted, as exact quantiles of a growing past need all of it: 8 bytes a
+    value. expanding_quantiles_by_rank is for keys of which one task can't hold the values.
     """
     import bisect
 
-    def make(pdf, state):
+    def make(columns, state):
         past = state or []
-        out = pdf.copy()
-        found = {n: [] for n in quantiles}
-        for v in pdf[x].tolist():
-            if v is not None and v == v:
+        found: list[list[float]] = [[] for _ in quantiles]
+        for v in columns[0].tolist():
+            if v == v:
                 bisect.insort(past, v)
-            for n, q in quantiles.items():
+            for out, q in zip(found, quantiles.values(), strict=True):
                 at = q * (len(past) - 1)
                 low = int(at)
-                found[n].append(past[low] + (past[min(low + 1, len(past) - 1)] - past[low]) * (at - low) if past else None)
-        for n, values in found.items():
-            out[n] = values
-        return out, past
+                out.append(past[low] + (past[min(low + 1, len(past) - 1)] - past[low]) * (at - low) if past else math.nan)
+        return found, past
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), *(f"`{n}` double" for n in quantiles)])
-    return ordered_pass(df, key, order, make, schema)
+    return ordered_pass(df, key, order, [x], list(quantiles), make)
 
 
 def percentile_rank(x: Column, w: WindowSpec, n: int = 120, least: int = 20) -> Column:

@@ -159,12 +159,25 @@ def trade_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_TR}, g AS (SELECT *, exp(sum(ln(1 + ret)) OVER w) AS growth FROM tr WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY pair ORDER BY day ROWS UNBOUNDED PRECEDING)), d AS (SELECT *, growth / max(growth) OVER (PARTITION BY pair ORDER BY day ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM g),
     a AS (SELECT pair, count(*) AS n, avg(ret) - 0.04::DOUBLE / 252 AS ex, stddev_samp(ret) AS s, stddev_samp(ret) FILTER (ret < 0) AS sd, min(dd) AS max_drawdown, pow(exp(sum(ln(1 + ret))), 252.0::DOUBLE / count(*)) - 1 AS annual_return, quantile_cont(ret, 0.05) AS var_5 FROM d GROUP BY pair)
-    SELECT pair, n, round(annual_return, 6) + 0.0 AS annual_return, round(s * sqrt(252), 6) AS volatility, round(ex / s * sqrt(252), 6) + 0.0 AS sharpe, round(ex / sd * sqrt(252), 6) + 0.0 AS sortino, round(annual_return / -max_drawdown, 6) + 0.0 AS calmar, round(max_drawdown, 6) AS max_drawdown, round(var_5, 6) AS var_5 FROM a"""
+    SELECT pair, n, round(annual_return, 6) + 0.0 AS annual_return, round(s * sqrt(252), 6) AS volatility, round(ex / s * sqrt(252), 6) + 0.0 AS sharpe, round(ex / sd * sqrt(252), 6) + 0.0 AS sortino, round(annual_return / -max_drawdown, 6) + 0.0 AS calmar, round(max_drawdown, 6) AS max_drawdown, round(var_5, 6) AS var_5, round((SELECT avg(ret) FROM d WHERE d.pair = a.pair AND ret <= a.var_5), 6) AS shortfall_5 FROM a"""
 )
 def risk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.performance(returns(spark, sf_dir), ["pair"], "day"))
 
 
+@query(
+    f"""WITH {_TR}, p AS (SELECT pair, day, ret AS actual, sign(lag(ret) OVER (PARTITION BY pair ORDER BY day))::DOUBLE AS position FROM tr WHERE ret IS NOT NULL), s AS (SELECT *, position * actual AS strategy, coalesce(abs(position - lag(position) OVER (PARTITION BY pair ORDER BY day)), 0) AS t FROM p WHERE position IS NOT NULL)
+    SELECT pair, count(*) AS n, round(CASE WHEN bool_or(strategy = -1) THEN 0 ELSE pow(-1, count(*) FILTER (strategy < -1) % 2) * exp(sum(ln(nullif(abs(1 + strategy), 0)))) END - 1, 6) + 0.0 AS total_profit, round(exp(sum(ln(1 + actual))) - 1, 6) + 0.0 AS buy_and_hold, round(avg(strategy - actual) / stddev_samp(strategy - actual) * sqrt(252), 6) + 0.0 AS information_ratio,
+      round(avg(t), 6) AS turnover, round(avg((position > 0)::INT) * 100, 6) AS long_pct, round(avg((position < 0)::INT) * 100, 6) AS short_pct, round(avg((position = 0)::INT) * 100, 6) AS flat_pct FROM s GROUP BY pair"""
+)
+def strategy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strategy that follows the last return's sign against holding."""
+    r = returns(spark, sf_dir).where("ret is not null")
+    position = F.signum(F.lag("ret").over(ts.series(order="day")))
+    days = r.select("pair", "day", F.col("ret").alias("actual"), position.alias("position")).where("position is not null").withColumn("strategy", F.col("position") * F.col("actual"))
+    return rounded(portfolio.strategy_metrics(days, ["pair"], "day"))
+
+
 @query(
     f"""WITH {_TR}, a AS (SELECT pair, count(*) AS n, count(*) FILTER (ret > 0) AS w, count(*) FILTER (ret < 0) AS l, avg(ret) FILTER (ret > 0) AS aw, avg(-ret) FILTER (ret < 0) AS al, avg(ret) AS m, var_samp(ret) AS v FROM tr WHERE ret IS NOT NULL GROUP BY pair), k AS (SELECT *, w::DOUBLE / n AS p, aw / al AS b FROM a), d AS (SELECT *, greatest((p * b - (1 - p)) / b, 0.0) AS kd, greatest(m / v, 0.0) AS kc FROM k)
     SELECT pair, round(p, 6) AS win_rate, round(b, 6) AS payoff_ratio, round(kd, 6) AS kelly_discrete, round(kc, 6) AS kelly_continuous, round(greatest(0.01::DOUBLE, least(0.25::DOUBLE, (kd + kc) / 2 * 0.5)), 6) AS fractional_kelly FROM d"""

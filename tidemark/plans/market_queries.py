@@ -135,6 +135,25 @@ def market_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.groupBy("day").agg(*market.breadth(r)))
 
 
+@query(
+    f"""WITH {BARS_SQL}, e AS (SELECT *, max(high) OVER w AS top, min(low) OVER w AS bottom FROM bars WINDOW w AS (PARTITION BY pair ORDER BY day RANGE BETWEEN INTERVAL 364 DAY PRECEDING AND CURRENT ROW))
+    SELECT day, count(*) FILTER (close >= (1 - 0.3::DOUBLE) * top) AS near_52w_high, count(*) FILTER (close <= (1 + 0.3::DOUBLE) * bottom) AS near_52w_low FROM e GROUP BY day"""
+)
+def market_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs close near the highest high or lowest low of their year."""
+    return market.with_extremes(daily_bars(spark, sf_dir), 0.3).groupBy("day").agg(*market.extremes())
+
+
+@query(
+    f"""WITH {BARS_SQL}, r AS (SELECT pair, day, close, ln(close / lag(close) OVER w) * 100 AS r, row_number() OVER (PARTITION BY pair ORDER BY day DESC) AS k FROM bars WINDOW w AS (PARTITION BY pair ORDER BY day)),
+    g AS (SELECT pair, count(*) AS bars, arg_max(close, day) AS last, arg_min(close, day) FILTER (k <= 60) AS first, stddev_pop(r) FILTER (k < 252) * sqrt(252) AS volatility FROM r WHERE k <= 252 GROUP BY pair), c AS (SELECT *, (last - first) / first * 100 AS change FROM g)
+    SELECT pair, bars, round(change, 6) AS change, CASE WHEN change > 2 THEN 'BULLISH' WHEN change < -2 THEN 'BEARISH' ELSE 'SIDEWAYS' END AS trend, round(volatility, 6) AS volatility, CASE WHEN volatility > 15 THEN 'HIGH' WHEN volatility > 8 THEN 'MODERATE' ELSE 'LOW' END AS level FROM c"""
+)
+def market_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend and volatility labels of each pair's last bars."""
+    return rounded(market.trends(daily_bars(spark, sf_dir)))
+
+
 @query(
     """WITH o AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'PE' ELSE 'CE' END AS side, l_shipdate, l_quantity FROM lineitem), r AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS expiry, sum(l_quantity) FILTER (side = 'PE') AS pe, sum(l_quantity) FILTER (side = 'CE') AS ce FROM o GROUP BY 1)
     SELECT expiry, round(pe / nullif(ce, 0), 6) AS ratio, CASE WHEN pe / nullif(ce, 0) > 1.3 THEN 'EXTREME_FEAR' WHEN pe / nullif(ce, 0) > 1.0 THEN 'BEARISH' WHEN pe / nullif(ce, 0) > 0.7 THEN 'NEUTRAL' WHEN pe / nullif(ce, 0) > 0.5 THEN 'BULLISH' ELSE 'EXTREME_GREED' END AS regime FROM r"""

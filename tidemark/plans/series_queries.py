@@ -94,11 +94,25 @@ _V1 = f"""{BARS_SQL}, v1 AS (SELECT *, ln(close / lag(close) OVER w) AS r, ln(op
   v7 AS (SELECT *, {_roll('avg(@)', 'CASE WHEN vix_proxy_change > 0 THEN vix_proxy_change ELSE 0.0 END', 14)} AS gain, {_roll('avg(@)', 'CASE WHEN vix_proxy_change < 0 THEN -vix_proxy_change ELSE 0.0 END', 14)} AS loss FROM v6)"""
 
 
-@query(f"WITH {_V1} SELECT pair, day, {_r(' '.join(n for n in ohlc.VOLATILITY if n != 'vix_proxy_rsi'))}, round(CASE WHEN loss > 0 THEN 100 - 100 / (1 + gain / loss) END, 6) + 0.0 AS vix_proxy_rsi FROM v7")
+_VOLATILITY_SQL = f"WITH {_V1} SELECT pair, day, {_r(' '.join(n for n in ohlc.VOLATILITY if n != 'vix_proxy_rsi'))}, round(CASE WHEN loss > 0 THEN 100 - 100 / (1 + gain / loss) END, 6) + 0.0 AS vix_proxy_rsi FROM v7"
+
+
+@query(_VOLATILITY_SQL)
 def ohlc_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ohlc.volatility_features(daily_bars(spark, sf_dir)).drop("ts_ms", "open", "high", "low", "close", "volume"))
 
 
+_EWMA_VOL = f"""WITH {BARS_SQL}, r AS (SELECT pair, day, ln(close / lag(close) OVER ({_W})) AS r FROM bars), l AS (SELECT pair, day, list(r) FILTER (r IS NOT NULL) OVER ({_W} ROWS BETWEEN 320 PRECEDING AND CURRENT ROW) AS l FROM r),
+  w AS (SELECT pair, day, l, list_transform(l, lambda x, i: pow(19.0::DOUBLE / 21, len(l) - i)) AS w FROM l), m AS (SELECT *, list_sum(w) AS sw, list_sum(list_transform(w, lambda x: x * x)) AS sw2, list_sum(list_transform(l, lambda x, i: x * w[i])) / list_sum(w) AS mean FROM w)
+  SELECT pair, day, CASE WHEN len(l) > 1 THEN round(sqrt(list_sum(list_transform(l, lambda x, i: pow(x - mean, 2) * w[i])) / (sw - sw2 / sw)), 6) + 0.0 END AS vol_ewma FROM m"""
+
+
+@query(f"SELECT pair, day, {', '.join(ohlc.CONTRACT)} FROM ({_STANDARD_SQL}) s JOIN ({_VOLATILITY_SQL}) v USING (pair, day) JOIN ({_EWMA_VOL}) e USING (pair, day)")
+def feature_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns in their order, for every bar."""
+    return rounded(ohlc.contract_features(daily_bars(spark, sf_dir)).drop("ts_ms", "open", "high", "low", "close", "volume"), exact=("hl_spread",))
+
+
 _FD = f"list_sum(list_transform(range(1, 501), lambda i: l[500 - i + 1] * wts[i]))"
 
 
