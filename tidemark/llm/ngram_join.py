@@ -252,15 +252,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadca
 def met(rows: DataFrame) -> DataFrame:
     """(gram, node, pivot, other): the sets of each n-gram that prefixes of different sets share, with the least and greatest of them.
 
-    An n-gram that is not among the common ones has fewer rows than the least of those, of which there are many, so it comes
+    N-grams with the same sets are one: gram is a hash over those. An n-gram that is not among the common ones has fewer rows than the least of those, of which there are many, so it comes
     to one task; the common ones are combined before the shuffle and joined with their two pivots.
     """
     keyed = rows.select("node", F.explode("prefix").alias("gram"))
     one = Window.partitionBy("gram")
-    rare = keyed.where("gram >= 0").withColumns({"pivot": F.min("node").over(one), "other": F.max("node").over(one)}).where("pivot != other")
+    mark = F.bit_xor(F.xxhash64("node"))
+    rare = keyed.where("gram >= 0").withColumns({"pivot": F.min("node").over(one), "other": F.max("node").over(one), "mark": mark.over(one), "k": F.count("*").over(one)}).where("pivot != other")
     common = keyed.where("gram < 0").distinct()
-    ends = common.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other")
-    return keep(rare.select("gram", "node", "pivot", "other").distinct().unionByName(common.join(ends, "gram").select("gram", "node", "pivot", "other")))
+    ends = common.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("other"), mark.alias("mark"), F.count("*").alias("k")).where("pivot != other")
+    same = lambda df: df.select(F.xxhash64("mark", "k", "pivot", "other").alias("gram"), "node", "pivot", "other").distinct()
+    return keep(same(rare).unionByName(same(common.join(ends, "gram"))))
 
 
 def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadcast, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
