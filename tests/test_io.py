@@ -34,6 +34,12 @@ def test_stream_of_csv_and_upserts(spark, tmp_path):
             (source / "b.csv").write_text(rows)
         streams.upsert_stream(stream, str(table), "k", "t", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
     assert {r.k: r.v for r in spark.read.parquet(f"{table}/v1").collect()} == {1: "z", 2: "y", 3: "w"}
+    assert {r.k: r.v for r in streams.current_version(spark, str(table)).collect()} == {1: "z", 2: "y", 3: "w"}
+    for k in range(3):
+        (source / f"c{k}.csv").write_text(f"9,{k},u{k}\n")
+        streams.upsert_stream(stream, str(table), "k", "t", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    assert streams.current_version(spark, str(table)).where("k = 9").head().v == "u2"
+    assert sorted(x.name for x in table.iterdir() if not x.name.startswith(".")) == ["current", "v3", "v4"]
 
 
 def test_stateful_stream_equals_batch(spark, tmp_path):

@@ -238,7 +238,7 @@ def merged(parts: list[str], size: int, overlap: int) -> list[str]:
 
 
 def sentiment_parts(text: Column) -> Column:
-    """The first 450 words' worth of characters and as many from the middle, for a model with a short input."""
+    """The first 450 characters and as many from the middle, for a model with a short input."""
     n = F.char_length(text)
     return F.when(n > 900, F.array(F.left(text, F.lit(450)), F.substring(text, (n / 2).cast("int") - 224, F.lit(450)))).otherwise(F.array(F.left(text, F.lit(450))))
 
@@ -258,6 +258,3 @@ def similarity(a: str, b: str) -> float:
         m = masks.get(c, 0)
         v = ((v + (v & m)) | (v & ~m)) & full
     return 2 * (len(b) - v.bit_count()) / (len(a) + len(b))
-
-
-WORD = re.compile(r"\w+")

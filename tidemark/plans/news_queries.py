@@ -211,7 +211,14 @@ def dimension_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(b, "name").select("part", "key", "parts")
 
 
-@query()
+@query(
+    """WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT p_type AS label, min(p_partkey) AS key FROM part GROUP BY 1),
+    lw AS (SELECT name, unnest(list_distinct([w FOR w IN regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+') IF length(w) > 2])) AS w FROM n UNION ALL SELECT DISTINCT name, '#' || unnest(regexp_extract_all(upper(name), '[0-9]{2}[A-Z]{2}[0-9]{2}')) FROM n),
+    rw AS (SELECT key, label, unnest(list_distinct([w FOR w IN regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+') IF length(w) > 2])) AS w FROM t UNION ALL SELECT DISTINCT key, label, '#' || unnest(regexp_extract_all(upper(label), '[0-9]{2}[A-Z]{2}[0-9]{2}')) FROM t),
+    j AS (SELECT name, key, label, count(*) FILTER (NOT starts_with(w, '#')) AS shared, count(*) FILTER (starts_with(w, '#')) AS codes FROM lw JOIN rw USING (w) GROUP BY ALL),
+    c AS (SELECT name, key, CASE WHEN contains(lower(label), lower(name)) OR contains(lower(name), lower(label)) THEN 1 WHEN shared >= 2 THEN 2 WHEN codes > 0 THEN 3 END AS tier FROM j),
+    b AS (SELECT name, key, tier::INTEGER AS tier FROM c WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY tier, key) = 1) SELECT name, key, tier FROM n LEFT JOIN b USING (name)"""
+)
 def dimension_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' nations against region names in free text, by the three tiers of the fuzzy match."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import ohlc, timeseries as ts
+from ..operators import ohlc, ranks, timeseries as ts
 from ..sources.tables import BARS_SQL, daily_bars, table
 from .registry import query, rounded
 
@@ -156,6 +156,12 @@ def expanding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ts.with_expanding_quantiles(df, "ret", {"p5": 0.05, "p95": 0.95}, order="day"))
 
 
+@query(f"WITH {BARS_SQL} SELECT pair, day, round(quantile_cont(close, 0.1) OVER w, 8) AS p10, round(quantile_cont(close, 0.5) OVER w, 8) AS p50, round(quantile_cont(close, 0.9) OVER w, 8) AS p90 FROM bars WINDOW w AS ({_W} ROWS UNBOUNDED PRECEDING)")
+def expanding_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of each pair's closes so far, by ranks that many tasks count."""
+    return rounded(ranks.expanding_quantiles_by_rank(daily_bars(spark, sf_dir), "close", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, order="day"), exact=("p10", "p50", "p90"))
+
+
 @query(
     f"""WITH {BARS_SQL}, m AS (SELECT pair, day, close, volume, CASE WHEN day(day) % 5 = 0 THEN NULL ELSE close END AS gap, row_number() OVER ({_W}) AS n, count(*) OVER (PARTITION BY pair) AS total FROM bars),
     g AS (SELECT *, last_value(gap IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS filled FROM m)

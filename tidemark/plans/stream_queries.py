@@ -42,7 +42,11 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(streams.distinct_within(event_stream(spark, sf_dir), "ts", ["user_id", "event_type"], "60 days")).select("user_id", "event_type")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), s AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, k)
+    SELECT start, "end", user_id, n FROM s WHERE "end" <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 2 HOUR"""
+)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session windows by user."""
     return streams.drain(streams.sessions(event_stream(spark, sf_dir), "ts", "user_id", "6 hours"))

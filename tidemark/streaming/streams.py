@@ -87,13 +87,28 @@ def online_models(stream: DataFrame) -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """Keeps a table of the latest row a key: each batch merges into a new version, and the pointer file names the current one."""
+    """Keeps a table of the latest row a key: each batch merges into a new version v<number>, then the file `current` names it.
+
+    Readers use `current_version`. The version before stays for readers that have just looked it up; older ones go. A batch
+    that is repeated after a failure writes its version again, from the same one before it.
+    """
     spark = stream.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def merge(batch: DataFrame, number: int) -> None:
         before = f"{path}/v{number - 1}"
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        stored = batch.sparkSession.read.parquet(before) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)) else batch.limit(0)
+        stored = batch.sparkSession.read.parquet(before) if fs.exists(hadoop.Path(before)) else batch.limit(0)
         upsert(stored, batch, key, order).write.mode("overwrite").parquet(f"{path}/v{number}")
+        out = fs.create(hadoop.Path(f"{path}/current"), True)
+        out.writeBytes(f"v{number}")
+        out.close()
+        fs.delete(hadoop.Path(f"{path}/v{number - 2}"), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def current_version(spark: SparkSession, path: str) -> DataFrame:
+    """The table that upsert_stream's file `current` names."""
+    name = spark.read.text(f"{path}/current").head()[0]
+    return spark.read.parquet(f"{path}/{name}")
