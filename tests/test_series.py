@@ -123,8 +123,12 @@ def test_prices_on_the_curve_of_the_day(spark):
     flat = bonds.priced(bonds.cash_flows(known, F.lit("2024-01-15").cast("date")), ["bond"], F.lit(0.05)).collect()
     assert [got[1], got[2]] == pytest.approx([r.price for r in sorted(flat, key=lambda r: r.bond)])
     assert got[4] == pytest.approx(100 / 1.01 ** (364 / 365.25)) and [got[k] for k in (3, 5, 6, 7)] == [None] * 4
-    at = spark.createDataFrame([(t,) for t in (0.1, 1.0, 1.5, 2.0, 9.0)], "t double").select("t", bonds.curve_at(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)), F.array(F.lit(1.0), F.lit(3.0), F.lit(4.0)), F.col("t")).alias("y"))
-    assert {r.t: r.y for r in at.collect()} == {0.1: 1.0, 1.0: 1.0, 1.5: 2.0, 2.0: 3.0, 9.0: 4.0}
+    knots = np.cumsum(np.random.default_rng(5).uniform(0.1, 1, 127))
+    for n in (1, 2, 3, 64, 127):
+        ms, ys = knots[:n].tolist(), np.sin(knots[:n]).tolist()
+        asked = [0.0, *ms, *(np.array(ms) + 0.05).tolist(), 1e3]
+        at = spark.createDataFrame([(ms, ys, t) for t in asked], "ms array<double>, ys array<double>, t double")
+        assert [r.y for r in bonds.with_curve_yield(at, "ms", "ys", "t", "y").collect()] == pytest.approx(np.interp(asked, ms, ys).tolist())
     assert "NestedLoop" not in bonds.priced_on_days(trades, known, curves, ["trade"])._jdf.queryExecution().toString()
 
 

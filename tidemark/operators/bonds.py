@@ -131,17 +131,21 @@ def linear(curve: Column, t: Column) -> Column:
     return F.when(F.size(F.filter(curve, lambda p: p["m"] <= t)) == 0, F.get(curve, F.lit(0))["y"]).when(F.size(F.filter(curve, lambda p: p["m"] >= t)) == 0, F.element_at(curve, -1)["y"]).otherwise(inside)
 
 
-def curve_at(ms: Column, ys: Column, t: Column) -> Column:
-    """Linear interpolation of t between the knots ms (rising) with the yields ys; flat outside. The knot is found by halving."""
-    ends = F.struct(F.lit(-1).alias("lo"), F.size(ms).alias("hi"))
+#: Knots of the longest curve that is searched.
+KNOTS = 127
 
-    def halve(a: Column, _: Column) -> Column:
-        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        over = F.get(ms, mid) > t
-        return F.when(a["hi"] - a["lo"] <= 1, a).otherwise(F.struct(F.when(over, a["lo"]).otherwise(mid).alias("lo"), F.when(over, mid).otherwise(a["hi"]).alias("hi")))
 
-    lo = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(ms) + 1)).cast("int")), ends, halve, lambda a: a["lo"])
-    return F.transform(F.array(lo), lambda k: _between(ms, ys, k, t))[0]
+def with_curve_yield(df: DataFrame, ms: str, ys: str, t: str, out: str) -> DataFrame:
+    """df with the linear interpolation of t between the knots ms (rising, up to KNOTS) with the yields ys; flat outside.
+
+    The last knot at or before t is found by halving steps, one projection each, so that all of it compiles: a lambda over
+    the knots would be interpreted for every row.
+    """
+    lo = F.col("__lo")
+    df = df.withColumn("__lo", F.when(F.size(ms) > KNOTS, F.raise_error(F.lit(f"a curve has over {KNOTS} knots")).cast("int")).otherwise(F.lit(-1)))
+    for step in (64, 32, 16, 8, 4, 2, 1):
+        df = df.withColumn("__lo", F.when(F.get(ms, lo + step) <= F.col(t), lo + step).otherwise(lo))
+    return df.withColumn(out, _between(F.col(ms), F.col(ys), lo, F.col(t))).drop("__lo")
 
 
 def _between(ms: Column, ys: Column, k: Column, t: Column) -> Column:
@@ -158,8 +162,7 @@ def priced_on_days(trades: DataFrame, bonds: DataFrame, curves: DataFrame, key:
     or the curve under two knots.
     """
     flows = cash_flows(trades.join(bonds, "bond").join(curves.where(F.size("ms") > 1), "day"), F.col("day"), frequency)
-    y = curve_at(F.col("ms"), F.col("ys"), F.col("years"))
-    flows = flows.select(*key, "amount", "years", y.alias("y")).withColumn("y", F.when(F.col("y") > 0, F.col("y")).otherwise(0.01))
+    flows = with_curve_yield(flows, "ms", "ys", "years", "y").select(*key, "amount", "years", "y").withColumn("y", F.when(F.col("y") > 0, F.col("y")).otherwise(0.01))
     value = flows.groupBy(*key).agg(F.sum(F.col("amount") / F.pow(1 + F.col("y"), F.col("years"))).alias("price"))
     return trades.join(value, key, "left")
 
