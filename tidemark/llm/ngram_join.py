@@ -16,9 +16,11 @@ from .components import components
 from .shingles import SKETCH, sketch
 
 SHINGLE, PERCENT, SEED = 5, 80, 42
-#: So many of the most common n-grams are put last in the global order. It bounds what the driver gets and tasks are sent
+#: Up to so many of the most common n-grams are put last in the global order. It bounds what the driver gets and tasks are sent
 #: (16 bytes each); the order decides how many sets meet, never which of them link.
-COMMON = 1 << 16
+COMMON = 1 << 20
+#: Node ids combined with these choose more pivots: the least of each.
+MORE = tuple(0x5851F42D4C957F2D * k % (1 << 62) for k in range(1, 9))
 #: Sets and n-grams of a trie, about.
 SETS, GRAMS = 256, 1 << 21
 #: Up to so many texts to compare, their ids are broadcast to find them; more are found by a shuffle of the texts.
@@ -71,7 +73,8 @@ def ngrams(texts: list[bytes | None], words: Words, shingle: int = SHINGLE) -> l
 def common_ngrams(docs: DataFrame, text_col: str = "text", most: int = COMMON, shingle: int = SHINGLE) -> np.ndarray:
     """Up to `most` n-grams that occur most often, the commonest last, by counts over all documents.
 
-    A task counts an n-gram of a batch only if it meets it twice there; that may put a rare one in another's place.
+    A task counts an n-gram of a batch only if it meets it twice there; that may put a rare one in another's place. Where
+    there are more than `most`, those from some count on are taken, by a tally of the counts' sizes.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +85,16 @@ def common_ngrams(docs: DataFrame, text_col: str = "text", most: int = COMMON, s
                 yield pa.RecordBatch.from_arrays([pa.array(grams[n > 1].view(np.int64)), pa.array(n[n > 1])], ["gram", "n"])
 
     counts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram").limit(most).collect()
-    return np.array([r["gram"] for r in reversed(top)], np.int64).view(np.uint64)
+    counts = keep(counts.withColumn("size", F.floor(8 * F.log2("n"))))
+    least, left = None, most
+    for size, n in sorted(map(tuple, counts.groupBy("size").count().collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = size
+    top = counts.where(F.col("size") >= least if least is not None else F.lit(False)).select("gram", "n").toArrow()
+    gram, n = (top.column(c).to_numpy() for c in ("gram", "n"))
+    return gram[np.lexsort((-gram, n))].view(np.uint64)
 
 
 class Order:
@@ -268,29 +279,20 @@ def met(rows: DataFrame) -> DataFrame:
 def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadcast, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Edges (u, v) between sets that connect exactly what pairs that are similar enough connect.
 
-    Similar sets share an n-gram of both prefixes. The sets of an n-gram are compared with two pivots of it: first each with
-    one pivot alone, then with those that are still in another component. What is then outside the first pivot's component is
-    compared with those of other components whose size and sketches allow it.
+    Similar sets share an n-gram of both prefixes. The sets of an n-gram are compared with its least and greatest, then,
+    where some are still outside the least one's component, with eight others. What is outside after that is compared with
+    all those of other components whose size and sketches allow it.
     """
     rest = (nodes, docs, order, id_col, text_col, shingle, percent)
     shared = met(rows)
     known = nodes.select("node", "n", "sketch")
-    stars = shared.select(F.explode(F.array("pivot", "other")).alias("u"), F.col("node").alias("v")).where("u != v")
-    stars = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    stars = stars.join(known.alias("a"), F.col("u") == F.col("a.node")).join(known.alias("b"), (F.col("v") == F.col("b.node")) & _alike("a", "b", percent))
-    stars = keep(possible(stars, nodes, percent))
-    edges = verified(stars.groupBy("v").agg(F.min("u").alias("u"), F.first("n").alias("n")).select("u", "v", "n"), *rest)
-    roots = keep(components(edges))
-    of = lambda c, to: roots.select(F.col("node").alias(c), F.col("root").alias(to))
-    left = stars.join(of("u", "x"), "u", "left").join(of("v", "y"), "v", "left").where(F.coalesce("x", "u") != F.coalesce("y", "v")).select("u", "v", "n")
-    edges = edges.unionByName(verified(left, *rest))
-    roots = keep(components(edges))
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    to = roots.select(F.col("node").alias("pivot"), F.col("root").alias("to"))
-    rooted = keep(rooted.join(to, "pivot", "left").withColumn("to", F.coalesce("to", "pivot")))
-    strays = rooted.where("root != to")
+    edges, roots = _starred(shared.select(F.explode(F.array("pivot", "other")).alias("u"), F.col("node").alias("v")), None, None, known, rest)
+    mixed = _mixed_grams(shared, roots)
+    ends = mixed.groupBy("gram").agg(F.array_distinct(F.array(*(F.min(F.col("node").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for c in MORE))).alias("ends"))
+    edges, roots = _starred(mixed.join(ends, "gram").select(F.explode("ends").alias("u"), F.col("node").alias("v")), edges, roots, known, rest)
+    mixed = _mixed_grams(mixed, roots)
     sizes = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).alias("class")
-    members = keep(rooted.join(strays.select("gram").distinct(), "gram").where("node != pivot and node != other").join(known, "node").select("gram", sizes, "node", "n", "sketch", "root", "to"))
+    members = keep(mixed.where("node != pivot and node != other").join(known, "node").select("gram", sizes, "node", "n", "sketch", "root", "to"))
     strays = members.where("root != to").withColumn("class", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))))
     first = (F.col("b.root") == F.col("b.to")) | (F.col("a.node") < F.col("b.node"))  # else the pair comes from the other side, too
     near = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & first & _alike("a", "b", percent)
@@ -299,6 +301,37 @@ def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadcast,
     return edges if more.isEmpty() else edges.unionByName(verified(more, *rest))
 
 
+def _rooted(df: DataFrame, roots: DataFrame, node: str, to: str) -> DataFrame:
+    """df with the root of a column's nodes; a node without an edge is its own."""
+    return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(to)), node, "left").withColumn(to, F.coalesce(to, node))
+
+
+def _mixed_grams(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of n-grams of which some sets are outside the first pivot's component, with their roots and that component's (to)."""
+    rooted = keep(_rooted(_rooted(shared.select("gram", "node", "pivot", "other"), roots, "node", "root"), roots, "pivot", "to"))
+    return rooted.join(rooted.where("root != to").select("gram").distinct(), "gram")
+
+
+def _starred(pairs: DataFrame, edges: DataFrame | None, roots: DataFrame | None, known: DataFrame, rest: tuple) -> tuple[DataFrame, DataFrame]:
+    """(edges, roots) with those of the pairs (u, v) added that link two components: first one pair of each v, then what is left."""
+    nodes, percent = rest[0], rest[-1]
+    apart = lambda df, roots: df if roots is None else _rooted(_rooted(df, roots, "u", "x"), roots, "v", "y").where("x != y").drop("x", "y")
+    pairs = pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = apart(pairs, roots)
+    pairs = pairs.join(known.alias("a"), F.col("u") == F.col("a.node")).join(known.alias("b"), (F.col("v") == F.col("b.node")) & _alike("a", "b", percent))
+    pairs = keep(possible(pairs, nodes, percent))
+    if pairs.isEmpty() and edges is not None:
+        return edges, roots
+    found = verified(pairs.groupBy("v").agg(F.min("u").alias("u"), F.first("n").alias("n")).select("u", "v", "n"), *rest)
+    edges = found if edges is None else edges.unionByName(found)
+    roots = keep(components(edges))
+    left = keep(apart(pairs, roots).select("u", "v", "n"))
+    if not left.isEmpty():
+        edges = edges.unionByName(verified(left, *rest))
+        roots = keep(components(edges))
+    return edges, roots
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs: component_id is the least id reachable over links.
 
