@@ -29,12 +29,12 @@ LAST = np.uint64(1 << 63)
 
 
 class Words(dict):
-    """64-bit hashes of words, remembered until there are a million of them."""
+    """64-bit hashes of words, remembered until there are 200,000 of them."""
 
     def learn(self, words: set[bytes]) -> None:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self.update((w, xxhash.xxh64_intdigest(w, SEED)) for w in words.difference(self))
 
