@@ -13,6 +13,10 @@ from .news_queries import as_articles
 from .registry import query, rounded
 
 
+#: Times in results, as text.
+MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream of files."""
     return streams.files(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -45,11 +49,12 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), s AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, k)
-    SELECT start, "end", user_id, n FROM s WHERE "end" <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 2 HOUR"""
+    SELECT strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime("end", '%Y-%m-%d %H:%M:%S.%f') AS "end", user_id, n FROM s WHERE "end" <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 2 HOUR"""
 )
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session windows by user."""
-    return streams.drain(streams.sessions(event_stream(spark, sf_dir), "ts", "user_id", "6 hours"))
+    found = streams.drain(streams.sessions(event_stream(spark, sf_dir), "ts", "user_id", "6 hours"))
+    return found.withColumns({n: F.date_format(n, MICROS) for n in ("start", "end")})
 
 
 @query()
@@ -60,13 +65,14 @@ def stream_title_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id, ts, n, round(mean, 6) AS mean, round(std, 6) AS std, round(low, 6) AS low, round(high, 6) AS high
+    """SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, n, round(mean, 6) AS mean, round(std, 6) AS std, round(low, 6) AS low, round(high, 6) AS high
     FROM (SELECT user_id, ts::TIMESTAMP AS ts, count(value) OVER w AS n, avg(value) OVER w AS mean, stddev(value) OVER w AS std, min(value) OVER w AS low, max(value) OVER w AS high FROM events
       WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW)) WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 DAY"""
 )
 def stream_interval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the three days before each event, by user, once the watermark has reached it."""
-    return rounded(streams.drain(stateful.interval_windows(event_stream(spark, sf_dir), "user_id", "ts", "value", 3 * stateful.DAY_MS)))
+    found = streams.drain(stateful.interval_windows(event_stream(spark, sf_dir), "user_id", "ts", "value", 3 * stateful.DAY_MS))
+    return rounded(found.withColumn("ts", F.date_format("ts", MICROS)))
 
 
 @query("SELECT user_id, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR DESC) = 1")
