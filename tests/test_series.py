@@ -160,6 +160,21 @@ def test_global_rank(spark):
     assert {r.id: r["rank"] for r in got} == {k: 1000 - k for k in range(1000)}
 
 
+def test_rank_quartiles_takes_equal_sums_as_ties(spark, tmp_path):
+    """Prices of which the sums as doubles depend on their order: customers with the same prices in other orders are equal."""
+    from itertools import permutations
+
+    from tidemark.plans import catalogue
+
+    rows = [(100 * c + k, c, p) for c, prices in enumerate(permutations([397024.82, 344118.66, 49235.09, 133745.38])) for k, p in enumerate(prices)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.customer: (r["rank"], r.score) for r in catalogue.QUERIES["rank_quartiles"](spark, str(tmp_path)).collect()}
+    assert got == {c: (c + 1, 924123.95) for c in range(24)}
+    odd = spark.createDataFrame([(1, float("nan")), (1, 1.0), (2, 1e300), (2, -1e300), (3, None), (4, 0.1), (4, 0.2), (4, None)], "k int, x double")
+    found = {r.k: r.s for r in odd.groupBy("k").agg(ranking.exact_sum(F.col("x")).alias("s")).collect()}
+    assert np.isnan(found.pop(1)) and found == {2: 0.0, 3: None, 4: 0.3}
+
+
 def test_category_pivot_fills_gaps(spark):
     df = spark.createDataFrame([("a", 1.0, "2024-01-30"), ("a", 2.0, "2024-01-20")], "category string, amount double, d string").withColumn("day", F.col("d").cast("date"))
     got = {r.category: tuple(r)[1:] for r in cashflow.category_by_week(df, ["a", "z"], F.lit("2024-01-30").cast("date")).collect()}

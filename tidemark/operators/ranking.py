@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_folder
 
 
+def exact_sum(x: Column, digits: int = 8) -> Column:
+    """Sum of doubles of up to `digits` decimals that no order of the rows changes, so that equal sums are ties.
+
+    Values that no decimal holds (not a number, infinite, over twenty whole digits) are added up as doubles."""
+    d = x.try_cast(f"decimal(28,{digits})")
+    return F.when(F.count(d) == F.count(x), F.coalesce(F.try_sum(d).cast("double"), F.sum(x))).otherwise(F.sum(x))
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with 1, 2, ... by `order`. Rows are dealt to range partitions and written, as a second sampling of the ranges could
     deal them otherwise; each partition needs the number of rows before it, one number a partition."""

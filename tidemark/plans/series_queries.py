@@ -223,10 +223,10 @@ def yield_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT customer, round(score, 2) AS score, rank, CASE WHEN rank - 1 < total // 4 THEN 'Q1' WHEN rank - 1 < total // 2 THEN 'Q2' WHEN rank - 1 < 3 * total // 4 THEN 'Q3' ELSE 'Q4' END AS quartile FROM n"""
 )
 def rank_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank by score and quartile by rank with whole-number limits. Scores come from an aggregation; the ranks of a global order are computed by range partitions, not in one task."""
-    from ..operators.ranking import global_rank
+    """Rank by score and quartile by rank with whole-number limits. Scores are exact sums, so that equal ones go by customer however the rows are dealt; the ranks of a global order are computed by range partitions, not in one task."""
+    from ..operators.ranking import exact_sum, global_rank
 
-    s = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.sum("o_totalprice").alias("score"))
+    s = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(exact_sum(F.col("o_totalprice")).alias("score"))
     n = global_rank(s, [F.col("score").desc(), F.col("customer").asc()], "rank")
     total = s.agg(F.count("*").alias("total"))
     q = F.when(F.expr("rank - 1 < total div 4"), "Q1").when(F.expr("rank - 1 < total div 2"), "Q2").when(F.expr("rank - 1 < 3 * total div 4"), "Q3").otherwise("Q4")
