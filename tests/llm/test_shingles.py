@@ -57,6 +57,24 @@ def test_pipeline_drops_copies_that_simhash_keeps(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == kept(texts)
 
 
+def test_stage_takes_fingerprints_first_and_checks_them(spark, monkeypatch):
+    """Covering hashing proposes pairs (made of fingerprints that differ in up to three bits), and sets under 0.8 stay apart."""
+    from tidemark.llm import ngram_join, simhash
+
+    texts = made()
+    near = [t for t in (simhash.fingerprint(t.encode(), 5) for t in texts) if t]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    proposed = []
+    whole = ngram_join.fingerprint_pairs
+    monkeypatch.setattr(ngram_join, "fingerprint_pairs", lambda *a: proposed.append(whole(*a)) or proposed[-1])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == kept(texts)
+    assert len(proposed) == 1 and proposed[0].count() >= len(near) - len(set(near))
+    far = ["a b c d e f g h", "a b c d e f g h h"]  # four of five shingles are 0.8; as fingerprints they may be any
+    monkeypatch.setattr(ngram_join, "fingerprint_pairs", lambda nodes, *_: nodes.alias("x").crossJoin(nodes.alias("y")).selectExpr("x.node AS u", "y.node AS v"))
+    rows = list(enumerate([*far, "a b c d e f g i", "p q r s t u v w"]))
+    assert sorted(r.doc_id for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 2, 3]
+
+
 def test_stage_takes_odd_rows(spark, odd, nothing):
     kept_odd = corpus_pipeline.near_duplicates(spark, odd, "")
     assert kept_odd.columns == odd.columns

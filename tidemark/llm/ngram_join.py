@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import in_arrow, keep, pieces
 from .components import components
 from .shingles import SKETCH, sketch
+from .simhash import fingerprints, links as near_fingerprints
 
 SHINGLE, PERCENT, SEED = 5, 80, 42
 #: Up to so many of the most common n-grams are put last in the global order. It bounds what the driver gets and tasks are sent
@@ -276,9 +277,11 @@ def met(rows: DataFrame) -> DataFrame:
     return keep(same(rare).unionByName(same(common.join(ends, "gram"))))
 
 
-def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadcast, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadcast, id_col: str, text_col: str, shingle: int, percent: int, proposed: DataFrame | None = None) -> DataFrame:
     """Edges (u, v) between sets that connect exactly what pairs that are similar enough connect.
 
+    Pairs (u, v) of sets that are proposed are compared first; what they connect needs no further comparison.
+
     Similar sets share an n-gram of both prefixes. The sets of an n-gram are compared with its least and greatest, then,
     where some are still outside the least one's component, with eight others. What is outside after that is compared with
     all those of other components whose size and sketches allow it.
@@ -286,7 +289,8 @@ def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadcast,
     rest = (nodes, docs, order, id_col, text_col, shingle, percent)
     shared = met(rows)
     known = nodes.select("node", "n", "sketch")
-    edges, roots = _starred(shared.select(F.explode(F.array("pivot", "other")).alias("u"), F.col("node").alias("v")), None, None, known, rest)
+    edges, roots = _starred(proposed, None, None, known, rest) if proposed is not None else (None, None)
+    edges, roots = _starred(shared.select(F.explode(F.array("pivot", "other")).alias("u"), F.col("node").alias("v")), edges, roots, known, rest)
     mixed = _mixed_grams(shared, roots)
     ends = mixed.groupBy("gram").agg(F.array_distinct(F.array(*(F.min(F.col("node").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for c in MORE))).alias("ends"))
     edges, roots = _starred(mixed.join(ends, "gram").select(F.explode("ends").alias("u"), F.col("node").alias("v")), edges, roots, known, rest)
@@ -341,13 +345,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     number, is null and never the least one; other columns, whatever their names, are ignored. N-grams are told apart by
     63 bits of hash, sets by 64.
     """
-    order = docs.sparkSession.sparkContext.broadcast(Order(common_ngrams(docs, text_col, common, shingle)))
-    found = keep(sets(docs, order, id_col, text_col, shingle, percent))
-    rows = found.where("node is not null")
-    nodes = keep(rows.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
-    roots = components(links(rows, nodes, docs, order, id_col, text_col, shingle, percent))
+    found, nodes, roots = _grouped(docs, id_col, text_col, shingle, percent, common, False)
     classes = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = keep(classes.join(least, "root").select("node", "component_id"))
     found = found.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(classes, "node", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, common: int, by_fingerprint: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of `sets`, nodes, roots): the sets of the documents, the different ones, and the root of each in a component of several."""
+    order = docs.sparkSession.sparkContext.broadcast(Order(common_ngrams(docs, text_col, common, shingle)))
+    found = keep(sets(docs, order, id_col, text_col, shingle, percent))
+    rows = found.where("node is not null")
+    nodes = keep(rows.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
+    proposed = fingerprint_pairs(nodes, docs, id_col, text_col, shingle) if by_fingerprint else None
+    return found, nodes, components(links(rows, nodes, docs, order, id_col, text_col, shingle, percent, proposed))
+
+
+def fingerprint_pairs(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Pairs (u, v) of sets whose texts' SimHash fingerprints link: of equal fingerprints all with the least set, which stands for it in links to others."""
+    prints = fingerprints(docs, id_col, text_col, shingle).select(F.col("th").alias("__th"), "fp").distinct()
+    prints = keep(nodes.select("node", F.col("rep.th").alias("__th")).join(prints, "__th").select("node", "fp"))
+    heads = prints.groupBy("fp").agg(F.min("node").alias("head"))
+    head = lambda fp, to: heads.select(F.col("fp").alias(fp), F.col("head").alias(to))
+    near = near_fingerprints(prints).toDF("a", "b").join(head("a", "u"), "a").join(head("b", "v"), "b").select("u", "v")
+    return prints.join(heads, "fp").select(F.col("head").alias("u"), F.col("node").alias("v")).where("u != v").unionByName(near)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
+    """One row of docs for each component of near-duplicates: that with the least id; of several, the one whose text has the least hash.
+
+    Covering hashing of SimHash fingerprints proposes pairs, the n-gram sets decide, and the join finds the links that
+    fingerprints miss. Texts without words count as equal. A row with a null id stays only if its whole component has null
+    ids. Rows that repeat id and text count as one.
+    """
+    found, _, roots = _grouped(docs, id_col, text_col, shingle, percent, common, True)
+    rooted = found.select("doc_id", "th", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")).alias("k"))
+    chosen = keep(chosen.select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th")))
+    same = F.col(id_col).try_cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
+    kept = docs.join(chosen, same).dropDuplicates(["__id", "__th"])
+    return kept.select(*(F.col(f"`{n}`") for n in docs.columns))

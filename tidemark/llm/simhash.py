@@ -25,15 +25,15 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(BITS) if bin(v & (i % n + 1)).count("1") % 2) for v in range(1, n + 1)]
 
 
-def fingerprint(text: bytes | None) -> int:
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of the word shingles of a UTF-8 text; 0 without words."""
     import xxhash
 
     words = (text or b"").lower().split()  # on bytes: lowers A-Z only, splits at the six ASCII spaces
     if not words:
         return 0
-    whole = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))
-    total, step = max(1, len(words) - SHINGLE + 1), 1 << 14
+    whole = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+    total, step = max(1, len(words) - shingle + 1), 1 << 14
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in whole), np.uint64, total)
     set_ = np.zeros(BITS, np.int64)
     for at in range(0, total, step):
@@ -42,11 +42,11 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * set_ > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, th, fp): th hashes the text, fp is the fingerprint's 64 bits as a signed long. Null texts have no words."""
 
     def make(cols):
-        prints = np.array([fingerprint(t) for t in cols["text"].to_pylist()], np.uint64)
+        prints = np.array([fingerprint(t, shingle) for t in cols["text"].to_pylist()], np.uint64)
         return {"doc_id": cols["doc_id"], "th": cols["th"], "fp": pa.array(prints.view(np.int64))}
 
     rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
