@@ -255,4 +255,4 @@ def _without_hits(docs: DataFrame, block: Units, text_col: str) -> DataFrame:
         bad = {t for t, _, _ in search(texts, shared.value)}
         return [t not in bad for t in range(len(texts))]
 
-    return keep_rows(docs, text_col, judge)
+    return keep_rows(docs, text_col, judge, 2 << 20)  # a search holds several numbers for each byte
