@@ -160,6 +160,27 @@ def test_global_rank(spark):
     assert {r.id: r["rank"] for r in got} == {k: 1000 - k for k in range(1000)}
 
 
+def test_yields_are_halved_by_batches(spark):
+    """No lambda is interpreted row by row; odd values give what the halving of single values gives."""
+    rows = [(95.0, 100.0, 0.05, 7.3), (250.0, 100.0, 0.05, 7.3), (1.0, 100.0, 0.05, 7.3), (95.0, 100.0, 0.05, 0.3), (None, 100.0, 0.05, 7.3), (95.0, 100.0, 0.05, None), (95.0, 0.0, 0.0, 30.0)]
+    df = spark.createDataFrame(rows, "price double, face double, c double, years double")
+    df = df.select(bonds.yield_to_maturity(*map(F.col, df.columns)).alias("y"))
+    assert "lambda" not in df._jdf.queryExecution().toString()
+
+    def single(p, f, c, t):
+        if t is not None and int(t * 2) <= 0:
+            return c
+        lo, hi = 0.0, 0.5
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            v = (1 + mid / 2) ** -int((t or 0) * 2)
+            over = None not in (p, t) and f * c / 2 * (1 - v) / (mid / 2) + f * v > p
+            lo, hi = (mid, hi) if over else (lo, mid)
+        return (lo + hi) / 2
+
+    assert [r.y for r in df.collect()] == pytest.approx([single(*r) for r in rows], abs=1e-12)
+
+
 def test_rank_quartiles_takes_equal_sums_as_ties(spark, tmp_path):
     """Prices of which the sums as doubles depend on their order: customers with the same prices in other orders are equal."""
     from itertools import permutations

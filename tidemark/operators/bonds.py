@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,16 +85,26 @@ def annuity_price(face: Column, coupon_rate: Column, years: Column, y: Column, f
 
 
 def yield_to_maturity(price: Column, face: Column, coupon_rate: Column, years: Column, steps: int = 60) -> Column:
-    """The rate in [0, 0.5] at which the annuity price is `price`, by halving; under one period to go: the coupon rate."""
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(0.5).alias("hi"))
+    """The rate in [0, 0.5] at which the annuity price is `price`, by halving; under one period to go: the coupon rate.
 
-    def halve(a: Column, _: Column) -> Column:
-        mid = (a["lo"] + a["hi"]) / 2
-        over = annuity_price(face, coupon_rate, years, mid) > price
-        return F.struct(F.when(over, mid).otherwise(a["lo"]).alias("lo"), F.when(over, a["hi"]).otherwise(mid).alias("hi"))
+    Each step takes an Arrow batch at once: a lambda over the steps would be interpreted for every row.
+    """
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda a: (a["lo"] + a["hi"]) / 2)
-    return F.when(F.floor(years * 2) <= 0, coupon_rate).otherwise(found)
+    @F.arrow_udf("double")
+    def halved(price: pa.Array, face: pa.Array, coupon_rate: pa.Array, years: pa.Array) -> pa.Array:
+        p, f, c, t = (x.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for x in (price, face, coupon_rate, years))
+        known = np.all([x.is_valid().to_numpy(zero_copy_only=False) for x in (price, face, coupon_rate, years)], axis=0)
+        n, lo, hi = np.floor(t * 2), np.zeros(len(p)), np.full(len(p), 0.5)
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                mid = (lo + hi) / 2
+                v = np.power(1 + mid / 2, -n)
+                worth = f * c / 2 * (1 - v) / (mid / 2) + f * v
+                over = known & ((worth > p) | (np.isnan(worth) & ~np.isnan(p)))  # not a number is the greatest, as in SQL
+                lo, hi = np.where(over, mid, lo), np.where(over, hi, mid)
+        return pa.array((lo + hi) / 2)
+
+    return F.when(F.floor(years * 2) <= 0, coupon_rate).otherwise(halved(price, face, coupon_rate, years))
 
 
 def rate_sensitivity(price: Column, duration: Column, convexity: Column, move: float = 0.01) -> Column:

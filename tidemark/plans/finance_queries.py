@@ -49,7 +49,7 @@ def bond_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT bond, round(years, 6) AS years, round(CASE WHEN floor(years * 2) <= 0 THEN c ELSE (lo + hi) / 2 END, 6) AS ytm, round(c * f / price, 6) AS current_yield FROM s WHERE i = 60"""
 )
 def bond_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yield to maturity by sixty halvings inside one expression, and the current yield."""
+    """Yield to maturity by sixty halvings of whole batches, and the current yield."""
     b = bond_table(spark, sf_dir).withColumn("years", bonds.years_to(F.col("maturity"), as_of()))
     ytm = bonds.yield_to_maturity(F.col("price"), F.col("face_value"), F.col("coupon_rate"), F.col("years"))
     return rounded(b.select("bond", "years", ytm.alias("ytm"), (F.col("coupon_rate") * F.col("face_value") / F.col("price")).alias("current_yield")))
