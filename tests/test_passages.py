@@ -22,3 +22,12 @@ def test_no_sentence_is_cut(spark, tmp_path):
     assert {r.doc_id for r in got} == {1} and len(got) > 3
     assert all(len(r.piece) <= 2000 and r.piece.lstrip(". ").startswith("Sentence") for r in got)
     assert all(a.piece.split(". ")[-1] in b.piece for a, b in zip(got, got[1:], strict=False))
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * 1000] * 39 + ["y" * 9000])], ["doc_id", "text"])
+    parts = list(tx.parts(batch, 4000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or p.nbytes <= 4000 for p in parts) and len(parts) > 10

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -200,6 +202,16 @@ def chunks(text: Column, size: int = 2000, overlap: int = 200) -> Column:
     return F.transform(starts, lambda k: F.substring(text, k * step + 1, F.lit(size)))
 
 
+def parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes or of one row, so that memory follows the longest text and not the number of rows."""
+    if batch.num_rows <= 1 or batch.nbytes <= most:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from parts(batch.slice(0, half), most)
+    yield from parts(batch.slice(half), most)
+
+
 def split_recursive(text: str, size: int = 2000, overlap: int = 200, separators: tuple[str, ...] = ("\n\n", "\n", ". ")) -> list[str]:
     """Stripped pieces of up to `size` characters, cut before the first separator that the text has, longer parts at the next ones.
 
