@@ -128,3 +128,22 @@ def test_sums_of_changes_are_the_table(spark, tmp_path):
     assert log.where("diff = 1").count() - log.where("diff = -1").count() == 10 and log.where("diff = -1").count() > 0
     cut = F.unix_micros(F.lit(START + timedelta(microseconds=25)))
     assert all(r.ts <= START + timedelta(microseconds=25) for r in stateful.table_at(log, cut).collect())
+
+
+def test_titles_after_the_last_registered_one_are_placed_together():
+    """place_rest gives what place gives one by one, for titles of several words of bits, of other letters, and none at all."""
+    import random
+
+    from tidemark.operators import news
+
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcdefg hij", k=rng.choice((10, 30, 62, 63, 80, 150)))) for _ in range(30)]
+    titles = ["".join(c if rng.random() < 0.75 else rng.choice("klmä\U0001f600") for c in rng.choice(base)) for _ in range(200)] + [*base, None, "", "short"]
+    rng.shuffle(titles)
+    one, many = news.Titles(0.65, 12), news.Titles(0.65, 12)
+    for k, b in enumerate(base):
+        assert one.place(k, b) == many.place(k, b)
+    assert len(many.titles) == 12
+    numbers = list(range(1000, 1000 + len(titles)))
+    want = [one.place(n, t) for n, t in zip(numbers, titles)]
+    assert many.place_rest(numbers, titles, rows=16) == want and 20 < sum(w < 1000 for w in want) < len(want)

@@ -77,11 +77,62 @@ class Titles:
             self.added.append(now)
         return number
 
+    def place_rest(self, numbers: list[int], titles: list[str | None], rows: int = 256) -> list[int]:
+        """As place for each, once `most` titles are kept for good: none registers, so titles are compared `rows` at a time."""
+        out = list(numbers)
+        todo: dict[str, list[int]] = {}
+        for k, t in enumerate(titles):
+            if t and len(t) >= 10:
+                todo.setdefault(t, []).append(k)
+        different = sorted(todo, key=len)
+        length = np.array([len(t) for t in self.titles])
+        counts = self.counts[: len(self.titles)].astype(np.int32)
+        for at in range(0, len(different), rows):
+            some = different[at : at + rows]
+            shared = np.stack([np.minimum(counts, self._count(t).astype(np.int32)).sum(axis=1) for t in some])
+            whole = length + np.array([len(t) for t in some])[:, None]
+            row, place = np.nonzero(2 * shared >= self.least * whole - 1e-9)
+            same = 2 * common_subsequence(some, self.titles, row, place) / whole[row, place] >= self.least
+            hits, first = np.unique(row[same], return_index=True)
+            for k, j in zip(hits.tolist(), place[same][first].tolist(), strict=True):
+                for n in todo[some[k]]:
+                    out[n] = self.clusters[j]
+        return out
+
     @staticmethod
     def _count(title: str) -> np.ndarray:
         return np.bincount(np.frombuffer(title.encode("utf-32-le"), np.uint32) % 64, minlength=64)
 
 
+def common_subsequence(left: list[str], right: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of the pairs left[a], right[b], all pairs at once.
+
+    As in `similarity`, a bit of v is a place of the right text; here they are dealt to words of 62 bits, with the carries between them.
+    """
+    if not len(a):
+        return np.zeros(0, np.int64)
+    full, bits = np.uint64((1 << 62) - 1), 62
+    letters = {c: k + 1 for k, c in enumerate(sorted(set("".join(right))))}
+    words = -(-max(map(len, right)) // bits)
+    masks = np.zeros((len(letters) + 1, len(right), words), np.uint64)  # letter 0 is in no right text
+    for j, t in enumerate(right):
+        for k, c in enumerate(t):
+            masks[letters[c], j, k // bits] |= np.uint64(1 << k % bits)
+    codes = np.zeros((len(left), max(map(len, left))), np.int64)
+    for i, t in enumerate(left):
+        codes[i, : len(t)] = [letters.get(c, 0) for c in t]
+    v = np.full((words, len(a)), full)
+    for k in range(codes.shape[1]):
+        at, carry = codes[a, k], np.zeros(len(a), np.uint64)
+        for w in range(words):
+            m = masks[at, b, w]
+            met = v[w] & m
+            total = v[w] + met + carry
+            carry = total >> np.uint64(bits)
+            v[w] = (total | (v[w] & ~m)) & full
+    return words * bits - np.bitwise_count(v).sum(axis=0, dtype=np.int64)
+
+
 def fuzzy_clusters(articles: DataFrame, least: float = 0.65, most: int = 200, ttl_ms: int | None = None) -> DataFrame:
     """(id, cluster): articles (id, company, day, title) join the earliest registered title of their company and day with similarity `least`.
 
@@ -94,7 +145,12 @@ def fuzzy_clusters(articles: DataFrame, least: float = 0.65, most: int = 200, tt
         import pandas as pd
 
         known = Titles(least, most, ttl_ms)
-        clusters = [known.place(int(i), t, int(at)) for i, t, at in zip(pdf["id"], pdf["t"], pdf["at"], strict=True)]
+        ids, titles, clusters = pdf["id"].tolist(), pdf["t"].tolist(), []
+        for i, t, now in zip(ids, titles, pdf["at"].tolist(), strict=True):
+            if ttl_ms is None and len(known.titles) == most:
+                clusters += known.place_rest(ids[len(clusters) :], titles[len(clusters) :])
+                break
+            clusters.append(known.place(int(i), t, int(now)))
         return pd.DataFrame({"id": pdf["id"], "cluster": clusters})
 
     at = F.lit(0).cast("long") if ttl_ms is None else F.unix_millis("seen")
