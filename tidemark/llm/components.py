@@ -10,6 +10,8 @@ from .common import cut
 
 #: Up to so many edges the minima per node, of which there are no more than twice as many, are broadcast.
 BROADCAST = 100_000
+#: Tasks of a step over so few edges; steps over more have as many as the session's shuffles.
+TASKS = 8
 
 
 def components(edges: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
@@ -17,19 +19,21 @@ def components(edges: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
 
     Each step joins the edges to one minimum per node and aggregates with map-side minima. Minima are broadcast where the
     edges were counted to be few, and written first otherwise, so that both sides of the join are shuffled for it and Spark
-    splits a node with very many neighbours. Edges never reach the driver. Self loops, repeated edges and empty input are fine.
+    splits a node with very many neighbours. Few edges go through few tasks, as a step would start hundreds for each shuffle. Edges never reach the driver. Self loops, repeated edges and empty input are fine.
     """
     at = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while (now := _signature(at)) != before:
         before = now
-        side = F.broadcast if now[0] <= broadcast else cut
+        few = now[0] <= broadcast
+        side, narrow = (F.broadcast, lambda df: df.coalesce(TASKS)) if few else (cut, lambda df: df)
+        at = narrow(at)
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = narrow(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
         large = both.join(side(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = narrow(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(side(least), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        at = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        at = cut(narrow(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()))
     return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
