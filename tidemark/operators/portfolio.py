@@ -196,13 +196,15 @@ def checked(recommendations: DataFrame, portfolios: DataFrame, held: DataFrame,
     """recommendations (portfolio, isin, action, quantity, price, risk_score, sector) with reason: '' or why one is rejected, first rule first.
 
     portfolios (portfolio, cash, total_value); held (portfolio, isin, held_quantity); sectors (portfolio, sector, exposure).
+    All three grow with the portfolios, so none is broadcast: by the size of its files a table of sectors seems small when
+    it is not. What the portfolio alone decides is settled first, so that less is sorted for the other two.
     """
-    j = recommendations.join(portfolios, "portfolio").join(held, ["portfolio", "isin"], "left").join(sectors, ["portfolio", "sector"], "left")
     cost = F.col("quantity") * F.col("price")
-    weight = F.coalesce(F.try_divide(cost, F.col("total_value") + cost), F.lit(0.0))
     buy, away = F.col("action") == "BUY", F.col("action").isin("SELL", "SWITCH")
-    reason = (
-        F.when(buy & (cost > F.col("cash") - F.col("total_value") * buffer), "cash").when(buy & (F.col("risk_score") > risk), "risk").when(buy & (weight > single), "position")
-        .when(buy & (F.coalesce("exposure", F.lit(0.0)) + weight > sector), "sector").when(away & F.col("held_quantity").isNull(), "not held").otherwise("")
-    )
+    weight = F.coalesce(F.try_divide(cost, F.col("total_value") + cost), F.lit(0.0))
+    first = F.when(buy & (cost > F.col("cash") - F.col("total_value") * buffer), "cash").when(buy & (F.col("risk_score") > risk), "risk").when(buy & (weight > single), "position")
+    j = recommendations.join(portfolios.hint("merge"), "portfolio").select("portfolio", "isin", "action", "quantity", "sector", weight.alias("__weight"), first.alias("__first"))
+    j = j.join(held.hint("merge"), ["portfolio", "isin"], "left").join(sectors.hint("merge"), ["portfolio", "sector"], "left")
+    over = F.coalesce("exposure", F.lit(0.0)) + F.col("__weight") > sector
+    reason = F.when(F.col("__first").isNotNull(), F.col("__first")).when(buy & over, "sector").when(away & F.col("held_quantity").isNull(), "not held").otherwise("")
     return j.select("portfolio", "isin", "action", F.when((F.col("action") == "SELL") & (F.col("quantity") > F.col("held_quantity")), F.col("held_quantity")).otherwise(F.col("quantity")).alias("quantity"), reason.alias("reason"))
