@@ -8,34 +8,55 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-#: Up to so many edges the minima per node, of which there are no more than twice as many, are broadcast.
-BROADCAST = 100_000
+#: Up to so many edges the neighbours of a node, of which there are no more, are gathered in a row.
+FEW = 100_000
 #: Tasks of a step over so few edges; steps over more have as many as the session's shuffles.
 TASKS = 8
 
 
-def components(edges: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+def components(edges: DataFrame, broadcast: int = FEW) -> DataFrame:
     """(node, root) for every node of edges (u long, v long) but the roots; a root is the least node of its component.
 
-    Each step joins the edges to one minimum per node and aggregates with map-side minima. Minima are broadcast where the
-    edges were counted to be few, and written first otherwise, so that both sides of the join are shuffled for it and Spark
-    splits a node with very many neighbours. Few edges go through few tasks, as a step would start hundreds for each shuffle. Edges never reach the driver. Self loops, repeated edges and empty input are fine.
+    Up to `broadcast` edges, a step gathers each node's neighbours, map-side first, and goes through few tasks, as it would
+    start hundreds for each shuffle. It joins nothing: the driver keeps the plans of its last thousand queries, which fill
+    its memory where they are large. Steps over more edges join them to one minimum per node, which is written first, so that
+    both sides are shuffled and Spark splits a node with very many neighbours. The steps end when each node has one edge to a
+    node that has none to a lesser one. Edges never reach the driver. Self loops, repeated edges and empty input are fine.
     """
-    at = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while (now := _signature(at)) != before:
-        before = now
-        few = now[0] <= broadcast
-        side, narrow = (F.broadcast, lambda df: df.coalesce(TASKS)) if few else (cut, lambda df: df)
-        at = narrow(at)
-        both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = narrow(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
-        large = both.join(side(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = narrow(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(side(least), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        at = cut(narrow(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()))
-    return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head())
+    at, few = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), False
+    while True:
+        n, unsettled = _state(at, few)
+        few = n <= broadcast
+        if not unsettled:
+            return (at.coalesce(TASKS) if few else at).select(F.col("u").alias("node"), F.col("v").alias("root"))
+        at = cut(_gathered(at) if few else _joined(at))
+
+
+def _gathered(at: DataFrame) -> DataFrame:
+    """The edges after a large-star and a small-star step over rows of neighbours."""
+    at = at.coalesce(TASKS)
+    both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    rows = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.collect_set("v").alias("vs")).coalesce(TASKS)
+    large = rows.select(F.explode(F.filter("vs", lambda v: v > F.col("u"))).alias("u"), F.col("m").alias("v"))
+    rows = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs")).coalesce(TASKS)
+    small = rows.select(F.explode(F.concat(F.array("u"), F.filter("vs", lambda v: v != F.col("m")))).alias("u"), F.col("m").alias("v"))
+    return small.distinct().coalesce(TASKS)
+
+
+def _joined(at: DataFrame) -> DataFrame:
+    """The same by joins with the minima."""
+    both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(cut(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(cut(least), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _state(at: DataFrame, few: bool) -> tuple[int, bool]:
+    """How many edges (u > v) there are, and whether a node has several lesser neighbours, or one that has a lesser one, too."""
+    at = at.coalesce(TASKS) if few else at
+    ends = at.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(at.select(F.col("v").alias("node"), F.lit(0).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.count("*").alias("n"))
+    nodes = nodes.coalesce(TASKS) if few else nodes
+    return tuple(nodes.agg(F.coalesce(F.sum("down"), F.lit(0)), F.coalesce(F.max(F.expr("down > 1 or (down > 0 and n > down)")), F.lit(False))).head())
