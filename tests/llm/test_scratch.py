@@ -49,3 +49,33 @@ def test_few_edges_go_through_few_tasks(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+
+
+def test_few_edges_are_not_joined_nor_stepped_over_in_vain(spark, monkeypatch):
+    """Of stars nothing is left to do; steps over other edges have no broadcasts, whose plans and tables fill the driver's memory."""
+    from tidemark.llm import components as module
+
+    plans = []
+    monkeypatch.setattr(module, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or common.cut(df))
+    stars = spark.createDataFrame([(10 * k, 10 * k + j) for k in range(5) for j in range(1, 9)], "u long, v long")
+    assert sorted(map(tuple, module.components(stars).collect())) == [(10 * k + j, 10 * k) for k in range(5) for j in range(1, 9)]
+    assert len(plans) == 1
+    path = spark.createDataFrame([(k, k + 1) for k in range(6)], "u long, v long")
+    assert sorted(map(tuple, module.components(path).collect())) == [(k, 0) for k in range(1, 7)]
+    assert len(plans) > 2 and not any("Join" in p for p in plans)
+
+
+@pytest.mark.parametrize("write", [common.keep, common.cut])
+def test_written_tables_go_to_python_in_small_batches(spark, write):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    was = spark.conf.get(common.BATCH)
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("word "), 200_000).alias("text"))
+    assert max(r.bytes for r in write(texts.mapInArrow(sizes, "bytes long")).collect()) <= common.BATCH_BYTES + (2 << 20)
+    assert spark.conf.get(common.BATCH) == was
+    parts = common.in_arrow(texts, lambda cols: {"n": [len(cols["text"])]}, "n int", 2 << 20)
+    assert {r.n for r in write(parts).collect()} <= {1, 2}

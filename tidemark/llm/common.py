@@ -16,6 +16,9 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Whether Spark removes the files of an action's shuffles when the action ends. Else they stay until the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What an Arrow batch holds, about. Spark's own 64 MB are held by the executor and its Python worker, twice while the next one comes.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,20 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _without_shuffles(spark: SparkSession) -> Iterator[None]:
-    """What is written meanwhile leaves no shuffle files behind: nothing reads them once the result is in the shared folder."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def _written(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files behind, as nothing reads them once the result is in the shared folder, and goes to Python in small batches."""
+    new = {CLEANUP: "true", BATCH: str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs a read and not a recomputation."""
     shared_dir(df.sparkSession)
-    with _without_shuffles(df.sparkSession):
+    with _written(df.sparkSession):
         return df.select("*").checkpoint(eager=True)  # a plan of its own: df's was made under the setting that held before
 
 
@@ -55,15 +61,15 @@ def keep(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder and read again: compressed, for large results; gone when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    with _without_shuffles(spark):
+    with _written(spark):
         df.write.option("compression", "zstd").parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # else a job reads it from a file
 
 
-def in_arrow(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """mapInArrow of a function from columns to columns, batch by batch."""
+def in_arrow(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]], schema: str, most: int = 8 << 20) -> DataFrame:
+    """mapInArrow of a function from columns to columns, by parts of about `most` bytes."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -73,7 +79,7 @@ def in_arrow(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]],
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, most):
                 made = make({n: c for n, c in zip(piece.schema.names, piece.columns, strict=True)})
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(made.values(), arrow, strict=True)], schema=arrow)
 

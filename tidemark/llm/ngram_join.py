@@ -24,6 +24,8 @@ COMMON = 1 << 20
 MORE = tuple(0x5851F42D4C957F2D * k % (1 << 62) for k in range(1, 9))
 #: Sets and n-grams of a trie, about.
 SETS, GRAMS = 256, 1 << 21
+#: Bytes of texts that are cut into words at a time: their words take about ten times that.
+TEXTS = 1 << 20
 #: Up to so many texts to compare, their ids are broadcast to find them; more are found by a shuffle of the texts.
 BROADCAST = 500_000
 LAST = np.uint64(1 << 63)
@@ -82,7 +84,7 @@ def common_ngrams(docs: DataFrame, text_col: str = "text", most: int = COMMON, s
         words = Words()
         for batch in batches:
             for piece in pieces(batch):
-                grams, n = np.unique(np.concatenate(windows(piece.column(0).to_pylist(), words, shingle)), return_counts=True)
+                grams, n = np.unique(np.concatenate([g for part in pieces(piece, TEXTS) for g in windows(part.column(0).to_pylist(), words, shingle)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(grams[n > 1].view(np.int64)), pa.array(n[n > 1])], ["gram", "n"])
 
     counts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -198,7 +200,7 @@ def sets(docs: DataFrame, order: Broadcast, id_col: str = "doc_id", text_col: st
         return {"doc_id": cols["doc_id"], "th": cols["th"], **out}
 
     rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    return in_arrow(rows, make, "doc_id long, th long, node long, n int, sketch array<long>, wide binary, prefix array<long>")
+    return in_arrow(rows, make, "doc_id long, th long, node long, n int, sketch array<long>, wide binary, prefix array<long>", TEXTS)
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -245,7 +247,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, order: Broadca
             hits = [names[k] for k in similar(query, members, percent)]
             return pa.RecordBatch.from_arrays([pa.array([key] * len(hits), pa.int64()), pa.array(hits, pa.int64())], ["u", "v"])
 
-        for piece in (p for batch in batches for p in pieces(batch)):
+        for piece in (p for batch in batches for p in pieces(batch, TEXTS)):
             found = map(order.value.keys, ngrams(piece.column(3).to_pylist(), words, shingle))
             for u, v, keys in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), found, strict=True):
                 if v is None:
