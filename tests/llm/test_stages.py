@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 from collections import defaultdict
 from pathlib import Path
 
@@ -9,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tidemark.llm import classifier, decontaminate, pii
+from tidemark.llm.common import BATCH, BATCH_BYTES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -61,3 +63,32 @@ def test_mix_takes_near_the_targets(spark, docs):
         by[r.source, r.target].append(r)
     for (_, target), rs in by.items():
         assert abs(sum(r.taken for r in rs) - target) <= max(r["size"] for r in rs)
+
+
+@pytest.mark.parametrize("stage", ["quality", "decontaminated", "redacted"])
+@pytest.mark.parametrize("before,after", [("64MB", str(BATCH_BYTES)), ("1MB", "1MB")])
+def test_stages_send_small_batches_to_python(spark, docs, stage, before, after):
+    spark.conf.set(BATCH, before)
+    try:
+        getattr(corpus_pipeline, stage)(spark, docs, SF)
+        assert spark.conf.get(BATCH) == after
+    finally:
+        spark.conf.unset(BATCH)
+
+
+@pytest.mark.parametrize("helper", ["keep_rows", "in_arrow"])
+def test_a_search_of_what_it_gets_at_once_holds_little(spark, docs, monkeypatch, helper):
+    taken = []
+    monkeypatch.setattr(decontaminate, helper, lambda df, *args: taken.append(args[2] if len(args) > 2 else 8 << 20) or df)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    decontaminate.keep_clean(docs, bench) if helper == "keep_rows" else decontaminate._searched(docs, next(decontaminate.blocks(bench)), "bigint")
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    texts *= 1 + taken[0] // sum(map(len, texts))
+    while sum(map(len, texts)) > taken[0]:
+        texts.pop()
+    units = decontaminate.units([(r.item_id, r.text.encode()) for r in bench.collect()])
+    tracemalloc.start()
+    decontaminate.search(texts, units)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
