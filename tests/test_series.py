@@ -149,6 +149,44 @@ def test_fuzzy_clusters_join_the_first_registered(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
 
 
+def plain_clusters(rows, ttl_ms=None):
+    """(id, block, title, ms): each row compared with all registered ones of its block, in plain Python."""
+    out, known = {}, {}
+    for i, block, t, at in sorted(rows, key=lambda r: (r[3] if ttl_ms else 0, r[0])):
+        if t is None or len(t) < 10:
+            out[i] = i
+            continue
+        held = known.setdefault(block, [])
+        out[i] = next((k for k, x, since in held if (ttl_ms is None or since + ttl_ms > at) and tx.similarity(t, x) >= 0.65), i)
+        if out[i] == i:
+            held.append((i, t, at))
+    return out
+
+
+@pytest.mark.parametrize("ttl_ms", [None, 60_000])
+def test_fuzzy_clusters_register_all_titles(spark, monkeypatch, ttl_ms):
+    """Over 200 registered titles in a block, in steps of few, with copies, long titles, equal classes of characters, and null blocks."""
+    from datetime import datetime, timedelta
+
+    if ttl_ms is None:
+        monkeypatch.setattr(news, "HEAD", 64, raising=False)
+    else:
+        monkeypatch.setattr(news, "HEAD", 100, raising=False)
+    monkeypatch.setattr(news, "SLICE", 48, raising=False)
+    rng = np.random.default_rng(3)
+    base = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), int(n))) for n in rng.choice([12, 30, 63, 64, 65, 80, 128, 129, 200], 300)]
+    other = lambda t: "".join(chr(ord(c) + 512) if rng.random() < 0.5 and c.isalpha() else c for c in t)
+    change = lambda t: "".join(c for c in t if rng.random() < 0.85)
+    titles = base + [change(t) for t in base[150:]] + [other(t) for t in base[:40]] + base[:30] + [None, "", "short"]
+    rows = [(k, ("a", None)[k % 7 == 0], t, 1000 * k) for k, t in enumerate(titles)]
+    rows += [(len(rows) + k, "b", change("one title that many copies resemble closely"), 0) for k in range(150)]
+    want = plain_clusters([(i, b, " ".join(t.lower().split()) if t else t, at) for i, b, t, at in rows], ttl_ms)
+    assert sum(1 for i, b, t, _ in rows if b == "a" and t and len(t) > 9 and want[i] == i) > 250
+    df = spark.createDataFrame([(i, b, None, t, datetime(2024, 1, 1) + timedelta(milliseconds=at)) for i, b, t, at in rows], "id long, company string, day date, title string, seen timestamp")
+    found = news.fuzzy_clusters(df.repartition(3), ttl_ms=ttl_ms).collect()
+    assert len(found) == len(rows) and {r.id: r.cluster for r in found} == want
+
+
 def test_upsert_prefers_new_rows(spark):
     old = spark.createDataFrame([(1, 1, "old"), (2, 5, "old")], "k int, t int, v string")
     new = spark.createDataFrame([(1, 1, "new"), (2, 4, "new"), (3, 1, "new")], "k int, t int, v string")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, normal_title, normal_url, rss_items, similarity
+from ..sources.shared import shared_folder
+from .ranking import global_rank
 from .timeseries import keep_latest
 
 
@@ -30,132 +34,208 @@ def exact_duplicates(articles: DataFrame, seen: DataFrame | None = None) -> Data
 
 
 class Titles:
-    """The registered titles of a block in their order, at most `most`, each for ttl_ms from when it was added (None: for good)."""
+    """The registered titles of a block in their order, `most` at most (None: all), each for ttl_ms from when it was added (None: for good)."""
+
+    #: Code points of a title that are compared in words of 64 bits; longer titles are compared one by one.
+    WORDS = 2
+    #: Classes of characters there, so that a title's letters take no more room than its words.
+    CLASSES = 256
 
-    def __init__(self, least: float, most: int, ttl_ms: int | None = None):
+    def __init__(self, least: float, most: int | None = None, ttl_ms: int | None = None):
         self.least, self.most, self.ttl_ms = least, most, ttl_ms
         self.titles: list[str] = []
         self.clusters: list[int] = []
-        self.added: list[int] = []
-        self.counts = np.zeros((most, 64), np.uint16)
+        self.now: int | None = None
+        self.times, self.lengths = np.zeros(64, np.int64), np.zeros(64, np.int64)
+        self.counts = np.zeros((64, 64), np.uint32)
+        self.masks = np.zeros((self.CLASSES, self.WORDS, 64), np.uint64)
 
     def load(self, titles: list[str], clusters: list[int], added: list[int]) -> None:
-        self.titles, self.clusters, self.added = list(titles), list(clusters), list(added)
-        for k, t in enumerate(self.titles):
-            self.counts[k] = self._count(t)
+        for t, c, at in zip(titles, clusters, added, strict=True):
+            self._add(t, c, at)
 
     def dump(self) -> tuple[list[str], list[int], list[int]]:
-        return self.titles, self.clusters, self.added
+        self._drop()
+        return self.titles, self.clusters, self.times[: len(self.titles)].tolist()
 
     def last(self) -> int:
-        return max(self.added)
+        return int(self.times[: len(self.titles)].max())
 
     def expire(self, now: int) -> None:
-        if self.ttl_ms is not None and any(at + self.ttl_ms <= now for at in self.added):
-            live = [k for k, at in enumerate(self.added) if at + self.ttl_ms > now]
-            self.counts[: len(live)] = self.counts[live]
-            self.titles, self.clusters, self.added = ([x[k] for k in live] for x in (self.titles, self.clusters, self.added))
+        """Titles that have lived for ttl_ms match no more, and go once they are half of all, so that each is moved few times."""
+        if self.ttl_ms is not None:
+            self.now = now
+            dead = np.count_nonzero(self.times[: len(self.titles)] + self.ttl_ms <= now)
+            if dead and (self.most is not None or 2 * dead > len(self.titles)):
+                self._drop()
+
+    def _drop(self) -> None:
+        if self.ttl_ms is None or self.now is None:
+            return
+        live = np.flatnonzero(self.times[: len(self.titles)] + self.ttl_ms > self.now)
+        if len(live) < len(self.titles):
+            for x in self._arrays():
+                x[..., : len(live)] = x[..., live]
+                x[..., len(live) : len(self.titles)] = 0
+            self.titles, self.clusters = ([x[k] for k in live] for x in (self.titles, self.clusters))
+
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        return self.times, self.lengths, self.counts, self.masks
+
+    def _add(self, title: str, cluster: int, at: int) -> None:
+        n, code = len(self.titles), self._codes(title)
+        if n == len(self.times):
+            self.times, self.lengths, self.counts, self.masks = (np.concatenate([x, np.zeros_like(x)], axis=-1) for x in self._arrays())
+        self.times[n], self.lengths[n], self.counts[:, n] = at, len(code), self._count(code)
+        place = np.arange(min(len(code), 64 * self.WORDS))
+        np.bitwise_or.at(self.masks, (code[: len(place)], place // 64, n), np.uint64(1) << (place % 64).astype(np.uint64))
+        self.titles.append(title)
+        self.clusters.append(cluster)
 
     def place(self, number: int, title: str | None, now: int = 0) -> int:
-        """The cluster of an article's normalised title: that of the first similar one, else its own number.
-
-        Titles that share too few characters, counted in 64 classes, can't be similar and are not compared.
-        """
+        """The cluster of an article's normalised title: that of the first similar one, else its own number."""
         if not title or len(title) < 10:
             return number
         self.expire(now)
-        count, n = self._count(title), len(self.titles)
-        length = np.fromiter(map(len, self.titles), np.int64, n) + len(title)
-        shared = np.minimum(self.counts[:n], count).sum(axis=1, dtype=np.int64)
-        for k in np.flatnonzero(2 * shared >= self.least * length - 1e-9):
-            if similarity(title, self.titles[k]) >= self.least:
-                return self.clusters[k]
-        if n < self.most:
-            self.counts[n] = count
-            self.titles.append(title)
-            self.clusters.append(number)
-            self.added.append(now)
+        k = self.match(title, now)
+        if k is not None:
+            return self.clusters[k]
+        if self.most is None or len(self.titles) < self.most:
+            self._add(title, number, now)
         return number
 
-    def place_rest(self, numbers: list[int], titles: list[str | None], rows: int = 256) -> list[int]:
-        """As place for each, once `most` titles are kept for good: none registers, so titles are compared `rows` at a time."""
-        out = list(numbers)
-        todo: dict[str, list[int]] = {}
-        for k, t in enumerate(titles):
+    def place_rest(self, numbers: list[int], titles: list[str | None], times: list[int] | None = None, rows: int = 4096) -> list[int]:
+        """As place for each, where none registers: equal titles are compared once, with `rows` registered ones at a time."""
+        out, done = list(numbers), {}
+        for k, (t, now) in enumerate(zip(titles, times or [0] * len(titles), strict=True)):
             if t and len(t) >= 10:
-                todo.setdefault(t, []).append(k)
-        different = sorted(todo, key=len)
-        length = np.array([len(t) for t in self.titles])
-        counts = self.counts[: len(self.titles)].astype(np.int32)
-        for at in range(0, len(different), rows):
-            some = different[at : at + rows]
-            shared = np.stack([np.minimum(counts, self._count(t).astype(np.int32)).sum(axis=1) for t in some])
-            whole = length + np.array([len(t) for t in some])[:, None]
-            row, place = np.nonzero(2 * shared >= self.least * whole - 1e-9)
-            same = 2 * common_subsequence(some, self.titles, row, place) / whole[row, place] >= self.least
-            hits, first = np.unique(row[same], return_index=True)
-            for k, j in zip(hits.tolist(), place[same][first].tolist(), strict=True):
-                for n in todo[some[k]]:
-                    out[n] = self.clusters[j]
+                if (t, now) not in done:
+                    done[t, now] = self.match(t, now, rows)
+                if done[t, now] is not None:
+                    out[k] = self.clusters[done[t, now]]
         return out
 
-    @staticmethod
-    def _count(title: str) -> np.ndarray:
-        return np.bincount(np.frombuffer(title.encode("utf-32-le"), np.uint32) % 64, minlength=64)
+    def match(self, title: str, now: int = 0, rows: int = 4096) -> int | None:
+        """The place of the first registered title that is similar and lives.
+
+        Titles that share too few characters, counted in 64 classes, can't be similar and are not compared.
+        """
+        code, n = self._codes(title), len(self.titles)
+        count = self._count(code)
+        there = np.flatnonzero(count)
+        for at in range(0, n, rows):
+            some = slice(at, min(at + rows, n))
+            limit = self.least * (self.lengths[some] + len(code)) / 2 - 1e-9
+            near = np.minimum(self.counts[there, some], count[there, None]).sum(axis=0, dtype=np.uint32) >= limit
+            if self.ttl_ms is not None:
+                near &= self.times[some] + self.ttl_ms > now
+            near = np.flatnonzero(near)
+            close = (self._common(code, near + at) >= limit[near]) | (self.lengths[near + at] > 64 * self.WORDS)
+            for k in (near[close] + at).tolist():
+                if similarity(title, self.titles[k]) >= self.least:
+                    return k
+        return None
+
+    def _common(self, code: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of a text and registered ones, or more where classes hold several characters.
+
+        As in `similarity`, a bit of v is a place of the registered title; the carry goes from the first word to the second.
+        """
+        v = np.full((self.WORDS, len(places)), ~np.uint64(0))
+        met, total, carry = np.empty_like(v), np.empty_like(v), np.empty(len(places), bool)
+        masks = {c: np.take(self.masks[c], places, axis=1) for c in set(code.tolist())} if len(places) else {}
+        for c in code.tolist() if len(places) else []:
+            np.bitwise_and(v, masks[c], out=met)
+            np.add(v, met, out=total)
+            np.less(total[0], met[0], out=carry)
+            total[1] += carry
+            np.bitwise_xor(v, met, out=v)
+            np.bitwise_or(v, total, out=v)
+        return 64 * self.WORDS - np.bitwise_count(v).sum(axis=0, dtype=np.int64)
+
+    @classmethod
+    def _codes(cls, title: str) -> np.ndarray:
+        return (np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32) % cls.CLASSES).astype(np.int64)
 
+    @staticmethod
+    def _count(code: np.ndarray) -> np.ndarray:
+        return np.bincount(code % 64, minlength=64).astype(np.uint32)
 
-def common_subsequence(left: list[str], right: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of the pairs left[a], right[b], all pairs at once.
 
-    As in `similarity`, a bit of v is a place of the right text; here they are dealt to words of 62 bits, with the carries between them.
-    """
-    if not len(a):
-        return np.zeros(0, np.int64)
-    full, bits = np.uint64((1 << 62) - 1), 62
-    letters = {c: k + 1 for k, c in enumerate(sorted(set("".join(right))))}
-    words = -(-max(map(len, right)) // bits)
-    masks = np.zeros((len(letters) + 1, len(right), words), np.uint64)  # letter 0 is in no right text
-    for j, t in enumerate(right):
-        for k, c in enumerate(t):
-            masks[letters[c], j, k // bits] |= np.uint64(1 << k % bits)
-    codes = np.zeros((len(left), max(map(len, left))), np.int64)
-    for i, t in enumerate(left):
-        codes[i, : len(t)] = [letters.get(c, 0) for c in t]
-    v = np.full((words, len(a)), full)
-    for k in range(codes.shape[1]):
-        at, carry = codes[a, k], np.zeros(len(a), np.uint64)
-        for w in range(words):
-            m = masks[at, b, w]
-            met = v[w] & m
-            total = v[w] + met + carry
-            carry = total >> np.uint64(bits)
-            v[w] = (total | (v[w] & ~m)) & full
-    return words * bits - np.bitwise_count(v).sum(axis=0, dtype=np.int64)
-
-
-def fuzzy_clusters(articles: DataFrame, least: float = 0.65, most: int = 200, ttl_ms: int | None = None) -> DataFrame:
-    """(id, cluster): articles (id, company, day, title) join the earliest registered title of their company and day with similarity `least`.
+#: Titles of a block that one task compares with each other, and titles after them that one task compares with those.
+HEAD, SLICE = 4096, 2048
+_TITLES = "block long, n long, chunk long, id long, t string, at long, cluster long, placed boolean, first boolean"
 
-    In order of id within a block, or of `seen` (a time) and id where titles expire after ttl_ms; only articles that match
-    none register, and `most` titles are kept, as the blocks' index is bounded by definition. Titles under 10 characters
-    stand alone. One block is one company's day.
-    """
 
-    def block(pdf):
-        import pandas as pd
+def fuzzy_clusters(articles: DataFrame, least: float = 0.65, ttl_ms: int | None = None) -> DataFrame:
+    """(id, cluster): articles (id, company, day, title) join the earliest registered title of their company and day with similarity `least`.
 
-        known = Titles(least, most, ttl_ms)
-        ids, titles, clusters = pdf["id"].tolist(), pdf["t"].tolist(), []
-        for i, t, now in zip(ids, titles, pdf["at"].tolist(), strict=True):
-            if ttl_ms is None and len(known.titles) == most:
-                clusters += known.place_rest(ids[len(clusters) :], titles[len(clusters) :])
-                break
-            clusters.append(known.place(int(i), t, int(now)))
-        return pd.DataFrame({"id": pdf["id"], "cluster": clusters})
+    In order of id within a block, or of `seen` (a time) and id where titles expire after ttl_ms; all articles that match
+    none register. Titles under 10 characters stand alone. One block is one company's day.
 
+    Equal titles are one. Of each block, HEAD titles at a time are placed in their order by a task; those that register go to
+    tasks with SLICE of the block's later titles each, and what matches none of them is left for the next step. So each title
+    meets the registered ones before it, up to the first similar one: comparisons grow with the square of a block's
+    different titles, but a task holds HEAD and SLICE of them.
+    """
+    spark = articles.sparkSession
     at = F.lit(0).cast("long") if ttl_ms is None else F.unix_millis("seen")
-    rows = articles.select("id", "company", "day", normal_title(F.col("title")).alias("t"), at.alias("at"))
-    return rows.groupBy("company", "day").applyInPandas(lambda pdf: block(pdf.sort_values(["at", "id"])), "id long, cluster long")
+    rows = articles.select(F.col("id").cast("long").alias("id"), "company", "day", normal_title(F.col("title")).alias("t"), at.alias("at"))
+    keys = ["company", "day", "t"] if ttl_ms is None else ["company", "day", "t", "at", "id"]
+    long = rows.where(F.char_length("t") >= 10)
+    titles = long.groupBy(*keys).agg(F.min("at").alias("at"), F.min("id").alias("id")) if ttl_ms is None else long.distinct()
+    titles = global_rank(titles, [F.col(n).asc() for n in ("company", "day", "at", "id", "t")], "n")
+    top, paths, step = shared_folder(spark, "titles"), [], 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def written(df, name):
+        df.write.parquet(f"{top}/{name}")
+        return spark.read.parquet(f"{top}/{name}")
+
+    first = titles.groupBy("company", "day").agg(F.min("n").alias("block")).withColumnsRenamed({"company": "__c", "day": "__d"})
+    titles = titles.join(first, F.col("company").eqNullSafe(F.col("__c")) & F.col("day").eqNullSafe(F.col("__d"))).drop("__c", "__d")
+    titles = written(titles.withColumn("chunk", F.floor((F.col("n") - F.col("block")) / HEAD).cast("long")), "all")
+    todo = titles.select("block", "n", "chunk", "id", "t", "at")
+
+    def place(head):
+        head = head.sort_by("n")
+        known, ids = Titles(least, None, ttl_ms), head["id"].to_pylist()
+        found = [known.place(k, t, now) for k, (t, now) in enumerate(zip(head["t"].to_pylist(), head["at"].to_pylist(), strict=True))]
+        return _with_clusters(head, [ids[k] for k in found], [True] * len(found), [k == j for j, k in enumerate(found)])
+
+    def meet(rest, firsts):
+        rest, known, ids = rest.drop_columns("slice"), Titles(least, None, ttl_ms), []
+        if len(firsts):
+            firsts = firsts.sort_by("__n")
+            ids = firsts["__id"].to_pylist()
+            known.load(firsts["__t"].to_pylist(), list(range(len(ids))), firsts["__at"].to_pylist())
+        found = known.place_rest([-1] * len(rest), rest["t"].to_pylist(), rest["at"].to_pylist())
+        return _with_clusters(rest, [ids[k] if k >= 0 else None for k in found], [k >= 0 for k in found], [False] * len(found))
+
+    while True:
+        head = written(todo.where(F.col("chunk") == step).repartition(parts, "block").groupBy("block").applyInArrow(place, _TITLES), f"head-{step}")
+        paths.append(f"{top}/head-{step}")
+        rest = todo.where(F.col("chunk") > step).withColumn("slice", F.floor(F.col("n") / SLICE).cast("long"))
+        if rest.isEmpty():
+            break
+        firsts = head.where("first").select("block", "n", "id", "t", "at").join(rest.select("block", "slice").distinct(), "block")
+        firsts = firsts.toDF(*(f"__{n}" for n in firsts.columns)).repartition(parts, "__block", "__slice").groupBy("__block", "__slice")
+        rest = rest.repartition(parts, "block", "slice").groupBy("block", "slice")
+        met = written(rest.cogroup(firsts).applyInArrow(meet, _TITLES), f"rest-{step}")
+        paths.append(f"{top}/rest-{step}")
+        todo = met.where("not placed").select(*todo.columns)
+        step += 1
+    clusters = spark.read.parquet(*paths).where("placed").select("n", "cluster")
+    by = titles.join(clusters, "n").select(*(F.col(n).alias(f"__{n}") for n in keys), "cluster")
+    same = functools.reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"__{n}")) for n in keys))
+    alone = F.coalesce(F.char_length("t") < 10, F.lit(True))
+    return rows.join(by, same, "left").select("id", F.when(alone, F.col("id")).otherwise(F.col("cluster")).alias("cluster"))
+
+
+def _with_clusters(titles, clusters: list, placed: list[bool], first: list[bool]):
+    import pyarrow as pa
+
+    return titles.append_column("cluster", pa.array(clusters, pa.int64())).append_column("placed", pa.array(placed, pa.bool_())).append_column("first", pa.array(first, pa.bool_()))
 
 
 def stories(articles: DataFrame) -> DataFrame:

@@ -17,10 +17,10 @@ DAY_MS = 86_400_000
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
 
-def title_clusters(articles: DataFrame, late: str = "2 hours", ttl_ms: int = DAY_MS, least: float = 0.65, most: int = 200) -> DataFrame:
+def title_clusters(articles: DataFrame, late: str = "2 hours", ttl_ms: int = DAY_MS, least: float = 0.65, most: int | None = None) -> DataFrame:
     """(id, company, day, cluster) of a stream of articles (id, company, day, title, seen).
 
-    The state of a company's day is at most `most` titles, each for `ttl_ms` from when it was seen: an article that resembles
+    The state of a company's day is its titles (`most` at most, where given), each for `ttl_ms` from when it was seen: an article that resembles
     one of them joins its cluster, also when it comes late, and else registers. Rows of a batch are taken by time and id.
     The state goes when the watermark has passed its last title's time.
     """
